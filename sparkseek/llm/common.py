@@ -107,3 +107,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return nodes.unionByName(roots)
+
+
+#: Rows up to which a narrow table is broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(narrow: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of a materialised frame of a few narrow columns, only if its counted rows allow it."""
+    return F.broadcast(narrow) if narrow.count() <= limit else narrow

@@ -25,6 +25,20 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return digest(format_turns(turns.unionByName(extra)))
 
 
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from .mixing import mix
+
+    ship(spark)
+    return mix(table(spark, folder, "documents").select("doc_id", "source"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    ship(spark)
+    return near_duplicates(spread(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -43,6 +57,8 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
 }
 
