@@ -67,9 +67,9 @@ def schedule(blocks: list[int], weights: list[float], resolution: int = RESOLUTI
         parts = shares([weights[s] if weighted else 1 for s in active], resolution)
         order = period(parts)
         where = [np.flatnonzero(order == k) for k in range(len(active))]
-        cycles = min(left[s] // p for s, p in zip(active, parts))
+        cycles = min((left[s] - 1) // p for s, p in zip(active, parts))
         # The slots of the cycle in which the first source runs out, up to that slot.
-        ends = [w[left[s] - cycles * p - 1] if left[s] > cycles * p else -1 for s, p, w in zip(active, parts, where) if left[s] < (cycles + 1) * p]
+        ends = [w[left[s] - cycles * p - 1] for s, p, w in zip(active, parts, where) if left[s] <= (cycles + 1) * p]
         extra = int(min(ends)) + 1
         for k, s in enumerate(active):
             taken = cycles * parts[k] + int(np.searchsorted(where[k], extra))

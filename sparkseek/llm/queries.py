@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from ..session import ship, spread, table
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality import score, train
+
+    ship(spark)
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = table(spark, folder, "labels").select("doc_id", "quality").where(~held_out)
+    scored = score(docs, train(docs, labels))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -55,6 +66,7 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_source_mixing": op7_source_mixing,
