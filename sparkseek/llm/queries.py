@@ -19,6 +19,13 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from .html import extract
+
+    ship(spark)
+    return extract(spread(table(spark, folder, "pages").select("page_id", "url", "html")))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -67,6 +74,7 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_source_mixing": op7_source_mixing,
