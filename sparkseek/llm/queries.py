@@ -43,6 +43,13 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return digest(format_turns(turns.unionByName(extra)))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    ship(spark)
+    return dedup_lines(spread(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from .mixing import mix
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
