@@ -116,3 +116,72 @@ BROADCAST_ROWS = 1_000_000
 def broadcast_if_small(narrow: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a materialised frame of a few narrow columns, only if its counted rows allow it."""
     return F.broadcast(narrow) if narrow.count() <= limit else narrow
+
+
+def whole_runs(batches, keys: list[str], rows: int = 1 << 14):
+    """Join sorted batches into tables of about `rows` rows that never end inside a run of equal keys.
+
+    Yields (batch, starts): the first row of each run and the number of rows.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def starts_of(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            column = batch.column(k)
+            new[1:] |= np.asarray(pc.fill_null(pc.not_equal(column[1:], column[:-1]), True))
+        return np.append(np.flatnonzero(new), batch.num_rows)
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        whole = joined()
+        starts = starts_of(whole)
+        if len(starts) > 2:
+            yield whole.slice(0, int(starts[-2])), starts[:-1]
+            held = [whole.slice(int(starts[-2]))]
+        else:
+            held = [whole]
+    if held:
+        whole = joined()
+        yield whole, starts_of(whole)
+
+
+class Forest:
+    """Connected components of local indices from arrays of links; keeps the edges that joined trees."""
+
+    def __init__(self, n: int):
+        self.label, self.edges = np.arange(n), []
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        a, b = self.label[left], self.label[right]
+        new = np.flatnonzero(a != b)
+        if not len(new):
+            return
+        a, b = np.minimum(a[new], b[new]), np.maximum(a[new], b[new])
+        _, first = np.unique(a * len(self.label) + b, return_index=True)
+        up: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while i in up:
+                if up[i] in up:
+                    up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for k in first.tolist():
+            p, q = root(int(a[k])), root(int(b[k]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                self.edges.append((int(left[new[k]]), int(right[new[k]])))
+        moved = np.arange(len(self.label))
+        for i in up:
+            moved[i] = root(i)
+        self.label = moved[self.label]

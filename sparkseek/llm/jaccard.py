@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, cut, slices, stored
+from .common import Forest, broadcast_if_small, components, cut, slices, stored
 from .shingles import SIZE, shingles
 
 THRESHOLD = 0.8
@@ -82,39 +82,6 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float)
     return pairs
 
 
-class Forest:
-    """Connected components of local indices from tiles of links; keeps the edges that joined trees."""
-
-    def __init__(self, n: int):
-        self.label, self.edges = np.arange(n), []
-
-    def add(self, left: np.ndarray, right: np.ndarray) -> None:
-        a, b = self.label[left], self.label[right]
-        new = np.flatnonzero(a != b)
-        if not len(new):
-            return
-        a, b = np.minimum(a[new], b[new]), np.maximum(a[new], b[new])
-        _, first = np.unique(a * len(self.label) + b, return_index=True)
-        up: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            while i in up:
-                if up[i] in up:
-                    up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for k in first.tolist():
-            p, q = root(int(a[k])), root(int(b[k]))
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                self.edges.append((int(left[new[k]]), int(right[new[k]])))
-        moved = np.arange(len(self.label))
-        for i in up:
-            moved[i] = root(i)
-        self.label = moved[self.label]
-
-
 def link_block(sets: list[np.ndarray], sigs: np.ndarray, weight: np.ndarray, side: np.ndarray, cross: bool, threshold: float, tolerance: float):
     """Links among members (or, if `cross`, between the two sides): weighted link counts and forest edges.
 

@@ -33,6 +33,13 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .vectors import near_duplicates
+
+    ship(spark)
+    return near_duplicates(spread(table(spark, folder, "embeddings").select("vec_id", "embedding")))
+
+
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     from .chat import digest, format_turns
 
@@ -83,6 +90,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
