@@ -71,6 +71,14 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op9_media_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables hold no images: each row of `embeddings` gets a rendered picture, every eighth an edited copy."""
+    from .media import image_copies, rendered
+
+    ship(spark)
+    return image_copies(rendered(spread(table(spark, folder, "embeddings").select("vec_id"))), "vec_id")
+
+
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -95,6 +103,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_media_copies": op9_media_copies,
     "op10_secret_scans": op10_secret_scans,
 }
 
