@@ -1,8 +1,690 @@
-"""Registered queries of the search engine, each with its SQL."""
+"""Registered queries of the search engine, each with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, folder):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .functions import urls
+from .operators import crawl, exchange, graph, search, suggest
+from .operators import index as ix
+from .session import ship, spread, table
+from .sources import segments, store
+from .streaming import crawl as live
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL text of the expressions that both sides share.
+
+
+def _q(x: str) -> str:
+    return x.replace("'", "''")
+
+
+def _rr(x: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({x}, '{_q(pattern)}', '{_q(to)}', 'g')"
+
+
+def _entities(x: str) -> str:
+    for name, char in tx.ENTITIES:
+        x = f"replace({x}, '{name}', '{_q(char)}')"
+    return x
+
+
+def _collapse(x: str) -> str:
+    return f"trim({_rr(x, tx.SPACE, ' ')})"
+
+
+def _markup(x: str) -> str:
+    return _collapse(_entities(_rr(_rr(x, tx.INLINE_TAG, ""), "<[^>]*>", " ")))
+
+
+def _html_text(x: str) -> str:
+    return _markup(_rr(x, tx.HIDDEN, " "))
+
+
+def _title(x: str) -> str:
+    return _collapse(_entities(f"regexp_extract({x}, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+
+
+def _tokens(source: str = "SELECT doc_id, text FROM documents") -> str:
+    """CTEs tok (doc_id, t, pos) and post (doc_id, word, positions)."""
+    return f"""src AS ({source}),
+tok AS (SELECT doc_id, unnest(a) AS t, generate_subscripts(a, 1) - 1 AS pos
+  FROM (SELECT doc_id, regexp_extract_all({_rr("text", tx.PUNCTUATION, " ")}, '{tx.TOKEN}') AS a FROM src)),
+post AS (SELECT doc_id, lower(t) AS word, list_sort(list(pos)) AS positions, count(*) AS n FROM tok
+  WHERE regexp_full_match(t, '[a-zA-Z0-9]+') GROUP BY ALL)"""
+
+
+NORMS = "norms AS (SELECT doc_id, sum(n * n) AS sq FROM post GROUP BY doc_id)"
+FREQ = "freq AS (SELECT word, count(*) AS n_doc FROM post WHERE length(word) < 30 GROUP BY word)"
+IDF = "idf AS (SELECT word, log10((SELECT count(*) FROM norms)::double / n_doc) AS idf FROM freq)"
+PAGES = f"SELECT page_id AS doc_id, {_html_text('html')} AS text FROM pages"
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+_kept: dict[tuple[str, str, str], ix.Index] = {}
+
+
+def document_index(spark: SparkSession, folder: str) -> ix.Index:
+    return _index(spark, folder, "documents")
+
+
+def page_index(spark: SparkSession, folder: str) -> ix.Index:
+    return _index(spark, folder, "pages")
+
+
+def _index(spark: SparkSession, folder: str, name: str) -> ix.Index:
+    """The index of a table, kept for the session: queries share it as searches share a stored one."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _kept:
+        docs = _documents(spark, folder) if name == "documents" else spread(table(spark, folder, "pages").select("page_id", "html")).select(F.col("page_id").alias("doc_id"), tx.html_text(F.col("html")).alias("text"))
+        made = ix.Index.build(docs)
+        posts = made.postings.persist()
+        _kept[key] = ix.Index(posts, ix.doc_norms(posts).persist(), ix.doc_freq(posts).persist())
+    return _kept[key]
+
+
+# Text and HTML
+
+
+@register(f"WITH {_tokens()} SELECT word, sum(n)::bigint AS n, count(*) AS n_docs FROM post GROUP BY word")
+def analyze_text(spark, folder):
+    posts = document_index(spark, folder).postings
+    return posts.groupBy("word").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def _lemma_sql(w: str) -> str:
+    out = "CASE " + " ".join(f"WHEN {w} = '{a}' THEN '{b}'" for a, b in tx.IRREGULAR.items())
+    for suffix, to, least in tx.SUFFIXES:
+        extra = f" AND NOT ends_with({w}, 'ss')" if suffix == "s" else ""
+        out += f" WHEN ends_with({w}, '{suffix}'){extra} AND length({w}) >= {least} THEN left({w}, length({w}) - {len(suffix)}) || '{to}'"
+    return out + f" ELSE {w} END"
+
+
+@register(f"WITH {_tokens()} SELECT DISTINCT word, {_lemma_sql('word')} AS lemma FROM post")
+def lemmas(spark, folder):
+    words = document_index(spark, folder).postings.select("word").distinct()
+    return words.select("word", tx.lemma(F.col("word"), "rules").alias("lemma"))
+
+
+@register(f"SELECT page_id, {_html_text('html')} AS text FROM pages")
+def html_text(spark, folder):
+    return spread(table(spark, folder, "pages")).select("page_id", tx.html_text(F.col("html")).alias("text"))
+
+
+@register(f"SELECT page_id, {_title('html')} AS title FROM pages")
+def page_titles(spark, folder):
+    return table(spark, folder, "pages").select("page_id", tx.html_title(F.col("html")).alias("title"))
+
+
+META = """(?is)<meta\\s[^>]*name="description"[^>]*content="([^"]*)\""""
+
+
+@register(f"SELECT page_id, {_collapse(_entities(f'''regexp_extract(replace(html, '<meta charset', '<meta name=\"description\" content=\"x &amp; y\"><meta charset'), '{META}', 1)'''))} AS description FROM pages")
+def page_descriptions(spark, folder):
+    """The pages have no description, so one is put in."""
+    html = F.replace(F.col("html"), F.lit("<meta charset"), F.lit('<meta name="description" content="x &amp; y"><meta charset'))
+    return table(spark, folder, "pages").select("page_id", tx.html_description(html).alias("description"))
+
+
+def _paragraphs_sql() -> str:
+    pieces = f"regexp_split_to_array({_rr('html', tx.HIDDEN, ' ')}, '(?i)<p\\b[^>]*>')[2:]"
+    return f"list_transform({pieces}, lambda x: regexp_extract(x, '{_q(tx.PARAGRAPH_END)}', 1))"
+
+
+@register(f"SELECT page_id, generate_subscripts(a, 1) - 1 AS pos, {_markup('unnest(a)')} AS text FROM (SELECT page_id, {_paragraphs_sql()} AS a FROM pages)")
+def html_paragraphs(spark, folder):
+    raw = spread(table(spark, folder, "pages")).select("page_id", F.posexplode(tx.html_paragraphs(F.col("html"))).alias("pos", "p"))
+    return raw.select("page_id", F.col("pos").cast("bigint").alias("pos"), tx.markup_text(F.col("p")).alias("text"))
+
+
+# Index
+
+
+@register(f"WITH {_tokens()} SELECT doc_id, word, array_to_string(positions, ',') AS positions FROM post")
+def word_positions(spark, folder):
+    rows = ix.word_positions(ix.tokenised(_documents(spark, folder)))
+    return rows.select("doc_id", "word", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@register(f"WITH {_tokens()} SELECT doc_id, word, n AS count, array_to_string(positions[1:5], ',') AS hits FROM post")
+def hit_lists(spark, folder):
+    return document_index(spark, folder).postings.select("doc_id", "word", "count", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits"))
+
+
+@register(f"WITH {_tokens()} SELECT doc_id, word, array_to_string(positions[1:2], ',') AS hits FROM post")
+def hit_lists_shrunk(spark, folder):
+    return ix.shrink_hits(document_index(spark, folder).postings, 2).select("doc_id", "word", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits"))
+
+
+@register(f"WITH {_tokens()} SELECT doc_id, sum(n * n)::bigint AS square_norm FROM post GROUP BY doc_id")
+def doc_norms(spark, folder):
+    return document_index(spark, folder).norms
+
+
+@register(f"WITH {_tokens()} SELECT word, count(*) AS n_doc FROM post WHERE length(word) < 30 GROUP BY word")
+def doc_freq(spark, folder):
+    return document_index(spark, folder).freq
+
+
+@register(f"WITH {_tokens()} SELECT doc_id, string_agg(word || '=' || n, ',' ORDER BY word) AS forward_index, string_agg(word || '=' || array_to_string(positions[1:5], ' '), ',' ORDER BY word) AS hit_lists, sum(n * n)::bigint AS square_norm FROM post GROUP BY doc_id")
+def forward_index(spark, folder):
+    view = ix.forward_view(document_index(spark, folder).postings)
+    show = lambda c, v: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], v(e["value"]))), ",")
+    return view.select("doc_id", show("forward_index", lambda v: v.cast("string")).alias("forward_index"), show("hit_lists", lambda v: F.array_join(v.cast("array<string>"), " ")).alias("hit_lists"), "square_norm")
+
+
+@register(f"WITH {_tokens()} SELECT word, string_agg(doc_id || '=' || n, ',' ORDER BY doc_id::varchar) AS invert_index, count(*) AS n_doc FROM post WHERE length(word) < 30 GROUP BY word")
+def inverted_index(spark, folder):
+    view = ix.inverted_view(document_index(spark, folder).postings)
+    return view.select("word", F.array_join(F.transform(F.map_entries("invert_index"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("invert_index"), "n_doc")
+
+
+@register(f"WITH {_tokens()} SELECT doc_id, word, n AS count FROM post WHERE n >= 3")
+def posting_prune(spark, folder):
+    return ix.pruned(document_index(spark, folder).postings, 3).select("doc_id", "word", "count")
+
+
+@register(f"WITH {_tokens("SELECT doc_id, replace(text, ' ', '') AS text FROM documents")} SELECT doc_id, word FROM post WHERE length(word) >= 30")
+def long_words(spark, folder):
+    """Words of 30 characters and above are in the forward index only."""
+    docs = _documents(spark, folder).select("doc_id", F.replace("text", F.lit(" "), F.lit("")).alias("text"))
+    return ix.postings(ix.word_positions(ix.tokenised(docs))).where(F.length("word") >= tx.LONG_WORD).select("doc_id", "word")
+
+
+@register(f"WITH {_tokens()} SELECT 'ForwardIndex' AS name, count(DISTINCT doc_id) AS n FROM post UNION ALL SELECT 'InvertIndex', count(DISTINCT word) FROM post WHERE length(word) < 30")
+def index_stats(spark, folder):
+    index = document_index(spark, folder)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    return count(index.norms, "ForwardIndex").unionByName(count(index.freq, "InvertIndex"))
+
+
+@register(f"WITH {_tokens('SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(lang) || text ELSE text END AS text FROM documents')} SELECT doc_id, word, n AS count FROM post")
+def index_upsert(spark, folder):
+    """Every seventh document arrives again with another text; its old postings go."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    new = docs.where("doc_id % 7 = 0").select("doc_id", F.concat(F.upper("lang"), F.col("text")).alias("text"))
+    old = document_index(spark, folder).postings
+    return ix.upsert(old, ix.postings(ix.word_positions(ix.tokenised(new)))).select("doc_id", "word", "count")
+
+
+# Graph
+
+#: Supplier and customer nations that trade much: a graph with real cycles.
+TRADE = """SELECT DISTINCT s_nationkey::bigint AS src, c_nationkey::bigint AS dst FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE l_quantity >= 49 AND o_totalprice > 400000"""
+DOC_GRAPH = """SELECT doc_id AS src, doc_id // 2 AS dst FROM documents UNION ALL
+  SELECT src, dst FROM (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS dst FROM documents) WHERE dst IS NOT NULL"""
+
+
+def _rank_sql(edges: str, n: int, start: str | None = None, prefix: str = "") -> str:
+    out = f"{prefix}e AS ({edges}), {prefix}g AS (SELECT *, count(*) OVER (PARTITION BY src) AS outdeg FROM {prefix}e)"
+    for i in range(1, n + 1):
+        last = f"LEFT JOIN {prefix}r{i - 1} r ON r.doc_id = src" if i > 1 or start else ""
+        if i == 1 and start:
+            out += f", {prefix}r0 AS ({start})"
+        rank = "coalesce(r.pagerank, 1.0::double)" if last else "1.0::double"
+        out += f", {prefix}r{i} AS (SELECT dst AS doc_id, 0.7::double * sum({rank} / outdeg) + (1 - 0.7::double) AS pagerank FROM {prefix}g {last} GROUP BY dst)"
+    return out
+
+
+def trade_graph(spark, folder) -> DataFrame:
+    t = lambda name: table(spark, folder, name)
+    lines = t("lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
+    orders = t("orders").where("o_totalprice > 400000").select("o_orderkey", "o_custkey")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.select(F.col("s_nationkey").cast("bigint").alias("src"), F.col("c_nationkey").cast("bigint").alias("dst")).distinct()
+
+
+def document_graph(spark, folder) -> DataFrame:
+    """A stand-in for hyperlinks: each document points to the one of half its id and to its source's next."""
+    from pyspark.sql import Window
+
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    half = docs.select(F.col("doc_id").alias("src"), F.expr("doc_id div 2").alias("dst"))
+    after = docs.select(F.col("doc_id").alias("src"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("dst")).where("dst IS NOT NULL")
+    return half.unionByName(after)
+
+
+LINKS = r"""links AS (SELECT page_id, base, unnest(a) AS href, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT page_id, url AS base, regexp_extract_all(html, '(?i)<a\b[^>]*?href="([^"]*)"', 1) AS a FROM pages)),
+abs AS (SELECT page_id, pos, CASE WHEN href LIKE '/%' THEN regexp_extract(base, '^(https?://[^/?#]+)', 1) || href ELSE href END AS url FROM links)"""
+
+
+@register(f"WITH {LINKS} SELECT page_id, pos, url FROM abs")
+def page_links(spark, folder):
+    return graph.page_links(spread(table(spark, folder, "pages")))
+
+
+@register(f"WITH {LINKS} SELECT DISTINCT page_id, url FROM abs WHERE strlen(url) < 2048")
+def page_out_links(spark, folder):
+    return graph.page_out_links(spread(table(spark, folder, "pages")))
+
+
+#: No link of the pages leads to another of them, so each page also gets one to its successor.
+LINKED = "SELECT page_id, url, html || coalesce('<a href=\"' || lead(url) OVER (ORDER BY page_id) || '\">', '') AS html FROM pages WHERE page_id % 3 <> 2"
+
+
+@register(f"""WITH p AS ({LINKED}), l AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?href="([^"]*)"', 1)) AS href FROM p),
+f AS (SELECT DISTINCT l.page_id AS src, p.page_id AS dst FROM l JOIN p ON p.url = CASE WHEN href LIKE '/%' THEN regexp_extract(base, '^(https?://[^/?#]+)', 1) || href ELSE href END)
+SELECT src, dst FROM f UNION ALL SELECT page_id, page_id FROM p WHERE page_id NOT IN (SELECT src FROM f)""")
+def page_link_graph(spark, folder):
+    return graph.link_graph(_linked_pages(spark, folder))
+
+
+def _linked_pages(spark, folder):
+    from pyspark.sql import Window
+
+    pages = table(spark, folder, "pages").where("page_id % 3 <> 2")
+    after = pages.select("page_id", F.lead("url").over(Window.orderBy("page_id")).alias("next"))
+    return pages.join(after, "page_id").select("page_id", "url", F.concat("html", F.coalesce(F.concat(F.lit('<a href="'), "next", F.lit('">')), F.lit(""))).alias("html"))
+
+
+@register(f"SELECT src, string_agg(dst::varchar, ',' ORDER BY dst) AS line FROM ({TRADE}) GROUP BY src")
+def link_adjacency(spark, folder):
+    return graph.adjacency(trade_graph(spark, folder))
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.round("pagerank", 6).alias("pagerank"))
+
+
+@register(f"WITH {_rank_sql(TRADE, 1)} SELECT doc_id, round(pagerank, 6) AS pagerank FROM r1")
+def pagerank_1iter(spark, folder):
+    return _ranked(graph.pagerank(trade_graph(spark, folder), 1))
+
+
+@register(f"WITH {_rank_sql(TRADE, 5)} SELECT doc_id, round(pagerank, 6) AS pagerank FROM r5")
+def pagerank_5iter(spark, folder):
+    return _ranked(graph.pagerank(trade_graph(spark, folder), 5))
+
+
+@register(f"WITH {_rank_sql(TRADE, 2, 'SELECT n_nationkey::bigint AS doc_id, 0.5::double + n_regionkey AS pagerank FROM nation WHERE n_nationkey < 20')} SELECT doc_id, round(pagerank, 6) AS pagerank FROM r2")
+def pagerank_warm(spark, folder):
+    first = table(spark, folder, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("bigint").alias("doc_id"), (0.5 + F.col("n_regionkey")).alias("pagerank"))
+    return _ranked(graph.pagerank(trade_graph(spark, folder), 2, initial=first))
+
+
+@register(f"WITH {_rank_sql(DOC_GRAPH, 3)} SELECT doc_id, round(pagerank, 6) AS pagerank FROM r3")
+def pagerank_documents(spark, folder):
+    return _ranked(graph.pagerank(document_graph(spark, folder), 3))
+
+
+_ranks: dict[tuple[str, str], DataFrame] = {}
+
+
+def document_ranks(spark, folder) -> DataFrame:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _ranks:
+        _ranks[key] = graph.pagerank(document_graph(spark, folder), 3)
+    return _ranks[key]
+
+
+# Search
+
+
+@register(f"WITH {_tokens()}, {NORMS}, {FREQ}, {IDF} SELECT word, round(CASE WHEN word IN ('of', 'the') THEN 0 ELSE idf END, 6) AS idf FROM idf WHERE word IN ('that', 'of', 'with', 'anble')")
+def idf(spark, folder):
+    return search.query_weights(document_index(spark, folder), ["that", "of", "with", "anble"]).select("word", F.round("idf", 6).alias("idf"))
+
+
+@register(f"WITH {_tokens()}, {NORMS} SELECT doc_id, word, round(n / sqrt(sq), 6) AS tf FROM post JOIN norms USING (doc_id)")
+def tf_weights(spark, folder):
+    return search.tf_weights(document_index(spark, folder)).select("doc_id", "word", F.round("tf", 6).alias("tf"))
+
+
+@register(f"WITH {_tokens()} SELECT word, doc_id, n AS count, rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, doc_id) AS rank FROM post WHERE length(word) < 30) WHERE rank <= 30")
+def top_docs_per_word(spark, folder):
+    return ix.top_docs_per_word(ix.indexed(document_index(spark, folder).postings), 30).select("word", "doc_id", "count", "rank")
+
+
+def _candidates_sql(words: list[str]) -> str:
+    names = ", ".join(f"'{w}'" for w in words)
+    return f"cand AS (SELECT DISTINCT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, doc_id) AS rank FROM post WHERE length(word) < 30 AND word IN ({names})) WHERE rank <= 30)"
+
+
+def _scores_sql(words: list[str], ranks: str | None, source: str = "SELECT doc_id, text FROM documents") -> str:
+    """CTEs up to s (doc_id, cosine, phrase, score)."""
+    names = {w: f"p{i}" for i, w in enumerate(dict.fromkeys(words))}
+    joins = " ".join(f"LEFT JOIN post {p} ON {p}.doc_id = cand.doc_id AND {p}.word = '{w}'" for w, p in names.items())
+    weight = lambda w: "0.0" if w in ("of", "the") else f"coalesce((SELECT idf FROM idf WHERE word = '{w}'), 0.0)"
+    cosine = " + ".join(f"coalesce({names[w]}.n / sqrt(sq) * {weight(w)}, 0.0)" for w in words)
+    bonus = []
+    for a, b in zip(words, words[1:]):
+        if a != b:
+            x, y = f"{names[a]}.positions[1:5]", f"{names[b]}.positions[1:5]"
+            bonus.append(f"5.0 / CASE WHEN len({x}) > 0 AND len({y}) > 0 THEN list_avg(list_transform({x}, lambda p: list_min(list_transform({y}, lambda q: abs(q - p))))) ELSE 2147483647.0 END")
+    rank = "LEFT JOIN ranks USING (doc_id)" if ranks else ""
+    last = f", ranks AS (SELECT * FROM {ranks})" if ranks else ""
+    return f"""{_tokens(source)}, {NORMS}, {FREQ}, {IDF}, {_candidates_sql(words)}{last},
+c AS (SELECT cand.doc_id, ({cosine})::double AS cosine, ({" + ".join(bonus) or "0"})::double AS phrase FROM cand JOIN norms ON norms.doc_id = cand.doc_id {joins}),
+s AS (SELECT c.doc_id, cosine, phrase, {"coalesce(pagerank, 0.0)" if ranks else "1.0"} * (cosine + phrase) AS score FROM c {rank})"""
+
+
+def _search_sql(words: list[str], tail: str) -> str:
+    return f"WITH {_rank_sql(DOC_GRAPH, 3, prefix='g')}, {_scores_sql(words, 'gr3')} {tail}"
+
+
+ALL = "SELECT doc_id, round(cosine, 6) AS cosine, round(phrase, 6) AS phrase, round(score, 6) AS score FROM s"
+
+
+def _scored(spark, folder, query: str) -> DataFrame:
+    return search.scores(document_index(spark, folder), document_ranks(spark, folder), tx.query_words(query))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", *[F.round(c, 6).alias(c) for c in ("cosine", "phrase", "score")])
+
+
+@register(f"WITH {_tokens()}, {_candidates_sql(['that', 'with'])} SELECT doc_id FROM cand")
+def search_candidates(spark, folder):
+    return search.candidates(document_index(spark, folder), ["that", "with"])
+
+
+@register(_search_sql(["that", "with"], "SELECT doc_id, round(cosine, 6) AS cosine FROM s"))
+def tfidf_scores(spark, folder):
+    return _scored(spark, folder, "that with").select("doc_id", F.round("cosine", 6).alias("cosine"))
+
+
+@register(_search_sql(["that", "with", "from"], "SELECT doc_id, round(phrase, 6) AS phrase FROM s"))
+def phrase_proximity(spark, folder):
+    return _scored(spark, folder, "that with from").select("doc_id", F.round("phrase", 6).alias("phrase"))
+
+
+def _searching(name: str, query: str):
+    def run(spark, folder):
+        return _shown(_scored(spark, folder, query))
+
+    run.__name__, run.__doc__ = name, f"All scored documents of the query {query!r}."
+    register(_search_sql(tx.query_words(query), ALL))(run)
+
+
+for _name, _query in {"search_one_word": "that", "search_two_words": "that with", "search_three_words": "That with from", "search_stopword": "of", "search_miss": "zzzz", "search_repeated_word": "that that with"}.items():
+    _searching(_name, _query)
+
+
+@register(_search_sql(["that", "with"], ALL + " ORDER BY s.score DESC, doc_id LIMIT 6 OFFSET 6"))
+def search_page2(spark, folder):
+    return _shown(search.page(_scored(spark, folder, "that with"), 2))
+
+
+@register(_search_sql(["that"], "SELECT doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS total FROM s) WHERE k > 24 AND k <= CASE WHEN total <= 30 THEN total - 1 ELSE 30 END"))
+def search_page_strict(spark, folder):
+    """The last page in strict mode, which loses the last document."""
+    return search.page(_scored(spark, folder, "that"), 5, strict=True).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register(_search_sql(["that", "with"], "SELECT count(*) AS total FROM s"))
+def search_total(spark, folder):
+    return search.total(_scored(spark, folder, "that with"))
+
+
+def _snippet_sql(query: str) -> str:
+    """CTEs up to d (page_id, description)."""
+    own = _markup(_rr("x", tx.NESTED, " "))
+    hits = " ".join(f"UNION ALL SELECT page_id, list_position(list_transform(own, lambda o: contains(o, '{w}')), true) AS i FROM para" for w in search.snippet_words(query))[len("UNION ALL ") :]
+    return f"""para AS (SELECT page_id, html, list_transform(a, lambda x: lower({own})) AS own, list_transform(a, lambda x: {_markup("x")}) AS texts FROM (SELECT page_id, html, {_paragraphs_sql()} AS a FROM pages)),
+hit AS ({hits}), best AS (SELECT page_id, i FROM (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, i) AS k FROM hit WHERE i > 0 GROUP BY page_id, i) WHERE k = 1),
+d AS (SELECT page_id, coalesce(texts[i], list_filter(texts, lambda t: t <> '')[1], '') AS description FROM para LEFT JOIN best USING (page_id))"""
+
+
+@register(f"WITH {_snippet_sql('thing, that of')} SELECT page_id, description FROM d")
+def snippets(spark, folder):
+    return spread(table(spark, folder, "pages")).select("page_id", search.snippet(F.col("html"), "thing, that of").alias("description"))
+
+
+def page_hits(spark, folder, query: str, number: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A result page over the pages table, and all scored pages; every page has rank 1."""
+    index = page_index(spark, folder)
+    ranks = index.norms.select("doc_id", F.lit(1.0).alias("pagerank"))
+    scored = search.scores(index, ranks, tx.query_words(query))
+    return search.page(scored, number), scored
+
+
+@register(f"WITH {_scores_sql(['that', 'with'], None, PAGES)}, {_snippet_sql('that with')} SELECT doc_id, round(score, 6) AS score, {_title('pages.html')} AS title, url, description FROM (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 6) t JOIN pages ON pages.page_id = doc_id JOIN d ON d.page_id = doc_id")
+def search_results(spark, folder):
+    hits, _ = page_hits(spark, folder, "that with")
+    return search.results(hits, table(spark, folder, "pages"), "that with").withColumn("score", F.round("score", 6))
+
+
+@register()
+def search_json(spark, folder):
+    hits, scored = page_hits(spark, folder, "that with")
+    return search.to_json(search.results(hits, table(spark, folder, "pages"), "that with"), scored)
+
+
+@register()
+def search_display(spark, folder):
+    hits, _ = page_hits(spark, folder, "that with")
+    return search.display(search.results(hits, table(spark, folder, "pages"), "that with"), "that with")
+
+
+@register(rf"SELECT doc_id, {_rr(_rr('text', '(?i)' + chr(92) + 'bthat' + chr(92) + 'b', '<b>THAT</b>'), '(?i)' + chr(92) + 'bwith' + chr(92) + 'b', '<b>WITH</b>')} AS text FROM documents WHERE lang = 'en'")
+def highlight(spark, folder):
+    docs = table(spark, folder, "documents").where("lang = 'en'")
+    return spread(docs.select("doc_id", "text")).select("doc_id", tx.highlight(F.col("text"), ["that", "with", ""]).alias("text"))
+
+
+@register("SELECT page_id, CASE WHEN length(url) > 30 THEN left(url, 30) || '...' ELSE url END AS url FROM pages")
+def truncate_display(spark, folder):
+    return table(spark, folder, "pages").select("page_id", tx.truncate(F.col("url"), 30).alias("url"))
+
+
+# Suggestions
+
+NGRAMS = f"""{_tokens()}, kept AS (SELECT doc_id, pos, lower(t) AS word, lag(lower(t), 1) OVER w AS p1, lag(lower(t), 2) OVER w AS p2 FROM tok WHERE regexp_full_match(t, '[a-zA-Z0-9]+') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+grams AS (SELECT history, word AS next, count(*) AS n FROM (SELECT '' AS history, word FROM kept UNION ALL SELECT p1, word FROM kept WHERE p1 IS NOT NULL UNION ALL SELECT p2 || ' ' || p1, word FROM kept WHERE p2 IS NOT NULL) GROUP BY ALL)"""
+
+
+def _ngrams(spark, folder):
+    return suggest.ngram_counts(ix.tokenised(_documents(spark, folder)))
+
+
+@register(f"WITH {NGRAMS} SELECT history, rank, next, n FROM (SELECT *, row_number() OVER (PARTITION BY history ORDER BY n DESC, next) AS rank FROM grams WHERE history NOT LIKE '% %' AND history <> '') WHERE rank <= 5")
+def suggest_next_word(spark, folder):
+    return suggest.top_next(_ngrams(spark, folder).where(~F.col("history").contains(" ") & (F.col("history") != "")))
+
+
+@register(f"""WITH {NGRAMS}, o AS (SELECT next, min(struct_pack(l := CASE history WHEN 'that with' THEN 1 WHEN 'with' THEN 2 ELSE 3 END, m := -n)) AS o FROM grams WHERE history IN ('that with', 'with', '') GROUP BY next)
+SELECT rank, 'that with ' || next AS suggestion FROM (SELECT next, row_number() OVER (ORDER BY o, next) AS rank FROM o) WHERE rank <= 5""")
+def suggest_backoff(spark, folder):
+    return suggest.suggest(_ngrams(spark, folder), "that with ")
+
+
+# Crawl
+
+
+@register("SELECT url, coalesce(nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), ''), 'unknown') AS domain FROM (SELECT url FROM pages UNION ALL SELECT 'mailto:a@b' AS url)")
+def frontier_hosts(spark, folder):
+    odd = spark.range(1).select(F.lit("mailto:a@b").alias("url"))
+    return crawl.frontier_hosts(table(spark, folder, "pages").select("url").unionByName(odd))
+
+
+@register(r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^(https?://[^/]+)', '\1:8080') WHEN 2 THEN regexp_replace(url, '^(https?://[^/]+)', '\1:x') ELSE regexp_extract(url, '^(https?://[^/]+)', 1) END AS url FROM pages)
+SELECT page_id, regexp_extract(url, '^https?://([^/:]*)', 1) AS host, coalesce(try_cast(nullif(regexp_extract(url, '^https?://[^/]*:([0-9]{1,5})(/|$)', 1), '') AS int), CASE WHEN url LIKE 'https:%' THEN 443 ELSE 80 END) AS port, coalesce(nullif(regexp_extract(url, '^https?://[^/]*(/.*)$', 1), ''), '/') AS path, url LIKE 'https:%' AS is_secure FROM u""")
+def url_parts(spark, folder):
+    root, url = r"^(https?://[^/]+)", F.col("url")
+    made = F.when(F.col("page_id") % 4 == 0, url).when(F.col("page_id") % 4 == 1, F.regexp_replace(url, root, "$1:8080")).when(F.col("page_id") % 4 == 2, F.regexp_replace(url, root, "$1:x")).otherwise(F.regexp_extract(url, root, 1))
+    return table(spark, folder, "pages").select("page_id", urls.parts(made).alias("p")).select("page_id", "p.*")
+
+
+@register("SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/a/c.html?q=1' AS dots, regexp_extract(url, '^(https?:)', 1) || '//cdn.example.org/x' AS scheme, regexp_extract(url, '^([^#]*)', 1) || '#f' AS fragment, '' AS mail FROM pages")
+def resolve_links(spark, folder):
+    at = lambda href: urls.resolve(F.col("url"), F.lit(href))
+    return table(spark, folder, "pages").select("page_id", at("/a/./b/../c.html?q=1").alias("dots"), at("//cdn.example.org/x").alias("scheme"), at("#f").alias("fragment"), at("mailto:a@b").alias("mail"))
+
+
+@register(f"WITH {LINKS} SELECT DISTINCT url FROM (SELECT url FROM abs UNION ALL SELECT 'ftp://x/y') WHERE url ^@ 'http' AND url NOT IN (SELECT url FROM abs WHERE page_id % 2 = 0)")
+def url_filter(spark, folder):
+    links = graph.page_links(spread(table(spark, folder, "pages")))
+    odd = spark.range(1).select(F.lit("ftp://x/y").alias("url"))
+    return crawl.url_filter(links.select("url").unionByName(odd), links.where("page_id % 2 = 0").select("url").distinct())
+
+
+#: A head response for each page, and the robots rules of hosts, made from the tables.
+FETCHES = """SELECT url, CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status, CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/svg+xml' ELSE 'text/html' END AS type, length(html) * 100 AS size, page_id FROM pages"""
+ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow: /fr\nAllow: /en/11\nCrawl-delay: 1.5\n\n# note\nUser-agent: other\nUser-agent: bot\nDisallow: /\nCrawl-delay: 3\n\nUser-agent: bot\nDisallow: /de"
+
+
+def _fetches(spark, folder) -> DataFrame:
+    return table(spark, folder, "pages").selectExpr("page_id", "url", "CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status", "CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/svg+xml' ELSE 'text/html' END AS type", "length(html) * 100 AS size")
+
+
+def _rules(spark, folder) -> DataFrame:
+    hosts = table(spark, folder, "pages").select(urls.host(F.col("url")).alias("domain")).distinct()
+    return crawl.robots_rules(hosts.select("domain", F.lit(ROBOTS).alias("body")))
+
+
+HOSTS = "SELECT DISTINCT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain FROM pages"
+
+
+@register(f"""SELECT domain, user_agent, disallow, allow, delay FROM ({HOSTS}), (VALUES ('*', '/en/1,/fr', '/en/11', 2), ('other', '/', '', 3), ('bot', '/de', '', 0)) r(user_agent, disallow, allow, delay)""")
+def robots_rules(spark, folder):
+    return _rules(spark, folder).select("domain", "user_agent", F.array_join("disallow", ",").alias("disallow"), F.array_join("allow", ",").alias("allow"), "delay")
+
+
+@register(f"""WITH f AS ({FETCHES}), p AS (SELECT *, regexp_extract(url, '^https?://[^/]*(/.*)$', 1) AS path FROM f)
+SELECT url, CASE WHEN status <> 200 THEN 'status' WHEN page_id % 13 = 0 THEN 'visited' WHEN (path ^@ '/en/1' OR path ^@ '/fr') AND NOT path ^@ '/en/11' THEN 'robots' WHEN size > 0.3 * 1048576 THEN 'size' WHEN page_id % 5 = 1 THEN 'type' END AS reject FROM p""")
+def crawl_admission(spark, folder):
+    fetches = _fetches(spark, folder)
+    visited = fetches.where("page_id % 13 = 0").select("url")
+    return crawl.admission(fetches.drop("page_id"), visited, _rules(spark, folder), "sparkseek", 0.3)
+
+
+@register("SELECT md5(text) AS hash, min(doc_id) AS doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 20) GROUP BY 1")
+def content_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return crawl.content_dedup(docs, docs.where("doc_id < 20").select(F.md5("text").alias("hash")).distinct())
+
+
+@register("SELECT event_id, user_id, gap_us, coalesce(gap_us < 3600000000, false) AS too_early FROM (SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events)")
+def politeness_gaps(spark, folder):
+    return crawl.politeness_gaps(table(spark, folder, "events"), "user_id", "ts", F.lit(3600))
+
+
+@register("SELECT count(*) AS n_docs FROM documents")
+def corpus_size(spark, folder):
+    return store.corpus_size(table(spark, folder, "documents"))
+
+
+@register("SELECT url, page_id AS doc_id, md5(html) AS hash FROM pages WHERE page_id % 10 = 3")
+def fetch_document_by_url(spark, folder):
+    pages = table(spark, folder, "pages").withColumn("doc_id", F.col("page_id")).withColumn("file_id", F.expr("page_id div 16"))
+    found = store.fetch_by_url(pages.select("url", "doc_id"), pages.select("doc_id", "file_id"), pages.select("doc_id", "file_id", "html"), pages.where("page_id % 10 = 3").select("url"))
+    return found.select("url", "doc_id", F.md5("html").alias("hash"))
+
+
+@register("""WITH RECURSIVE b AS (SELECT n_nationkey::bigint AS url, 0 AS round FROM nation WHERE n_nationkey = 3 UNION SELECT e.dst, b.round + 1 FROM b JOIN (SELECT s_nationkey::bigint AS src, c_nationkey::bigint AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND o_totalprice > 450000) e ON e.src = b.url WHERE b.round < 4)
+SELECT url::varchar AS url, min(round) AS round FROM b GROUP BY url""")
+def crawl_rounds(spark, folder):
+    t = lambda name: table(spark, folder, name)
+    lines = t("lineitem").where("l_quantity >= 50").join(t("orders").where("o_totalprice > 450000"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = lines.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").cast("string").alias("src_url"), F.col("c_nationkey").cast("string").alias("url")).distinct()
+    seeds = t("nation").where("n_nationkey = 3").select(F.col("n_nationkey").cast("string").alias("url"))
+    return crawl.crawl_rounds(seeds, edges, 1000, 4)
+
+
+# Exchanges
+
+
+@register("SELECT event_type, count(*) AS n, 1::bigint AS instances FROM events GROUP BY event_type")
+def grouping_fields(spark, folder):
+    dealt = exchange.by_fields(table(spark, folder, "events"), 6, "event_type").withColumn("instance", F.spark_partition_id())
+    return dealt.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("instance").alias("instances"))
+
+
+@register("SELECT count(*) AS n, 4::bigint AS instances, true AS even FROM events")
+def grouping_shuffle(spark, folder):
+    dealt = exchange.shuffled(table(spark, folder, "events").select("event_id"), 4).groupBy(F.spark_partition_id().alias("i")).count()
+    return dealt.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("instances"), (F.max("count") - F.min("count") <= 8).alias("even"))
+
+
+@register("SELECT event_type, i::int AS instance, count(*) AS n FROM events, range(3) r(i) GROUP BY ALL")
+def grouping_all(spark, folder):
+    return exchange.to_all(table(spark, folder, "events").select("event_type"), 3).groupBy("event_type", "instance").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Text formats
+
+
+@register(f"WITH {_tokens()} SELECT doc_id::varchar AS doc_id, word, array_to_string(positions, ',') AS positions FROM post")
+def positions_text_roundtrip(spark, folder):
+    lines = segments.positions_lines(ix.word_positions(ix.tokenised(_documents(spark, folder))))
+    bad = spark.createDataFrame([("(a,b,c)\t[1]",), ("no line",)], "line string")
+    return segments.parse_positions(lines.unionByName(bad)).select("doc_id", "word", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@register(f"SELECT src::varchar AS src, dst::varchar AS dst FROM ({TRADE})")
+def adjacency_text_roundtrip(spark, folder):
+    return segments.parse_adjacency(segments.adjacency_lines(graph.adjacency(trade_graph(spark, folder))))
+
+
+@register("SELECT page_id::varchar AS doc_id, md5(html) AS hash FROM pages")
+def segment_roundtrip(spark, folder):
+    import uuid
+
+    from .session import shared_folder
+
+    path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    segments.write_segments(table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html"), path, 100)
+    return segments.read_segments(spark, path).select("doc_id", F.md5("html").alias("hash"))
+
+
+# Streams
+
+
+def _events(spark, folder) -> DataFrame:
+    path = f"{folder}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/events*.parquet")
+
+
+@register("SELECT 'http://h' || user_id || '.example.org/' || event_type AS url, 'h' || user_id || '.example.org' AS domain FROM events")
+def stream_frontier(spark, folder):
+    return live.run_once(live.frontier_stream(_events(spark, folder)).select("url", "domain"))
+
+
+@register("SELECT DISTINCT 'http://h' || user_id || '.example.org/' || event_type AS url FROM events")
+def stream_dedup(spark, folder):
+    return live.run_once(live.dedup_stream(live.frontier_stream(_events(spark, folder))).select("url"))
+
+
+@register()
+def stream_politeness(spark, folder):
+    ship(spark)
+    return live.run_once(live.politeness_stream(live.frontier_stream(_events(spark, folder)), 3600))
+
+
+@register(f"WITH {_tokens()} SELECT doc_id, word, n AS count FROM post")
+def stream_index(spark, folder):
+    import uuid
+
+    from .session import shared_folder
+
+    base = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
+    docs = spark.readStream.schema(schema).parquet(f"{folder}/documents*.parquet").select("doc_id", "text")
+    live.index_stream(docs, f"{base}/postings", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/postings").select("doc_id", "word", "count")
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return QUERIES["search_two_words"](spark, folder)

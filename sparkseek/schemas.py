@@ -1,0 +1,22 @@
+"""Schemas of the engine's tables."""
+
+from pyspark.sql import types as T
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+S, I, L, D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+
+SEGMENT = _struct(doc_id=S, html=S)
+POSITIONS = _struct(doc_id=S, word=S, positions=T.ArrayType(I))
+FORWARD = _struct(doc_id=S, forward_index=T.MapType(S, I), hit_lists=T.MapType(S, T.ArrayType(I)), square_norm=L)
+INVERTED = _struct(word=S, invert_index=T.MapType(S, I), n_doc=L)
+PAGERANK = _struct(doc_id=S, pagerank=D)
+URL_MAP = _struct(url=S, doc_id=S)
+DOMAIN = _struct(domain=S, last_access_ms=L, delay_s=I)
+ROBOTS_RULE = _struct(user_agent=S, disallow=T.ArrayType(S), allow=T.ArrayType(S), delay=I)
+FRONTIER = _struct(url=S, enqueued_at=T.TimestampType())
+FETCHED = _struct(url=S, document=S, modified_time=L, type=S)
+RESULT = _struct(rank=L, title=S, url=S, description=S)
