@@ -576,9 +576,10 @@ def content_dedup(spark, folder):
     return crawl.content_dedup(docs, docs.where("doc_id < 20").select(F.md5("text").alias("hash")).distinct())
 
 
-@register("SELECT event_id, user_id, gap_us, coalesce(gap_us < 3600000000, false) AS too_early FROM (SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events)")
+@register("SELECT event_id, user_id, coalesce(gap_us, -1) AS gap_us, coalesce(gap_us < 3600000000, false) AS too_early FROM (SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events)")
 def politeness_gaps(spark, folder):
-    return crawl.politeness_gaps(table(spark, folder, "events"), "user_id", "ts", F.lit(3600))
+    gaps = crawl.politeness_gaps(table(spark, folder, "events"), "user_id", "ts", F.lit(3600))
+    return gaps.withColumn("gap_us", F.coalesce("gap_us", F.lit(-1).cast("bigint")))
 
 
 @register("SELECT count(*) AS n_docs FROM documents")

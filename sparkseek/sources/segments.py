@@ -9,7 +9,10 @@ MARK = "***DOCID:"
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, html) of segment files: records are whole and keyed by the marker before them."""
+    """(doc_id, html) of segment files: records are whole and keyed by the marker before them.
+
+    Files start with a marker or white space.
+    """
     raw = spark.read.text(path, lineSep=MARK)
     body = F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1)
     # What stands before the next marker on its line isn't part of the body.
