@@ -292,11 +292,11 @@ def page_link_graph(spark, folder):
 
 
 def _linked_pages(spark, folder):
-    from pyspark.sql import Window
-
     pages = table(spark, folder, "pages").where("page_id % 3 <> 2")
-    after = pages.select("page_id", F.lead("url").over(Window.orderBy("page_id")).alias("next"))
-    return pages.join(after, "page_id").select("page_id", "url", F.concat("html", F.coalesce(F.concat(F.lit('<a href="'), "next", F.lit('">')), F.lit(""))).alias("html"))
+    # The next id that is left: an equi-join, not a window over all pages.
+    after = pages.select(F.expr("CASE page_id % 3 WHEN 0 THEN page_id - 2 ELSE page_id - 1 END").alias("page_id"), F.col("url").alias("next"))
+    link = F.coalesce(F.concat(F.lit('<a href="'), "next", F.lit('">')), F.lit(""))
+    return pages.join(after, "page_id", "left").select("page_id", "url", F.concat("html", link).alias("html"))
 
 
 @register(f"SELECT src, string_agg(dst::varchar, ',' ORDER BY dst) AS line FROM ({TRADE}) GROUP BY src")
@@ -687,5 +687,33 @@ def stream_index(spark, folder):
     return spark.read.parquet(f"{base}/postings").select("doc_id", "word", "count")
 
 
+@register("""WITH f AS (SELECT url, html, md5(url) AS doc_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain FROM pages)
+SELECT 'segments' AS name, md5(doc_id || html) AS value FROM f UNION ALL SELECT 'url_to_doc', url || doc_id FROM f UNION ALL SELECT DISTINCT 'checksum', md5(html) FROM f
+UNION ALL SELECT DISTINCT 'visited', url FROM f UNION ALL SELECT DISTINCT 'domain', domain || '1700000000000' FROM f""")
+def stream_store(spark, folder):
+    """One stream of fetched pages into five tables."""
+    import uuid
+
+    from .session import shared_folder
+
+    base = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{folder}/pages.parquet").schema
+    fetched = spark.readStream.schema(schema).parquet(f"{folder}/pages*.parquet").select("url", F.col("html").alias("document"), F.lit("text/html").alias("type"), F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
+    live.store_stream(fetched, base, f"{base}/checkpoint").awaitTermination()
+    values = {"segments": F.md5(F.concat("doc_id", "html")), "url_to_doc": F.concat("url", "doc_id"), "checksum": F.col("hash"), "visited": F.col("url"), "domain": F.concat("domain", F.col("last_access_ms").cast("string"))}
+    out = None
+    for name, value in values.items():
+        part = spark.read.parquet(f"{base}/{name}").select(F.lit(name).alias("name"), value.alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register(f"WITH {LINKS} SELECT url AS link, count(*) AS n FROM abs WHERE page_id % 5 NOT IN (1, 2) GROUP BY url")
+def extracted_links(spark, folder):
+    """Links of the fetched documents whose type is HTML."""
+    pages = spread(table(spark, folder, "pages")).select("url", F.col("html").alias("document"), F.expr("CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/svg+xml' ELSE 'text/html' END").alias("type"))
+    return crawl.extracted_links(pages).groupBy("link").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return QUERIES["search_two_words"](spark, folder)

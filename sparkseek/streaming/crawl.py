@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.index import postings, tokenised, word_positions
@@ -81,3 +82,54 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str):
         postings(word_positions(tokenised(batch))).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_rows(fetched: DataFrame) -> dict[str, DataFrame]:
+    """The rows that a fetched document (url, document, type, ts) adds to each table; ids are MD5s of URLs."""
+    rows = fetched.withColumn("doc_id", F.md5("url"))
+    domain = F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1), F.lit("")), F.lit("unknown"))
+    return {
+        "segments": rows.select("doc_id", F.col("document").alias("html")),
+        "url_to_doc": rows.select("url", "doc_id"),
+        "checksum": rows.select(F.md5("document").alias("hash")).distinct(),
+        "visited": rows.select("url").distinct(),
+        "domain": rows.groupBy(domain.alias("domain")).agg((F.max(F.unix_millis("ts"))).alias("last_access_ms")),
+    }
+
+
+def store_stream(fetched: DataFrame, path: str, checkpoint: str):
+    """Fan a stream of fetched documents out to all tables; a replayed batch overwrites itself."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for name, rows in stored_rows(batch).items():
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return fetched.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class CrawlProgress(StreamingQueryListener):
+    """Counts the documents of each running crawl and says when `limit` are stored."""
+
+    def __init__(self, limit: int | None = None):
+        self.limit, self.counts, self.state = limit, {}, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.state[str(event.id)] = "working"
+
+    def onQueryProgress(self, event) -> None:
+        key = str(event.progress.id)
+        self.counts[key] = self.counts.get(key, 0) + event.progress.numInputRows
+        self.state[key] = "working" if event.progress.numInputRows else "waiting"
+
+    def onQueryIdle(self, event) -> None:
+        self.state[str(event.id)] = "waiting"
+
+    def onQueryTerminated(self, event) -> None:
+        self.state[str(event.id)] = "exited"
+
+    def done(self, query) -> bool:
+        return self.limit is not None and self.counts.get(str(query.id), 0) >= self.limit

@@ -81,6 +81,37 @@ def test_json_page(spark):
     assert data["total"] >= len(data["data"]) == 6 and set(data["data"][0]) == {"title", "url", "description"}
 
 
+def test_service(spark):
+    from sparkseek.plans.service import SearchService
+
+    pages = spark.createDataFrame([(1, "http://a/1", "<title>One</title><p>red fox</p>"), (2, "http://a/2", "<title>Two</title><p>red red hen</p>")], "page_id bigint, url string, html string")
+    docs = spark.createDataFrame([(1, "One red fox"), (2, "Two red red hen"), (3, "no page blue")], "doc_id bigint, text string")
+    ranks = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "doc_id bigint, pagerank double")
+    service = SearchService(ix.Index.build(docs), ranks, pages, suggest.ngram_counts(ix.tokenised(docs)))
+    page = json.loads(service.search("red fox"))
+    assert page["total"] == 2 and page["data"][0] == {"title": "One", "url": "http://a/1", "description": "red fox"}
+    assert json.loads(service.search("red", 9)) == {"data": [], "total": 2} and json.loads(service.search("blue"))["data"] == []
+    assert service.shown("hen")[0]["description"] == "red red <b>HEN</b>"
+    assert service.suggest("two ")[0] == "two red" and service.total("zzz") == 0
+
+
+def test_progress_listener(spark, tmp_path):
+    from sparkseek.streaming.crawl import CrawlProgress
+
+    listener = CrawlProgress(limit=5)
+    spark.streams.addListener(listener)
+    try:
+        query = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 5).load().writeStream.format("noop").option("checkpointLocation", str(tmp_path)).start()
+        for _ in range(60):
+            if listener.done(query):
+                break
+            query.awaitTermination(0.5)
+        assert listener.done(query)
+        query.stop()
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
