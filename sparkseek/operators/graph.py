@@ -49,7 +49,8 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = DAMPING, initia
     """
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
     # Hash-partitioned by source once, so that each iteration only moves ranks and contributions.
-    links = edges.join(degree, "src").select("src", "dst", "outdeg").repartition("src").persist()
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = edges.join(degree, "src").select("src", "dst", "outdeg").repartition(n, "src").persist()
     ranks = initial
     try:
         for i in range(iterations):

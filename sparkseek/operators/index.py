@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import spread_by
 
 MAX_HITS = 5
 
@@ -90,8 +91,10 @@ class Index:
     freq: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, lemmatizer: str = "identity", **cols: str) -> Index:
-        posts = postings(word_positions(tokenised(docs, lemmatizer=lemmatizer, **cols)))
+    def build(cls, docs: DataFrame, lemmatizer: str = "identity", id_col: str = "doc_id", text_col: str = "text") -> Index:
+        """Texts are hashed by document once; positions, postings and norms then group where they are."""
+        dealt = spread_by(docs.select(id_col, text_col), id_col)
+        posts = postings(word_positions(tokenised(dealt, id_col, text_col, lemmatizer)))
         return cls(posts, doc_norms(posts), doc_freq(posts))
 
     def save(self, path: str, partitions: int = 64) -> None:

@@ -11,7 +11,7 @@ from .functions import text as tx
 from .functions import urls
 from .operators import crawl, exchange, graph, search, suggest
 from .operators import index as ix
-from .session import ship, spread, table
+from .session import ship, spread, spread_by, table
 from .sources import segments, store
 from .streaming import crawl as live
 
@@ -78,7 +78,7 @@ PAGES = f"SELECT page_id AS doc_id, {_html_text('html')} AS text FROM pages"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return spread_by(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 _kept: dict[tuple[str, str, str], ix.Index] = {}
@@ -96,7 +96,10 @@ def _index(spark: SparkSession, folder: str, name: str) -> ix.Index:
     """The index of a table, kept for the session: queries share it as searches share a stored one."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _kept:
-        docs = _documents(spark, folder) if name == "documents" else spread(table(spark, folder, "pages").select("page_id", "html")).select(F.col("page_id").alias("doc_id"), tx.html_text(F.col("html")).alias("text"))
+        if name == "documents":
+            docs = table(spark, folder, "documents").select("doc_id", "text")
+        else:
+            docs = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), tx.html_text(F.col("html")).alias("text"))
         made = ix.Index.build(docs)
         posts = made.postings.persist()
         _kept[key] = ix.Index(posts, ix.doc_norms(posts).persist(), ix.doc_freq(posts).persist())

@@ -64,6 +64,16 @@ def spread(scan, per_core: int = 2):
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores * per_core)
 
 
+def spread_by(scan, key: str, per_core: int = 2):
+    """Hash a table over the cores by a key, so that later grouping by it (and more columns) needs no shuffle.
+
+    The number is explicit: the few input bytes of a small table must not be coalesced into one task.
+    """
+    spark = scan.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * per_core)
+    return scan.repartition(n, key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; only a local session gets one of its own."""
     sc = spark.sparkContext
