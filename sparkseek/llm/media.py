@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, broadcast_if_small, components, cut, stored, whole_runs
+from .shingles import mix64
 
 SCALES = (1.0, 0.7)
 POINTS = 32
 RADIUS = 11
-TABLES, KEY_BITS = 8, 26
+TABLES, KEY_BITS = 4, 60
 NEAR_BITS = 40
 MATCH_BITS = 64
 VOTES = 3
@@ -159,7 +160,8 @@ def describe(image: np.ndarray, points: int = POINTS) -> np.ndarray:
 def table_keys(p: np.ndarray) -> np.ndarray:
     """(points, tables) bucket keys from sampled bits."""
     bits = np.unpackbits(p["bits"], axis=1)
-    return bits[:, _PICK].astype(np.int64) @ _WEIGHT + (np.arange(TABLES, dtype=np.int64) << KEY_BITS)
+    picked = (bits[:, _PICK].astype(np.int64) @ _WEIGHT).view(np.uint64)
+    return mix64(picked ^ mix64(np.arange(1, TABLES + 1, dtype=np.uint64))).view(np.int64)
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,7 +206,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
 
     def prepare(batches):
         for batch in batches:
-            d1, d2, points, keys = [], [], [], []
+            d1, d2, points = [], [], []
             for i in range(batch.num_rows):
                 raw = batch.column("image")[i].as_py()
                 digest = xxhash.xxh3_128_intdigest(raw) if raw is not None and batch.column("id")[i].is_valid else None
@@ -213,17 +215,26 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
                 x = decode(raw)
                 p = describe(x) if x is not None else np.zeros(0, POINT)
                 points.append(p.tobytes())
-                keys.append(table_keys(p).ravel() if len(p) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "d1", "d2", "points", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary())], names=["id", "d1", "d2", "points"])
 
-    rows = stored(chosen.mapInArrow(prepare, f"id {kind}, d1 bigint, d2 bigint, points binary, keys array<bigint>"))
+    rows = stored(chosen.mapInArrow(prepare, f"id {kind}, d1 bigint, d2 bigint, points binary"))
     size = POINT.itemsize
     good = rows.where("d1 IS NOT NULL")
     nodes = cut(good.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     heads = good.join(nodes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi")
-    heads = stored(heads.dropDuplicates(["d1", "d2"]).select(F.col("id").alias("rep"), "points", "keys"))
-    listed = heads.select("rep", "points", F.posexplode("keys").alias("place", "key"))
-    listed = listed.select("rep", "key", F.expr(f"substring(points, cast(floor(place / {TABLES}) * {size} + {size - 32} + 1 as int), 32)").alias("bits"))
+    heads = stored(heads.dropDuplicates(["d1", "d2"]).select(F.col("id").alias("rep"), "points"))
+
+    def list_keys(batches):
+        for batch in batches:
+            p = [np.frombuffer(x, POINT) for x in batch.column("points").to_pylist()]
+            of = np.repeat(np.arange(len(p)), [len(x) for x in p])
+            flat = np.concatenate([*p, np.zeros(0, POINT)])
+            keys = table_keys(flat)
+            bits = pa.array([x.tobytes() for x in flat["bits"]], pa.binary())
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(of)), pa.array(keys[:, t]), bits], names=["rep", "key", "bits"])
+
+    listed = heads.mapInArrow(list_keys, f"rep {kind}, key bigint, bits binary")
     shared = listed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
     shared = cut(shared.select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int").alias("blocks")))
     dealt = listed.join(broadcast_if_small(shared), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
