@@ -41,7 +41,7 @@ class _Hash(dict):
         self.size, self.seed = size, seed
 
     def __missing__(self, word):
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 16:
             self.clear()
         self[word] = value = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"), self.seed) % self.size
         return value
@@ -136,27 +136,36 @@ def blocks(page: str | None) -> list[tuple[str, tuple, tuple, str, float]]:
     return out
 
 
+@lru_cache(maxsize=1 << 14)
+def _columns(path: tuple, own: tuple) -> np.ndarray:
+    return np.array([*{_path[w] for w in path}, *{PATH_SIZE + _own[w] for w in own}], np.int64)
+
+
 def vectors(found: list) -> np.ndarray:
     """Input vectors of a page's blocks."""
     n = len(found)
     x = np.zeros((n, WIDTH), np.float32)
-    stats = np.zeros((n, STATS), np.float32)
-    for i, (text, path, own, tag, linked) in enumerate(found):
-        x[i, [_path[w] for w in path]] = 1
-        x[i, [PATH_SIZE + _own[w] for w in own]] = 1
-        words = text.split(" ")
-        if len(words) > 200:
-            ids, counts = np.unique(np.fromiter(map(_words.__getitem__, words), np.int64, len(words)), return_counts=True)
-            x[i, PATH_SIZE + OWN_SIZE + ids] = np.log1p(counts) / np.sqrt((np.log1p(counts) ** 2).sum())
-        else:
-            for w in words:
-                x[i, PATH_SIZE + OWN_SIZE + _words[w]] += 1
-            part = x[i, PATH_SIZE + OWN_SIZE : PATH_SIZE + OWN_SIZE + WORD_SIZE]
-            part /= np.sqrt(part @ part)
-        chars = len(text)
-        marks = text.count(".") + text.count(",") + text.count("。") + text.count("、")
-        stats[i] = (np.log1p(chars) / 8, np.log1p(len(words)) / 6, linked, marks / len(words), text[-1] in ".!?:;\"'”»。", tag in HEADINGS, tag == "p", i / n, n < 4, chars > 200)
-    x[:, WIDTH - STATS :] = stats
+    if not n:
+        return x
+    split = [b[0].split(" ") for b in found]
+    size = np.array([len(w) for w in split])
+    ids = np.fromiter((_words[w] for words in split for w in words), np.int64, int(size.sum()))
+    counts = np.bincount(np.repeat(np.arange(n), size) * WORD_SIZE + ids, minlength=n * WORD_SIZE).reshape(n, WORD_SIZE)
+    weight = np.where((size > 200)[:, None], np.log1p(counts), counts)
+    x[:, PATH_SIZE + OWN_SIZE : PATH_SIZE + OWN_SIZE + WORD_SIZE] = weight / np.sqrt((weight**2).sum(axis=1, keepdims=True))
+    columns = [_columns(b[1], b[2]) for b in found]
+    x[np.repeat(np.arange(n), [len(c) for c in columns]), np.concatenate(columns)] = 1
+    chars = np.array([len(b[0]) for b in found])
+    marks = np.array([sum(map(b[0].count, ".,。、")) for b in found])
+    place = np.arange(n)
+    x[:, WIDTH - STATS :] = np.stack(
+        [
+            np.log1p(chars) / 8, np.log1p(size) / 6, [b[4] for b in found], marks / size,
+            [b[0][-1] in ".!?:;\"'”»。" for b in found], [b[3] in HEADINGS for b in found], [b[3] == "p" for b in found],
+            place / n, np.full(n, n < 4), chars > 200,
+        ],
+        axis=1,
+    )
     return x
 
 
