@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import urls
 from .operators import crawl, exchange, graph, search, suggest
 from .operators import index as ix
-from .session import ship, spread, spread_by, table
+from .session import shared_folder, ship, spread, spread_by, table
 from .sources import segments, store
 from .streaming import crawl as live
 
@@ -261,8 +262,6 @@ def trade_graph(spark, folder) -> DataFrame:
 
 def document_graph(spark, folder) -> DataFrame:
     """A stand-in for hyperlinks: each document points to the one of half its id and to its source's next."""
-    from pyspark.sql import Window
-
     docs = table(spark, folder, "documents").select("doc_id", "source")
     half = docs.select(F.col("doc_id").alias("src"), F.expr("doc_id div 2").alias("dst"))
     after = docs.select(F.col("doc_id").alias("src"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("dst")).where("dst IS NOT NULL")
@@ -644,10 +643,6 @@ def adjacency_text_roundtrip(spark, folder):
 
 @register("SELECT page_id::varchar AS doc_id, md5(html) AS hash FROM pages")
 def segment_roundtrip(spark, folder):
-    import uuid
-
-    from .session import shared_folder
-
     path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
     segments.write_segments(table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html"), path, 100)
     return segments.read_segments(spark, path).select("doc_id", F.md5("html").alias("hash"))
@@ -679,10 +674,6 @@ def stream_politeness(spark, folder):
 
 @register(f"WITH {_tokens()} SELECT doc_id, word, n AS count FROM post")
 def stream_index(spark, folder):
-    import uuid
-
-    from .session import shared_folder
-
     base = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/documents.parquet").schema
     docs = spark.readStream.schema(schema).parquet(f"{folder}/documents*.parquet").select("doc_id", "text")
@@ -695,10 +686,6 @@ SELECT 'segments' AS name, md5(doc_id || html) AS value FROM f UNION ALL SELECT
 UNION ALL SELECT DISTINCT 'visited', url FROM f UNION ALL SELECT DISTINCT 'domain', domain || '1700000000000' FROM f""")
 def stream_store(spark, folder):
     """One stream of fetched pages into five tables."""
-    import uuid
-
-    from .session import shared_folder
-
     base = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/pages.parquet").schema
     fetched = spark.readStream.schema(schema).parquet(f"{folder}/pages*.parquet").select("url", F.col("html").alias("document"), F.lit("text/html").alias("type"), F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
