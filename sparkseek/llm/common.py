@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -53,7 +54,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+_libc = ctypes.CDLL(None)
+
+
+def settle() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and an executor's share is fixed."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Cut a batch into runs of rows whose texts hold about `limit` bytes; a longer row stands alone."""
     values = batch.column(column)
     if not batch.num_rows:
@@ -66,11 +77,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
             start, held = i, 0
         held += int(n)
     yield batch.slice(start)
-
-
-def salted_blocks(n: str, block: int):
-    """How many blocks a group of `n` rows is dealt into so that a block has about `block` rows."""
-    return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block)).cast("int"))
+    settle()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -152,6 +159,7 @@ def whole_runs(batches, keys: list[str], rows: int = 1 << 14):
     if held:
         whole = joined()
         yield whole, starts_of(whole)
+    settle()
 
 
 class Forest:

@@ -9,7 +9,7 @@ import xxhash
 
 WORDS = re.compile(r"\w+")
 SIZE = 5
-_CACHE_LIMIT = 1 << 19
+_CACHE_LIMIT = 1 << 17
 
 
 class _Hashes(dict):
