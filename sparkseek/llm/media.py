@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, broadcast_if_small, components, cut, stored, whole_runs
+from .common import Forest, broadcast_if_small, components, cut, settle, stored, whole_runs
 from .shingles import mix64
 
 SCALES = (1.0, 0.7)
@@ -215,6 +215,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
                 x = decode(raw)
                 p = describe(x) if x is not None else np.zeros(0, POINT)
                 points.append(p.tobytes())
+            settle()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary())], names=["id", "d1", "d2", "points"])
 
     rows = stored(chosen.mapInArrow(prepare, f"id {kind}, d1 bigint, d2 bigint, points binary"))
@@ -225,7 +226,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     heads = stored(heads.dropDuplicates(["d1", "d2"]).select(F.col("id").alias("rep"), "points"))
 
     def list_keys(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             p = [np.frombuffer(x, POINT) for x in batch.column("points").to_pylist()]
             of = np.repeat(np.arange(len(p)), [len(x) for x in p])
             flat = np.concatenate([*p, np.zeros(0, POINT)])

@@ -73,10 +73,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_media_copies(spark: SparkSession, folder: str) -> DataFrame:
     """The tables hold no images: each row of `embeddings` gets a rendered picture, every eighth an edited copy."""
+    from .common import stored
     from .media import image_copies, rendered
 
     ship(spark)
-    return image_copies(rendered(spread(table(spark, folder, "embeddings").select("vec_id"))), "vec_id")
+    # Written once, as a table's own media column would be.
+    images = stored(rendered(spread(table(spark, folder, "embeddings").select("vec_id"))))
+    return image_copies(images, "vec_id")
 
 
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
