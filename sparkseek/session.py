@@ -40,6 +40,9 @@ def ship(spark: SparkSession) -> None:
     have the driver's working folder on its path.
     """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        # Rows hold whole texts: smaller batches keep workers' and JVM buffers small.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="sparkseek-")
