@@ -3,9 +3,9 @@
 Corners at several scales get an orientation from the intensity centroid and 256
 orientation-normalised binary tests. Descriptors meet in tables keyed by sampled bits;
 inside a table's bucket, those within a Hamming distance form clusters and each image is
-paired with its cluster's smallest (never all pairs). Pairs that meet often enough are
-verified by geometric consensus: enough matches must agree on one similarity
-transformation. Components of the verified pairs are the classes, so crops and edited
+paired with its cluster's smallest and with the nearest of another image (never all
+pairs). Pairs that meet often enough are verified by geometric consensus: enough matches
+must agree on one similarity transformation. Components of the verified pairs are the classes, so crops and edited
 copies of one picture share a class.
 """
 
@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import Forest, broadcast_if_small, components, cut, settle, stored, whole_runs
 from .shingles import mix64
 
-SCALES = (1.0, 0.7)
+#: Each scale's step to the next; scales go on while the picture holds a descriptor.
+STEP = 0.7
+#: Corners for a picture of 96 by 96 at full scale; larger pictures get more in proportion to their area.
 POINTS = 32
+AREA = 96 * 96
 RADIUS = 11
-TABLES, KEY_BITS = 4, 60
+TABLES, KEY_BITS = 8, 22
 NEAR_BITS = 40
 MATCH_BITS = 64
 VOTES = 3
@@ -130,33 +134,41 @@ def describe(image: np.ndarray, points: int = POINTS) -> np.ndarray:
     """The strongest corners of all scales with their descriptors."""
     out = []
     edge = int(RADIUS * 1.5) + 1
-    for scale in SCALES:
-        x = image if scale == 1.0 else _resize(_box(image, 1), scale)
-        if min(x.shape) <= 2 * edge + 2:
-            continue
-        gy, gx = np.gradient(_box(x, 1))
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = a * b - c * c - 0.05 * (a + b) ** 2
-        inner = r[edge:-edge, edge:-edge]
-        view = np.lib.stride_tricks.sliding_window_view(r[edge - 2 : -edge + 2, edge - 2 : -edge + 2], (5, 5)).max(axis=(2, 3))
-        ys, xs = np.nonzero((inner >= view) & (inner > 1.0))
-        order = np.argsort(-inner[ys, xs], kind="stable")[: max(4, int(points * scale * scale * 0.75))]
-        ys, xs = ys[order] + edge, xs[order] + edge
-        if not len(ys):
-            continue
-        patch = x[ys[:, None] + _DISC[:, 0], xs[:, None] + _DISC[:, 1]]
-        angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
-        turn = np.rint(angle / (2 * np.pi) * _TURNS).astype(int) % _TURNS
-        smooth = _box(x, 2)
-        at = _PATTERN[turn]  # point, test, end, (x, y)
-        value = smooth[ys[:, None, None] + at[..., 1], xs[:, None, None] + at[..., 0]]
-        made = np.zeros(len(ys), POINT)
-        made["x"], made["y"], made["scale"], made["angle"] = (xs + 0.5) / scale, (ys + 0.5) / scale, 1 / scale, angle
-        made["bits"] = np.packbits(value[..., 0] < value[..., 1], axis=1)
-        out.append(made)
+    points = points * max(1.0, image.size / AREA)
+    x, scale = image, 1.0
+    while min(x.shape) > 2 * edge + 2:
+        made = _corners(x, scale, max(4, int(points * scale * scale * 0.75)), edge)
+        if len(made):
+            out.append(made)
+        x = _resize(_box(x, 1), STEP)
+        scale *= STEP
     return np.concatenate(out) if out else np.zeros(0, POINT)
 
 
+def _corners(x: np.ndarray, scale: float, most: int, edge: int) -> np.ndarray:
+    """The strongest corners of one scale."""
+    gy, gx = np.gradient(_box(x, 1))
+    a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    r = a * b - c * c - 0.05 * (a + b) ** 2
+    inner = r[edge:-edge, edge:-edge]
+    view = np.lib.stride_tricks.sliding_window_view(r[edge - 2 : -edge + 2, edge - 2 : -edge + 2], (5, 5)).max(axis=(2, 3))
+    ys, xs = np.nonzero((inner >= view) & (inner > 1.0))
+    order = np.argsort(-inner[ys, xs], kind="stable")[:most]
+    ys, xs = ys[order] + edge, xs[order] + edge
+    if not len(ys):
+        return np.zeros(0, POINT)
+    patch = x[ys[:, None] + _DISC[:, 0], xs[:, None] + _DISC[:, 1]]
+    angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
+    turn = np.rint(angle / (2 * np.pi) * _TURNS).astype(int) % _TURNS
+    smooth = _box(x, 2)
+    at = _PATTERN[turn]  # point, test, end, (x, y)
+    value = smooth[ys[:, None, None] + at[..., 1], xs[:, None, None] + at[..., 0]]
+    made = np.zeros(len(ys), POINT)
+    made["x"], made["y"], made["scale"], made["angle"] = (xs + 0.5) / scale, (ys + 0.5) / scale, 1 / scale, angle
+    made["bits"] = np.packbits(value[..., 0] < value[..., 1], axis=1)
+    return made
+
+
 def table_keys(p: np.ndarray) -> np.ndarray:
     """(points, tables) bucket keys from sampled bits."""
     bits = np.unpackbits(p["bits"], axis=1)
@@ -173,21 +185,30 @@ def consensus(p: np.ndarray, q: np.ndarray, tolerance: float = 4.0) -> int:
     """The most matches that agree on one rotation, scale and shift."""
     if not len(p) or not len(q):
         return 0
-    d = hamming(p["bits"], q["bits"])
-    j = d.argmin(axis=1)
-    i = np.flatnonzero(d[np.arange(len(p)), j] <= MATCH_BITS)
+    j, d = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
+    step = max(1, (1 << 20) // len(q))
+    for k in range(0, len(p), step):
+        apart = hamming(p["bits"][k : k + step], q["bits"])
+        j[k : k + step], d[k : k + step] = apart.argmin(axis=1), apart.min(axis=1)
+    i = np.flatnonzero(d <= MATCH_BITS)
     if not len(i):
         return 0
     a, b = p[i], q[j[i]]
     ratio, turn = b["scale"] / a["scale"], b["angle"] - a["angle"]
     cos, sin = ratio * np.cos(turn), ratio * np.sin(turn)
-    dx, dy = a["x"][None] - a["x"][:, None], a["y"][None] - a["y"][:, None]
-    ex = b["x"][:, None] + cos[:, None] * dx - sin[:, None] * dy - b["x"][None]
-    ey = b["y"][:, None] + sin[:, None] * dx + cos[:, None] * dy - b["y"][None]
-    # A wrong angle of a few degrees moves far points more.
-    near = np.hypot(ex, ey) <= tolerance + 0.12 * np.hypot(dx, dy)
-    agree = near & (np.abs(np.angle(np.exp(1j * (turn[None] - turn[:, None])))) < 0.4) & (np.abs(np.log(ratio[None] / ratio[:, None])) < 0.2)
-    best = agree[int(agree.sum(axis=1).argmax())]
+    best = np.zeros(len(a), bool)
+    step = max(1, (1 << 20) // len(a))
+    for k in range(0, len(a), step):
+        r = slice(k, k + step)
+        dx, dy = a["x"][None] - a["x"][r, None], a["y"][None] - a["y"][r, None]
+        ex = b["x"][r, None] + cos[r, None] * dx - sin[r, None] * dy - b["x"][None]
+        ey = b["y"][r, None] + sin[r, None] * dx + cos[r, None] * dy - b["y"][None]
+        # A wrong angle of a few degrees moves far points more.
+        near = np.hypot(ex, ey) <= tolerance + 0.12 * np.hypot(dx, dy)
+        agree = near & (np.abs(np.angle(np.exp(1j * (turn[None] - turn[r, None])))) < 0.4) & (np.abs(np.log(ratio[None] / ratio[r, None])) < 0.2)
+        most = agree[int(agree.sum(axis=1).argmax())]
+        if most.sum() > best.sum():
+            best = most
     return min(len(np.unique(np.stack([a["x"], a["y"]], 1)[best], axis=0)), len(np.unique(j[i][best])))
 
 
@@ -248,25 +269,45 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     def meet(batches):
         for batch, starts in whole_runs(batches, by):
             words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
-            forest = Forest(batch.num_rows)
+            n = batch.num_rows
+            forest = Forest(n)
             length = np.diff(starts)
             run = np.repeat(np.arange(len(length)), length)
+            rep = batch.column("rep")
+            first = np.ones(n, bool)
+            first[1:] = np.asarray(pc.not_equal(rep[1:], rep[:-1])) | (run[1:] != run[:-1])
+            image = np.cumsum(first)
+            nearest, least = np.arange(n), np.full(n, near_bits + 1)
+
+            def closer(i, j, d):
+                """Rows i (each once) meet rows j at distance d."""
+                new = (image[i] != image[j]) & (d < least[i])
+                nearest[i[new]], least[i[new]] = j[new], d[new]
+
             small = np.repeat(length <= 64, length)
             for d in range(1, int(min(64, length.max(initial=0)))):
                 i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
-                hit = np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1) <= near_bits
-                forest.add(i[hit], i[hit] + d)
+                apart = np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1).astype(np.int64)
+                hit = apart <= near_bits
+                i, apart = i[hit], apart[hit]
+                forest.add(i, i + d)
+                closer(i, i + d, apart)
+                closer(i + d, i, apart)
             for k in np.flatnonzero(length > 64):
                 here = np.arange(starts[k], starts[k + 1])
                 for i in range(0, len(here), 512):
                     for j in range(i, len(here), 512):
                         a, b = here[i : i + 512], here[j : j + 512]
-                        p, q = np.nonzero(np.bitwise_count(words[a][:, None] ^ words[b][None]).sum(axis=2) <= near_bits)
+                        apart = np.bitwise_count(words[a][:, None] ^ words[b][None]).sum(axis=2).astype(np.int64)
+                        p, q = np.nonzero(apart <= near_bits)
                         forest.add(a[p], b[q])
+                        apart[image[a][:, None] == image[b]] = near_bits + 1
+                        closer(a, b[apart.argmin(axis=1)], apart.min(axis=1))
+                        closer(b, a[apart.argmin(axis=0)], apart.min(axis=0))
             # Rows are sorted by image in a run, so a cluster's smallest row is its smallest image.
-            other = np.flatnonzero(forest.label != np.arange(batch.num_rows))
-            rep = batch.column("rep")
-            yield pa.RecordBatch.from_arrays([rep.take(pa.array(forest.label[other])), rep.take(pa.array(other))], names=["a", "b"])
+            met = np.concatenate([np.stack([forest.label, np.arange(n)], 1), np.sort(np.stack([nearest, np.arange(n)], 1), axis=1)])
+            met = np.unique(met[image[met[:, 0]] != image[met[:, 1]]], axis=0)
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(met[:, 0])), rep.take(pa.array(met[:, 1]))], names=["a", "b"])
 
     pairs = dealt.mapInArrow(meet, f"a {kind}, b {kind}").where("a <> b").groupBy("a", "b").count().where(F.col("count") >= votes).select("a", "b")
     ours = heads.select("rep", "points")

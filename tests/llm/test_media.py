@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkseek.llm.media import INLIERS, consensus, decode, describe, edited, encode_pgm, image_copies, scene
+from sparkseek.llm.media import INLIERS, _box, _resize, consensus, decode, describe, edited, encode_pgm, image_copies, scene
 from sparkseek.llm.queries import op9_media_copies
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,6 +38,26 @@ def test_equals_brute_force(spark):
         assert {r["id"]: r["class_id"] for r in image_copies(df, block_rows=size).collect()} == {i: root(i) for i in raw}
 
 
+def test_recall_of_edited_copies_of_small_and_large_pictures(spark):
+    rng, raw, large = np.random.default_rng(4), {}, set()
+    for i in range(0, 160, 8):
+        k = i // 8 % 3 + 1
+        x = np.block([[scene(9 * i + 3 * r + c) for c in range(k)] for r in range(k)])
+        n = len(x)
+        small = _resize(x, 0.8)
+        edits = [x, x + rng.normal(0, 12, x.shape), small + rng.normal(0, 8, small.shape), _box(x, 1)]
+        if k > 1:
+            edits += [_resize(_box(x, 1), 0.5), x[n // 4 : n // 4 + n // 2, n // 4 : n // 4 + n // 2], _resize(_box(x[: 3 * n // 4, : 3 * n // 4], 1), 0.6)]
+            large |= {i + j for j in range(4, 7)}
+        raw |= {i + j: encode_pgm(y) for j, y in enumerate(edits)}
+    points = {i: describe(decode(x)) for i, x in raw.items()}
+    alike = {i for i in raw if i % 8 and consensus(points[i // 8 * 8], points[i]) >= INLIERS}
+    assert len(large & alike) >= 0.9 * len(large) and len(alike) >= 90
+    got = {r["id"]: r["class_id"] for r in image_copies(spark.createDataFrame(list(raw.items()), "id bigint, image binary")).collect()}
+    assert all(c // 8 == i // 8 for i, c in got.items())
+    assert sum(got[i] == i // 8 * 8 for i in alike) >= 0.98 * len(alike)
+
+
 def png(x, filters):
     h, w = x.shape
     rows, before = b"", np.zeros(w, int)
