@@ -3,15 +3,18 @@
 Each source's documents form blocks. Block i of a source with share w gets the
 release time floor(i / w) and the deadline ceil((i + 1) / w); slots go to the
 released block with the earliest deadline, which keeps every source within less
-than one block of its share at every slot. Shares are whole parts of `resolution`,
-so the schedule repeats with that period and only one period is simulated, whatever
-the corpus holds. When a source runs out, the others' shares are scaled up and a
+than one block of its share at every slot. Shares are the exact weights, and the sweep
+runs over the blocks on the driver (one number a block is held and broadcast). With a
+`resolution`, shares are rounded to whole parts of it and one period is simulated
+instead. When a source runs out, the others' shares are scaled up and a
 new phase begins, so no document is dropped and none is repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from fractions import Fraction
 
 import numpy as np
@@ -53,7 +56,29 @@ def period(parts: list[int]) -> np.ndarray:
     return slots
 
 
-def schedule(blocks: list[int], weights: list[float], resolution: int = RESOLUTION) -> list[list[tuple]]:
+def sweep(blocks: list[int], weights: list[float]) -> list[np.ndarray]:
+    """The slots of each source's blocks, in proportion to the exact weights, until the first source runs out."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    parts = [int(w * scale) for w in exact]
+    total = sum(parts)
+    taken = [array("q") for _ in parts]
+    waiting = [(0, s) for s in range(len(parts))]
+    ready: list[tuple[int, int]] = []
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(taken[s]) + 1) * total // parts[s]), s))
+        s = heapq.heappop(ready)[1]
+        taken[s].append(t)
+        if len(taken[s]) == blocks[s]:
+            return [np.array(x, np.int64) for x in taken]
+        heapq.heappush(waiting, (len(taken[s]) * total // parts[s], s))
+        t += 1
+
+
+def schedule(blocks: list[int], weights: list[float], resolution: int | None = None) -> list[list[tuple]]:
     """For each source its segments (first block, first slot, blocks a period, period, slots in the period).
 
     Sources whose weight is zero come after the weighted ones, in equal shares.
@@ -64,6 +89,16 @@ def schedule(blocks: list[int], weights: list[float], resolution: int = RESOLUTI
         active = [s for s, n in enumerate(left) if n]
         weighted = [s for s in active if weights[s] > 0]
         active = weighted or active
+        if resolution is None:
+            swept = sweep([left[s] for s in active], [weights[s] if weighted else 1 for s in active])
+            n = sum(map(len, swept))
+            for s, where in zip(active, swept):
+                if len(where):
+                    out[s].append((done[s], slot, len(where), n, where))
+                done[s] += len(where)
+                left[s] -= len(where)
+            slot += n
+            continue
         parts = shares([weights[s] if weighted else 1 for s in active], resolution)
         order = period(parts)
         where = [np.flatnonzero(order == k) for k in range(len(active))]
@@ -97,7 +132,7 @@ def default_weights(counts: dict) -> dict:
     return {s: float(n) ** 0.5 for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, resolution: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Schedules every row: (doc_id, source, block, slot, position).
 
     Within a source rows are in a seeded hash order; `block` counts its blocks, `slot`
@@ -105,7 +140,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     `weights` maps sources to target weights; sources not named come last. A null source
     is a source of its own; null ids and repeated rows are scheduled each; an empty table
     gives an empty result; other columns are ignored. Collected: one count for each
-    source and each border of a partition.
+    source and each border of a partition. Without a `resolution` the weights are exact.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

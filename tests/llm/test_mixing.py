@@ -42,6 +42,20 @@ def test_schedule_equals_slot_by_slot_phases(sources):
             at, t = at + 1, t + 1
 
 
+def test_deviation_from_the_target_weights_stays_under_a_block():
+    import numpy as np
+
+    for weights in ([0.7, 0.2, 0.05, 0.03, 0.02], [2000.0**0.5] + [30.0**0.5] * 30, [0.5, 0.4999, 0.0001]):
+        exact = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+        blocks = [int(30_000 * w) + 1 for w in exact]
+        plan = schedule(blocks, weights)
+        slots = [slot_of(plan[s], np.arange(n)) for s, n in enumerate(blocks)]
+        assert sorted(np.concatenate(slots)) == list(range(sum(blocks)))
+        # Up to the slot in which the first source runs out.
+        for t in range(1, min(int(x[-1]) for x in slots) + 1, 97):
+            assert all(abs(int(np.searchsorted(x, t)) - t * w) < 1 for x, w in zip(slots, exact))
+
+
 def test_query_keeps_every_document(spark):
     rows = op7_source_mixing(spark, SMALL).collect()
     docs = pq.read_table(f"{SMALL}/documents.parquet").to_pylist()
