@@ -25,6 +25,7 @@ DIMENSIONS = 64
 NEIGHBOURS = 25
 WORD_BITS, SHAPE_BITS = 12, 9
 BINS = 8
+WINDOW = 400
 _SYMBOL = re.compile(r"([^\w\s])\1*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
@@ -37,8 +38,13 @@ WIDTH = N_WORDS + N_SHAPES + N_STATS
 _PLAIN = xxhash.xxh32_intdigest(b"a", 1) & (N_SHAPES - 1)
 
 
+def _counts(token: str) -> tuple[int, int]:
+    """Digits and symbols of a token."""
+    return sum(c.isdigit() for c in token), sum(len(m[0]) for m in _SYMBOL.finditer(token))
+
+
 class _Tokens(dict):
-    """token -> word hash, shape hash, counts of letters, digits, symbols, capitals packed in one integer."""
+    """token -> word hash, shape hash, counts of digits and symbols (up to 255), flags packed in one integer."""
 
     def __missing__(self, token):
         if len(self) > 1 << 16:
@@ -53,8 +59,7 @@ class _Tokens(dict):
         shape += f"~{min(runs, 4)}" if runs > 1 else ""
         low = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) & (N_WORDS - 1)
         high = xxhash.xxh32_intdigest(shape.encode("utf-8", "surrogatepass"), 1) & (N_SHAPES - 1)
-        digits = min(sum(c.isdigit() for c in token), 255)
-        symbols = min(sum(len(m[0]) for m in _SYMBOL.finditer(token)), 255)
+        digits, symbols = (min(x, 255) for x in _counts(token))
         self[token] = value = low | high << 12 | digits << 24 | symbols << 32 | (not word) << 40 | token[:1].isupper() << 41
         return value
 
@@ -79,13 +84,18 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             w.append(weight / np.sqrt((weight**2).sum()))
         whole = packed & (1 << 24) - 1
         chars = len(text)
+        digits, symbols = packed >> 24 & 255, packed >> 32 & 255
+        for i in np.flatnonzero((digits == 255) | (symbols == 255)):
+            digits[i], symbols[i] = _counts(words[i])
+        # Distinct words of each run of 400: comparable across lengths.
+        runs = np.arange(n, dtype=np.int64) // WINDOW << 24 | whole
         stats[:] = (
             np.count_nonzero(whole[1:] == whole[:-1]) / n,
-            len(np.unique(whole[:400])) / min(n, 400),
-            (packed >> 32 & 255).sum() / chars,
+            len(np.unique(runs)) / n,
+            symbols.sum() / chars,
             (packed >> 40 & 1).sum() / n,
             chars / n,
-            (packed >> 24 & 255).sum() / chars,
+            digits.sum() / chars,
             (packed >> 41 & 1).sum() / n,
             text.count("\n") / n,
             np.count_nonzero(whole[2:] == whole[:-2]) / n,

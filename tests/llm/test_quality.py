@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from sparkseek.llm.quality import Model, features, fit, score, train
+from sparkseek.llm.quality import BINS, N_SHAPES, N_WORDS, SCALES, Model, features, fit, score, train
 from sparkseek.llm.queries import op1_quality_classifier
 
 SF = "/root/testdata/sf0.01"
@@ -38,6 +38,24 @@ def test_blocked_vote_equals_plain_vote():
     assert np.allclose(model.score(rows, block=7), want, atol=1e-3)
 
 
+def statistic(text, name):
+    """A statistic of a text, from its two bins."""
+    base = N_WORDS + N_SHAPES + list(SCALES).index(name) * BINS
+    at, w = features(text)
+    here = (at >= base) & (at < base + BINS)
+    return SCALES[name] * (float(((at[here] - base) * w[here]).sum() / w[here].sum()) / (BINS - 1)) ** 2
+
+
+def test_statistics_take_the_whole_text():
+    clean = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400))
+    share = lambda words: sum(len(set(words[i : i + 400])) for i in range(0, len(words), 400)) / len(words)
+    text = clean + " the same few words again" * 400
+    assert abs(statistic(clean, "distinct") - 1) < 0.1 and abs(statistic(text, "distinct") - share(text.split())) < 0.02 < 1 - statistic(text, "distinct")
+    assert abs(statistic("word " * 5000 + "7" * 2000, "digits") - 2000 / 27000) < 1e-3
+    assert abs(statistic("word " * 5000 + "%" * 300 + "7" * 500 + "-" * 700, "symbols") - 1000 / 26500) < 1e-3
+    assert abs(statistic("word " * 5000 + "%" * 300 + "7" * 500 + "-" * 700, "digits") - 500 / 26500) < 1e-3
+
+
 def test_edges(spark):
     rows = [(1, None, 5.0), (1, "", 5.0), (None, "good words here", 1.0), (2, "w " * 100_000, 0.0), (3, "plain text of words", 0.0), (3, "plain text of words", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
