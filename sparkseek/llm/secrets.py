@@ -25,10 +25,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A name that may be sensitive in front of an assignment; only texts with one are lexed.
-TARGET = re.compile(r"""(?:pass|pwd|secret|token|key|cred|auth|signature|salt)[\w.\-]*["'`\])>]*\s{0,8}(?::|=|[\w.\[\]<>?]{1,40}\s{0,8}=|[^<\s])""", re.I | re.A)
-TARGET_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "signature", "salt")
-
 TOKEN = re.compile(
     r"""(?P<comment>/\*[\s\S]*?\*/)
       | (?P<string>(?:\b[rbuf]{1,2})?(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`))
@@ -49,6 +45,8 @@ SENSITIVE = {
     "private key": 1.0, "access key": 1.0, "secret key": 1.0, "signing key": 0.9, "encryption key": 0.9,
     "client secret": 1.0, "bearer": 0.8, "salt": 0.6, "signature": 0.5,
 }
+#: A sensitive name holds one of these (the last words of SENSITIVE); only texts with one are lexed.
+TARGET_STEMS = tuple(sorted({k.split()[-1] for k in SENSITIVE}))
 #: Words that turn a name into something that isn't the secret itself.
 BENIGN = {"count", "limit", "max", "min", "length", "len", "url", "uri", "file", "path", "dir", "name", "field", "label", "hint", "type", "policy", "expiry", "ttl", "prompt", "header", "id", "public", "column", "regex", "pattern"}
 DECLARE = {"const", "let", "var", "final", "static", "public", "private", "protected", "export", "set", "def", "val", "string", "String", "char", "auto", "readonly"}
@@ -74,13 +72,15 @@ def literal_score(value: str, quoted: bool) -> float:
 
 
 def lex(text: str):
-    """(name or None, op, right side) statements; the right side holds names and literals with their spans."""
+    """(name, right side, whether it goes on with the list before) statements; the right side holds names and literals with their spans."""
     pend: list[tuple[str, str, int, int]] = []
     target, right = None, []
+    depth, more, outer = 0, False, []  # open brackets of the target's list, lists around an object
+    closed = _closed(text) if "[" in text else set()
 
     def flush():
         if target is not None and right:
-            yield target, list(right)
+            yield target, list(right), more
 
     for m in TOKEN.finditer(text):
         kind = m.lastgroup if m.lastgroup not in ("tag", "inner") else "element"
@@ -90,12 +90,33 @@ def lex(text: str):
             inner = m.group("inner")
             lead = len(inner) - len(inner.lstrip())
             start = m.start("inner") + lead
-            yield m.group("tag"), [("literal", inner.strip(), start, start + len(inner.strip()), False)]
+            yield m.group("tag"), [("literal", inner.strip(), start, start + len(inner.strip()), False)], False
+            depth, more = 0, False
             continue
         word = m.group()
-        if kind == "end":
+        if kind == "other" and word == "[" and target is not None and (depth or m.start() in closed):
+            depth += 1
+        elif kind == "other" and word == "]" and depth:
+            depth -= 1
+        elif kind == "end" and depth and word == "\n":
+            pass
+        elif kind == "end" and depth and word == ",":
             yield from flush()
-            target, right, pend = None, [], []
+            more, right = more or bool(right), []
+        elif kind == "end" and depth and word == "{":
+            yield from flush()
+            outer.append((target, depth, more or bool(right)))
+            target, right, pend, depth, more = None, [], [], 0, False
+        elif kind == "end" and word == "{" and outer:
+            yield from flush()
+            outer.append((None, 0, False))
+            target, right, pend, depth, more = None, [], [], 0, False
+        elif kind == "end" and word == "}" and outer:
+            yield from flush()
+            (target, depth, more), right, pend = outer.pop(), [], []
+        elif kind == "end":
+            yield from flush()
+            target, right, pend, depth, more = None, [], [], 0, False
         elif kind == "string":
             quote = min(i for i in (word.find(q) for q in "\"'`") if i >= 0)
             item = ("literal", word[quote + 1 : -1], m.start() + quote + 1, m.end() - 1, True)
@@ -122,24 +143,53 @@ def lex(text: str):
     yield from flush()
 
 
+def _closed(text: str) -> set[int]:
+    """Places of the brackets that are closed."""
+    left, out = [], set()
+    for m in TOKEN.finditer(text):
+        if m.lastgroup == "other" and m.group() == "[":
+            left.append(m.start())
+        elif m.lastgroup == "other" and m.group() == "]" and left:
+            out.add(left.pop())
+    return out
+
+
+def _flat(parts: list) -> list[tuple[str, int, int, bool]]:
+    """The distinct literals of nested lists in order."""
+    out: dict = {}
+    seen, stack = {id(parts)}, [iter(parts)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, tuple):
+                out[x] = None
+            elif id(x) not in seen:
+                seen.add(id(x))
+                stack.append(iter(x))
+                break
+        else:
+            stack.pop()
+    return list(out)
+
+
 def named_spans(text: str) -> list[tuple[int, int, str, float]]:
     """Literals that reach a sensitive name: (start, end, name, score)."""
-    bound: dict[str, list[tuple[str, int, int, bool]]] = {}
+    # A name's literals, and the lists of the names that it takes over.
+    bound: dict[str, list] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for target, right in lex(text):
-        literals = []
+    for target, right, more in lex(text):
+        parts: list = []
         for kind, value, start, end, quoted in right:
             if kind == "literal":
-                literals.append((value, start, end, quoted))
+                parts.append((value, start, end, quoted))
             elif kind == "ref" and value in bound:
-                literals.extend(bound[value])
+                parts.append(bound[value])
             elif len(right) == 1:
-                literals.append((value, start, end, False))
-        literals = list(dict.fromkeys(literals))[:64] if len(literals) > 64 else literals
-        bound[target] = literals
+                parts.append((value, start, end, False))
+        bound[target] = [bound[target], parts] if more and target in bound else parts
         weight = name_score(target)
         if weight <= 0:
             continue
+        literals = _flat(parts)
         joined = "".join(v for v, *_ in literals)
         for value, start, end, quoted in literals:
             score = weight * literal_score(joined if quoted and len(literals) > 1 else value, quoted)
@@ -159,7 +209,7 @@ def scan(text: str | None) -> list[dict]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), None, 1.0) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), None, 1.0) for m in HEX.finditer(text)]
-    if any(w in low for w in TARGET_STEMS) and TARGET.search(text):
+    if any(w in low for w in TARGET_STEMS):
         taken = sorted((s, e) for _, s, e, _, _ in out)
         for s, e, name, score in named_spans(text):
             if not any(a < e and s < b for a, b in taken):
