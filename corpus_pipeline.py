@@ -44,14 +44,26 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates; rows of one id with one text stay once."""
     ship(spark)
     docs = spread(docs)
-    found = near_duplicates(docs)
-    gone = cut(found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
-    kept = docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("__id"), "left_anti")
-    twice = cut(found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"))
+    said = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("-"))
+    unlike = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg((F.min("h") != F.max("h")).alias("unlike")).where("unlike")
+    if unlike.isEmpty():
+        return _first_of_each(docs, near_duplicates(docs), "doc_id")
+    # Ids that collide: id and text name a row, in the order of the ids.
+    whole = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    name = F.expr("lpad(cast(cast(doc_id AS decimal(20, 0)) + 9223372036854775808 AS string), 20, '0')") if whole else F.col("doc_id").cast("string")
+    named = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.concat(name, F.lit(":"), said)))
+    return _first_of_each(named, near_duplicates(named, id_col="__row"), "__row").drop("__row")
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows that `found` keeps, one for each key."""
+    gone = cut(found.where("NOT kept").select(F.col(key).alias("__id")).distinct())
+    kept = docs.join(broadcast_if_small(gone), docs[key] == F.col("__id"), "left_anti")
+    twice = cut(found.where(F.col("kept") & F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).count().where("count > 1").select("__id"))
     if twice.isEmpty():
         return kept
-    here = docs["doc_id"] == F.col("__id")
-    once = kept.join(broadcast_if_small(twice), here, "left_semi").dropDuplicates(["doc_id"])
+    here = docs[key] == F.col("__id")
+    once = kept.join(broadcast_if_small(twice), here, "left_semi").dropDuplicates([key])
     return kept.join(broadcast_if_small(twice), here, "left_anti").unionByName(once)
 
 

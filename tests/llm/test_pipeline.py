@@ -64,3 +64,12 @@ def test_stages_take_empty_and_odd_documents(spark, tmp_path):
             stage(spark, docs, SMALL).write.parquet(path)
             docs = spark.read.parquet(path)
         assert docs.count() == 3 * (k == 0) or docs.count() < 3
+
+
+def test_unlike_texts_under_one_id_are_rows_of_their_own(spark):
+    one, two, three = (" ".join(f"{a}{i}" for i in range(60)) for a in "xyz")
+    rows = [(1, one), (5, one + " more"), (5, two), (7, three), (7, one + " end"), (7, three), (8, three), (None, one)]
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_copies(spark, frame, SMALL)
+    assert got.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, one), (5, two), (7, three), (None, one)], key=str)
