@@ -116,13 +116,51 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.unionByName(roots)
 
 
-#: Rows up to which a narrow table is broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a narrow table is broadcast; beyond it joins shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a row takes besides its values, in a broadcast hash table.
+ROW_BYTES = 24
 
 
-def broadcast_if_small(narrow: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a materialised frame of a few narrow columns, only if its counted rows allow it."""
-    return F.broadcast(narrow) if narrow.count() <= limit else narrow
+def broadcast_if_small(narrow: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a materialised frame, only if its measured bytes allow it.
+
+    Numbers count eight bytes; strings, binaries and arrays (of numbers or narrow structs)
+    count their summed lengths.
+    """
+    width, sums = ROW_BYTES, []
+    for name, kind in narrow.dtypes:
+        column = F.col(f"`{name}`")
+        width += 8
+        if kind in ("string", "binary"):
+            sums.append(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)))
+        elif kind.startswith("array"):
+            sums.append(F.coalesce(F.sum(F.size(column).cast("bigint")), F.lit(0)) * 8 * (1 + kind.count(":")))
+    measured = narrow.agg(F.count(F.lit(1)) * width + sum(sums, F.lit(0))).first()[0]
+    return F.broadcast(narrow) if measured <= limit else narrow
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """Inner column names that no column of the input has, whatever its case."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(nodes: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """Nodes with a `node` number that grows with their id, then with the other columns.
+
+    Ids can stand for several nodes; the numbers can't, and the smallest number of a set of
+    nodes belongs to its smallest id. Numbers are the places after a range sort, written
+    before they are used, so they are the same however often tasks run again.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = nodes.repartitionByRange(n, id_col, *more).sortWithinPartitions(id_col, *more)
+    return cut(placed.withColumn("node", F.monotonically_increasing_id()))
 
 
 def whole_runs(batches, keys: list[str], rows: int = 1 << 14):

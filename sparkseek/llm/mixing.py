@@ -1,13 +1,16 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-Each source's documents form blocks. Block i of a source with share w gets the
-release time floor(i / w) and the deadline ceil((i + 1) / w); slots go to the
-released block with the earliest deadline, which keeps every source within less
-than one block of its share at every slot. Shares are the exact weights, and the sweep
-runs over the blocks on the driver (one number a block is held and broadcast). With a
-`resolution`, shares are rounded to whole parts of it and one period is simulated
-instead. When a source runs out, the others' shares are scaled up and a
-new phase begins, so no document is dropped and none is repeated.
+Each source's documents form blocks. In the ideal (fluid) mixture every source that has
+blocks left is served in proportion to its weight at every moment. A block's release time
+is the slot in which its ideal service begins, its deadline the slot by which it ends;
+slots go to the released block with the earliest deadline, which keeps every source
+within less than one block of its ideal service at every slot. When a source runs out,
+the others' ideal shares grow, so no document is dropped and none is repeated.
+
+Weights are exact fractions. Whom a slot goes to depends on all slots before, so one task
+sweeps over the blocks (not the rows: one step for each `block_rows` documents), holds a
+few numbers for each source and streams the schedule out; rows meet it by a join. Sorting
+rows and placing them is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
+from bisect import bisect_left
 from fractions import Fraction
 
 import numpy as np
@@ -23,107 +27,73 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, fresh, stored
 
 BLOCK_ROWS = 64
-RESOLUTION = 1000
+STREAM_ROWS = 1 << 16
 
 
-def shares(weights: list[float], resolution: int = RESOLUTION) -> list[int]:
-    """Whole parts of `resolution` in proportion to the weights, each one at least (largest remainders)."""
-    resolution = max(resolution, len(weights))
-    total = sum(Fraction(w) for w in weights)
-    exact = [Fraction(w) / total * (resolution - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
-    for i in sorted(range(len(exact)), key=lambda i: (-(exact[i] - int(exact[i])), i))[: resolution - sum(out)]:
-        out[i] += 1
-    return out
-
+class Fluid:
+    """Ideal service of sources in proportion to their weights, until each one's blocks run out.
 
-def period(parts: list[int]) -> np.ndarray:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    n = sum(parts)
-    slots = np.empty(n, np.int64)
-    releases = sorted((i * n // p, s, i) for s, p in enumerate(parts) for i in range(p))
-    ready: list[tuple[int, int, int]] = []
-    at = 0
-    for t in range(n):
-        while at < len(releases) and releases[at][0] <= t:
-            _, s, i = releases[at]
-            heapq.heappush(ready, (-(-(i + 1) * n // parts[s]), s, i))
-            at += 1
-        slots[t] = heapq.heappop(ready)[1]
-    return slots
-
-
-def sweep(blocks: list[int], weights: list[float]) -> list[np.ndarray]:
-    """The slots of each source's blocks, in proportion to the exact weights, until the first source runs out."""
-    exact = [Fraction(w) for w in weights]
-    scale = math.lcm(*(w.denominator for w in exact))
-    parts = [int(w * scale) for w in exact]
-    total = sum(parts)
-    taken = [array("q") for _ in parts]
-    waiting = [(0, s) for s in range(len(parts))]
-    ready: list[tuple[int, int]] = []
-    t = 0
-    while True:
-        while waiting and waiting[0][0] <= t:
-            s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(taken[s]) + 1) * total // parts[s]), s))
-        s = heapq.heappop(ready)[1]
-        taken[s].append(t)
-        if len(taken[s]) == blocks[s]:
-            return [np.array(x, np.int64) for x in taken]
-        heapq.heappush(waiting, (len(taken[s]) * total // parts[s], s))
-        t += 1
-
-
-def schedule(blocks: list[int], weights: list[float], resolution: int | None = None) -> list[list[tuple]]:
-    """For each source its segments (first block, first slot, blocks a period, period, slots in the period).
-
-    Sources whose weight is zero come after the weighted ones, in equal shares.
+    Time counts slots. Sources run out in the order of blocks / weight, their virtual time;
+    between two such times the total service is a line, so that windows have a closed form.
     """
-    left, done, slot = list(blocks), [0] * len(blocks), 0
-    out: list[list[tuple]] = [[] for _ in blocks]
-    while any(left):
-        active = [s for s, n in enumerate(left) if n]
-        weighted = [s for s in active if weights[s] > 0]
-        active = weighted or active
-        if resolution is None:
-            swept = sweep([left[s] for s in active], [weights[s] if weighted else 1 for s in active])
-            n = sum(map(len, swept))
-            for s, where in zip(active, swept):
-                if len(where):
-                    out[s].append((done[s], slot, len(where), n, where))
-                done[s] += len(where)
-                left[s] -= len(where)
-            slot += n
-            continue
-        parts = shares([weights[s] if weighted else 1 for s in active], resolution)
-        order = period(parts)
-        where = [np.flatnonzero(order == k) for k in range(len(active))]
-        cycles = min((left[s] - 1) // p for s, p in zip(active, parts))
-        # The slots of the cycle in which the first source runs out, up to that slot.
-        ends = [w[left[s] - cycles * p - 1] for s, p, w in zip(active, parts, where) if left[s] <= (cycles + 1) * p]
-        extra = int(min(ends)) + 1
-        for k, s in enumerate(active):
-            taken = cycles * parts[k] + int(np.searchsorted(where[k], extra))
-            out[s].append((done[s], slot, parts[k], len(order), where[k]))
-            done[s] += taken
-            left[s] -= taken
-        slot += cycles * len(order) + extra
-    return out
 
-
-def slot_of(segments: list[tuple], block: np.ndarray) -> np.ndarray:
-    """Slots of blocks of one source."""
-    at = np.searchsorted([x[0] for x in segments], block, side="right") - 1
-    out = np.empty(len(block), np.int64)
-    for k in np.unique(at):
-        first, slot, part, length, where = segments[k]
-        here = at == k
-        cycle, i = np.divmod(block[here] - first, part)
-        out[here] = slot + cycle * length + where[i]
+    def __init__(self, blocks: list[int], weights: list[Fraction]):
+        scale = math.lcm(*(w.denominator for w in weights))
+        self.blocks, self.parts = blocks, [int(w * scale) for w in weights]
+        self.ends = sorted(Fraction(n, p) for n, p in zip(blocks, self.parts))
+        self.total = sum(blocks)
+        # Up to ends[k]: gone[k] blocks of sources that ran out, rate[k] parts of the others.
+        self.gone, self.rate = [], []
+        gone, rate = 0, sum(self.parts)
+        for s in sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], self.parts[s])):
+            self.gone.append(gone)
+            self.rate.append(rate)
+            gone, rate = gone + blocks[s], rate - self.parts[s]
+
+    def line(self, i: int, p: int, k: int = 0) -> int:
+        """The line that holds virtual time i / p, from the k-th on."""
+        end = self.ends[k]
+        if i * end.denominator <= end.numerator * p:
+            return k
+        return min(bisect_left(self.ends, Fraction(i, p), k), len(self.ends) - 1)
+
+    def sweep(self):
+        """(source, block) arrays of the slots: earliest deadline first among released blocks."""
+        taken, at = [0] * len(self.parts), [0] * len(self.parts)
+        waiting = [(0, s) for s in range(len(self.parts))]
+        ready: list[tuple[int, int]] = []
+        sources, blocks = array("q"), array("q")
+        for t in range(self.total):
+            while waiting and waiting[0][0] <= t:
+                s = heapq.heappop(waiting)[1]
+                i, p = taken[s] + 1, self.parts[s]
+                k = at[s] = self.line(i, p, at[s])
+                heapq.heappush(ready, (self.gone[k] - -i * self.rate[k] // p, s))
+            s = heapq.heappop(ready)[1]
+            sources.append(s)
+            blocks.append(taken[s])
+            taken[s] += 1
+            if taken[s] < self.blocks[s]:
+                # The line of this block's end is that of the next one's beginning.
+                k = at[s]
+                heapq.heappush(waiting, (self.gone[k] + taken[s] * self.rate[k] // self.parts[s], s))
+            if len(sources) == STREAM_ROWS:
+                yield np.array(sources), np.array(blocks)
+                del sources[:], blocks[:]
+        if sources:
+            yield np.array(sources), np.array(blocks)
+
+
+def plan(blocks: list[int], weights: list[float]) -> list[tuple[int, list[int], Fluid]]:
+    """(first slot, sources, their ideal service): weighted sources first, then those of weight zero in equal shares."""
+    out, begin = [], 0
+    for some, own in (([s for s, w in enumerate(weights) if w > 0 and blocks[s]], True), ([s for s, w in enumerate(weights) if not w > 0 and blocks[s]], False)):
+        if some:
+            out.append((begin, some, Fluid([blocks[s] for s in some], [Fraction(weights[s]) if own else Fraction(1) for s in some])))
+            begin += out[-1][2].total
     return out
 
 
@@ -132,15 +102,17 @@ def default_weights(counts: dict) -> dict:
     return {s: float(n) ** 0.5 for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, resolution: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Schedules every row: (doc_id, source, block, slot, position).
 
     Within a source rows are in a seeded hash order; `block` counts its blocks, `slot`
     is the block's place in the mixture, `position` the row's own, from 0 without gaps.
-    `weights` maps sources to target weights; sources not named come last. A null source
-    is a source of its own; null ids and repeated rows are scheduled each; an empty table
-    gives an empty result; other columns are ignored. Collected: one count for each
-    source and each border of a partition. Without a `resolution` the weights are exact.
+    `weights` maps sources to target weights, the square roots of their counts if not
+    given; sources not named or of weight zero come last, in equal shares. A null source
+    is a source of its own; null ids and repeated rows are scheduled each; texts aren't
+    read; an empty table gives an empty result; other columns are ignored, whatever their
+    names. Collected: one count for each source and each border of a partition, and each
+    source's last slot.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -153,37 +125,62 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         counts[s] = counts.get(s, 0) + c
     names = sorted(counts, key=lambda s: (s is not None, s or ""))
     given = weights if weights is not None else default_weights(counts)
-    plan = schedule([-(-counts[s] // block_rows) for s in names], [float(given.get(s, 0)) for s in names], resolution)
-    by = dict(zip(names, plan))
-    # Only the last block of a source can be short: (slot, rows missing).
-    short = sorted((int(slot_of(by[s], np.array([(counts[s] - 1) // block_rows]))[0]), -counts[s] % block_rows) for s in names)
-    held = spark.sparkContext.broadcast((begins, by, np.array([x[0] for x in short]), np.concatenate([[0], np.cumsum([x[1] for x in short])]).astype(np.int64)))
+    parts = plan([-(-counts[s] // block_rows) for s in names], [float(given.get(s, 0)) for s in names])
+    made = spark.sparkContext.broadcast((parts, np.array([counts[s] for s in names], np.int64)))
+
+    def sweep(batches):
+        plans, held = made.value
+        for _ in batches:
+            for slot, some, fluid in plans:
+                some = np.array(some, np.int64)
+                for source, block in fluid.sweep():
+                    source = some[source]
+                    rest = held[source] - (block + 1) * block_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(block), pa.array(slot + np.arange(len(block))), pa.array(np.minimum(rest, 0))], names=["number", "block", "slot", "short"])
+                    slot += len(block)
+
+    schedule = stored(spark.range(0, 1, 1, 1).mapInArrow(sweep, "number bigint, block bigint, slot bigint, short bigint"))
+    # Only a source's last block can be short of rows.
+    short = sorted((r["slot"], -r["short"]) for r in schedule.where("short < 0").select("slot", "short").collect())
+    fills = spark.sparkContext.broadcast((begins, {s: i for i, s in enumerate(names)}, np.array([x[0] for x in short], np.int64), np.concatenate([[0], np.cumsum([x[1] for x in short])]).astype(np.int64)))
     kind = dict(rows.dtypes)["id"]
 
-    def run(batches):
-        begin, segments, ends, missing = held.value
+    def begin_blocks(batches):
+        _, _, ends, missing = fills.value
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("block"), batch.column("slot"), pa.array(slot * block_rows - missing[np.searchsorted(ends, slot)])], names=["number", "block", "slot", "begin"])
+
+    def rank(batches):
+        begin, number, _, _ = fills.value
         me, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            source = np.array(batch.column("source").to_pylist(), dtype=object)
-            block, slot, position = (np.empty(len(source), np.int64) for _ in range(3))
-            for s in dict.fromkeys(source):
-                here = np.flatnonzero([x == s for x in source]) if s is not None else np.flatnonzero([x is None for x in source])
-                rank = begin[me, s] + seen.get(s, 0) + np.arange(len(here))
+            coded = batch.column("source").dictionary_encode()
+            codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            place, of = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+            for code in np.unique(codes):
+                s = coded.dictionary[int(code)].as_py() if code >= 0 else None
+                here = np.flatnonzero(codes == code)
+                place[here] = begin[me, s] + seen.get(s, 0) + np.arange(len(here))
+                of[here] = number[s]
                 seen[s] = seen.get(s, 0) + len(here)
-                block[here] = rank // block_rows
-                slot[here] = slot_of(segments[s], rank // block_rows)
-                position[here] = slot[here] * block_rows - missing[np.searchsorted(ends, slot[here])] + rank % block_rows
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(block), pa.array(slot), pa.array(position)], names=["id", "source", "block", "slot", "position"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(of), pa.array(place // block_rows), pa.array(place % block_rows)], names=["id", "source", "number", "block", "within"])
 
-    return rows.mapInArrow(run, f"id {kind}, source string, block bigint, slot bigint, position bigint").withColumnsRenamed({"id": id_col, "source": source_col})
+    ranked = rows.mapInArrow(rank, f"id {kind}, source string, number bigint, block bigint, within bigint")
+    placed = schedule.mapInArrow(begin_blocks, "number bigint, block bigint, slot bigint, begin bigint")
+    out = ranked.join(placed, ["number", "block"]).select("id", "source", "block", "slot", (F.col("begin") + F.col("within")).alias("position"))
+    return out.withColumnsRenamed({"id": id_col, "source": source_col})
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The same rows and columns in the order of the mixture: range-partitioned and sorted by position.
 
-    Rows that share an id take its first position.
+    Rows that share an id take its first position; null ids share one. Null and empty texts,
+    repeated rows and columns of any name pass; an empty table gives an empty result.
     """
-    places = mix(docs, weights, id_col=id_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.min("position").alias("__position"))
+    key, place = fresh(docs.columns, "mixed_id", "mixed_position")
+    places = mix(docs, weights, id_col=id_col, source_col=source_col, **options)
+    places = places.groupBy(F.col(id_col).alias(key)).agg(F.min("position").alias(place))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = docs.join(broadcast_if_small(cut(places)), docs[id_col].eqNullSafe(F.col("__id")), "left")
-    return joined.repartitionByRange(n, "__position").sortWithinPartitions("__position").select(*[docs[c] for c in docs.columns])
+    joined = docs.join(broadcast_if_small(cut(places)), docs[id_col].eqNullSafe(F.col(key)), "left")
+    return joined.repartitionByRange(n, place).sortWithinPartitions(place).select(*[docs[c] for c in docs.columns])

@@ -3,7 +3,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkseek.llm.common import Forest, broadcast_if_small, components, slices, whole_runs
+from sparkseek.llm.common import Forest, broadcast_if_small, components, fresh, numbered, slices, whole_runs
 
 
 def labels(n, edges):
@@ -66,7 +66,20 @@ def test_slices_keep_all_rows():
     assert list(slices(batch.slice(0, 0), "t")) == []
 
 
-def test_broadcast_only_below_the_limit(spark):
+def test_broadcast_only_below_the_measured_bytes(spark):
     df = spark.range(10)
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
-    assert hinted(broadcast_if_small(df, 10)) and not hinted(broadcast_if_small(df, 9))
+    assert hinted(broadcast_if_small(df, 320)) and not hinted(broadcast_if_small(df, 319))
+    long = df.selectExpr("id", "repeat('x', 1000) AS a", "sequence(0, 99) AS b")
+    assert hinted(broadcast_if_small(long, 10 * (24 + 24 + 1000 + 800))) and not hinted(broadcast_if_small(long, 10 * (24 + 24 + 1000 + 800) - 1))
+    assert hinted(broadcast_if_small(long.where("id < 0")))
+
+
+def test_fresh_names():
+    assert fresh(["a", "B", "b_"], "a", "b", "c", "c") == ["a_", "b__", "c", "c_"]
+
+
+def test_numbers_grow_with_the_id(spark):
+    df = spark.createDataFrame([(i % 40, i) for i in range(200)], "id bigint, d bigint")
+    rows = sorted((r["node"], r["id"], r["d"]) for r in numbered(df, "id", "d").collect())
+    assert len({r[0] for r in rows}) == 200 and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
