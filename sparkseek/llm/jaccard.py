@@ -1,7 +1,7 @@
 """Near-duplicate documents: Jaccard join on word shingles with Bayesian pruning.
 
-1. Documents with the same shingle set form one class member, its representative the
-   smallest id. MinHash values, banded, name candidates among representatives.
+1. Documents with the same shingle set form one node, numbered in the order of the nodes'
+   smallest ids. MinHash values, banded, name candidates among nodes.
 2. Candidates that share a band are linked to the band's smallest member (a star, not
    all pairs); components of these links bound where similar pairs can be.
 3. Inside a component, block by block, MinHash values are compared a few at a time and
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, broadcast_if_small, components, cut, slices, stored
+from .common import Forest, broadcast_if_small, components, cut, numbered, slices, stored
 from .shingles import SIZE, shingles
 
 THRESHOLD = 0.8
@@ -51,6 +51,12 @@ def bands(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(rows[i].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)]
 
 
+def digest(x: np.ndarray) -> tuple[int, int]:
+    """128 bits of a shingle set in two halves."""
+    value = xxhash.xxh3_128_intdigest(x.tobytes())
+    return (value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63)
+
+
 @lru_cache(maxsize=8)
 def least_matches(threshold: float, tolerance: float, n: int) -> int:
     """Fewest matches of `n` values at which P(similarity >= threshold), from a uniform prior, reaches the tolerance."""
@@ -146,9 +152,9 @@ def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
                 d1, d2, n, keys = [], [], [], []
                 for text in part.column("text").to_pylist():
                     x = shingles(text, size)
-                    digest = xxhash.xxh3_128_intdigest(x.tobytes())
-                    d1.append((digest >> 64) - (1 << 63))
-                    d2.append((digest & (1 << 64) - 1) - (1 << 63))
+                    high, low = digest(x)
+                    d1.append(high)
+                    d2.append(low)
                     n.append(len(x))
                     keys.append(bands(signature(x)) if len(x) else [])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "d1", "d2", "n", "bands"])
@@ -164,35 +170,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     `class_id` is the smallest id reachable by links, itself included; `kept` marks it.
     Texts that are null or hold no word link with nothing; rows with a null id are
     returned with a null class, no links and kept. Repeated rows are rows of their own
-    (all of a kept id are marked). An empty table gives an empty result; columns besides
-    id and text are ignored.
+    (all of a kept id are marked), and so are unlike texts under one id: each has its own
+    links, and its class is named by the smallest id in it. Whole texts of any length are
+    read. An empty table gives an empty result; columns besides id and text are ignored,
+    whatever their names.
     """
     spark = docs.sparkSession
     rows = stored(sketch(docs, size, id_col, text_col))
-    kind = dict(rows.dtypes)["id"]
     full = rows.where("n > 0 AND id IS NOT NULL")
-    groups = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
-    groups = cut(groups)
-    heads = full.join(groups.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi")
-    keys = heads.select("id", F.explode("bands").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other")).where("leader < other").select("key", "leader")
-    candidates = keys.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    groups = full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    groups = numbered(groups, "id", "d1", "d2")
+    heads = full.join(groups.select("d1", "d2", "id", "node"), ["d1", "d2", "id"])
+    keys = heads.select("node", F.explode("bands").alias("key"))
+    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").select("key", "leader")
+    candidates = keys.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     area = components(candidates)
-    members = area.withColumnRenamed("node", "rep").join(groups.select("rep", "copies", "n"), "rep")
+    members = area.join(groups, "node")
     sizes = members.groupBy("component").agg(F.sum(F.col("n") * 8 + 4 * BANDS * ROWS).alias("bytes"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(block_bytes))).cast("int")
-    members = cut(members.join(sizes, "component").select("rep", "component", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block")))
+    members = cut(members.join(sizes, "component").select("id", "d1", "d2", F.col("node").alias("rep"), "component", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
 
-    texts = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("text")).join(broadcast_if_small(members), "rep")
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(broadcast_if_small(members), "id").drop("id")
 
     def prepare(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t, size) for t in part.column("text").to_pylist()]
-                made = [pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in ("rep", "component", "copies", "blocks", "block")] + made, names=["rep", "component", "copies", "blocks", "block", "sig", "items"])
+                # Other texts under the id are other nodes, or none.
+                own = [i for i, (x, d1, d2) in enumerate(zip(sets, part.column("d1").to_pylist(), part.column("d2").to_pylist())) if digest(x) == (d1, d2)]
+                made = [pa.array([signature(sets[i]).tobytes() for i in own], pa.binary()), pa.array([sets[i].tobytes() for i in own], pa.binary())]
+                at = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(k).take(at) for k in ("rep", "component", "copies", "blocks", "block")] + made, names=["rep", "component", "copies", "blocks", "block", "sig", "items"])
 
-    ready = texts.mapInArrow(prepare, f"rep {kind}, component {kind}, copies bigint, blocks int, block int, sig binary, items binary")
+    ready = texts.mapInArrow(prepare, "rep bigint, component bigint, copies bigint, blocks int, block int, sig binary, items binary")
     dealt = ready.select("rep", "component", "copies", "block", "sig", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.col("block").alias("side"), "rep", "copies", "sig", "items")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -238,11 +248,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         if held:
             yield from finish(held)
 
-    found = cut(dealt.mapInArrow(compare, f"a {kind}, b {kind}, w bigint"))
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("linked"))
+    found = cut(dealt.mapInArrow(compare, "a bigint, b bigint, w bigint"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("linked"))
     classes = components(found.where("b IS NOT NULL"))
-    named = groups.join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("d1", "d2", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    least = groups.select(F.col("node").alias("component"), F.col("id").alias("class_id"))
+    named = groups.join(counts, "node", "left").join(classes, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node")).join(least, "component")
+    named = named.select("d1", "d2", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     out = full.select("id", "d1", "d2").join(named, ["d1", "d2"]).select("id", "class_id", "n_links")
     rest = rows.where("NOT (n > 0 AND id IS NOT NULL)").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return out.unionByName(rest).select(F.col("id").alias(id_col), "class_id", "n_links", F.expr("id <=> class_id").alias("kept"))

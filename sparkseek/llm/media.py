@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, broadcast_if_small, components, cut, settle, stored, whole_runs
+from .common import Forest, broadcast_if_small, components, cut, numbered, settle, stored, whole_runs
 from .shingles import mix64
 
 #: Each scale's step to the next; scales go on while the picture holds a descriptor.
@@ -218,8 +218,9 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     Images of equal bytes are one node. `class_id` is the smallest id of the images tied to
     it by verified pairs, itself included; `kept` marks it. Values that are null, empty or no
     image that `decode` reads have no points and stand alone unless their bytes are equal;
-    null bytes and null ids always stand alone. Repeated rows are rows of their own. An
-    empty table gives an empty result; other columns are ignored.
+    null bytes and null ids always stand alone. Repeated rows are rows of their own, and so
+    are unlike pictures under one id: each has its own class, named by the smallest id in
+    it. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     spark = images.sparkSession
     chosen = images.select(images[id_col].alias("id"), images[image_col].alias("image"))
@@ -242,9 +243,9 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     rows = stored(chosen.mapInArrow(prepare, f"id {kind}, d1 bigint, d2 bigint, points binary"))
     size = POINT.itemsize
     good = rows.where("d1 IS NOT NULL")
-    nodes = cut(good.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
-    heads = good.join(nodes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi")
-    heads = stored(heads.dropDuplicates(["d1", "d2"]).select(F.col("id").alias("rep"), "points"))
+    nodes = numbered(good.groupBy("d1", "d2").agg(F.min("id").alias("id")), "id", "d1", "d2")
+    heads = good.join(nodes.select("d1", "d2", "id", "node"), ["d1", "d2", "id"])
+    heads = stored(heads.dropDuplicates(["node"]).select(F.col("node").alias("rep"), "points"))
 
     def list_keys(batches):
         for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
@@ -256,7 +257,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
             for t in range(TABLES):
                 yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(of)), pa.array(keys[:, t]), bits], names=["rep", "key", "bits"])
 
-    listed = heads.mapInArrow(list_keys, f"rep {kind}, key bigint, bits binary")
+    listed = heads.mapInArrow(list_keys, "rep bigint, key bigint, bits binary")
     shared = listed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
     shared = cut(shared.select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int").alias("blocks")))
     dealt = listed.join(broadcast_if_small(shared), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -309,7 +310,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
             met = np.unique(met[image[met[:, 0]] != image[met[:, 1]]], axis=0)
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(met[:, 0])), rep.take(pa.array(met[:, 1]))], names=["a", "b"])
 
-    pairs = dealt.mapInArrow(meet, f"a {kind}, b {kind}").where("a <> b").groupBy("a", "b").count().where(F.col("count") >= votes).select("a", "b")
+    pairs = dealt.mapInArrow(meet, "a bigint, b bigint").where("a <> b").groupBy("a", "b").count().where(F.col("count") >= votes).select("a", "b")
     ours = heads.select("rep", "points")
     both = pairs.join(ours.withColumnsRenamed({"rep": "a", "points": "p"}), "a").join(ours.withColumnsRenamed({"rep": "b", "points": "q"}), "b")
 
@@ -319,8 +320,9 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
             at = pa.array(np.flatnonzero(found))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    area = components(both.select("a", "b", "p", "q").mapInArrow(verify, f"a {kind}, b {kind}"))
-    named = nodes.join(area.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
+    area = components(both.select("a", "b", "p", "q").mapInArrow(verify, "a bigint, b bigint"))
+    least = nodes.select(F.col("node").alias("component"), F.col("id").alias("class_id"))
+    named = nodes.join(area, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component").select("d1", "d2", "class_id")
     count = (F.length("points") / F.lit(size)).cast("int").alias("n_points")
     out = good.select("id", "d1", "d2", count).join(named, ["d1", "d2"]).select("id", "n_points", "class_id")
     rest = rows.where("d1 IS NULL").select("id", count, F.col("id").alias("class_id"))

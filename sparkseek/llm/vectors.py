@@ -1,6 +1,6 @@
 """Embedding near-duplicates: lattice hashing with probes, verified by exact cosine.
 
-1. Equal vectors are one node, named by its smallest id.
+1. Equal vectors are one node, numbered in the order of the nodes' smallest ids.
 2. Each table projects unit vectors to eight dimensions and decodes them to E8 lattice
    points. A vector is indexed under its own cell and probes the neighbouring cells that
    its residual leans to. Cells without an indexed vector and another one are dropped
@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, broadcast_if_small, components, cut, stored, whole_runs
+from .common import Forest, broadcast_if_small, components, cut, numbered, stored, whole_runs
 from .shingles import mix64
 
 THRESHOLD = 0.95
 TABLES = 6
 PROBES = 8
 CELL = 0.15
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 TILE = 1024
 SEED = 20240411
 
@@ -134,7 +134,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, tables: int
     included; `kept` marks it. Vectors that are null, empty or zero, or hold null or
     non-finite components, and rows with a null id link with nothing and are kept.
     Vectors of different lengths link with none of another length. Repeated rows are rows
-    of their own. An empty table gives an empty result; other columns are ignored.
+    of their own, and so are unlike vectors under one id: each has its own links, and its
+    component is named by the smallest id in it. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
 
     At the threshold itself a table finds a pair with a probability of about 0.82, six
     tables miss one in tens of thousands; closer pairs are missed less.
@@ -175,15 +177,16 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, tables: int
 
     rows = stored(chosen.mapInArrow(prepare, f"id {kind}, d1 bigint, d2 bigint, x binary, keys array<bigint>"))
     good = rows.where("d1 IS NOT NULL")
-    nodes = cut(good.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    heads = good.join(nodes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi")
-    heads = stored(heads.dropDuplicates(["d1", "d2"]))  # an id's repeated rows stand once
-    listed = heads.select(F.col("id").alias("rep"), F.posexplode("keys").alias("place", "key"))
+    nodes = numbered(good.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "id", "d1", "d2")
+    heads = good.join(nodes.select("d1", "d2", "id", "node"), ["d1", "d2", "id"])
+    # An id's repeated rows stand once.
+    heads = stored(heads.dropDuplicates(["node"]).select(F.col("node").alias("rep"), "x", "keys"))
+    listed = heads.select("rep", F.posexplode("keys").alias("place", "key"))
     listed = listed.select("rep", "key", (F.col("place") % (probes + 1) == 0).alias("own"))
     shared = listed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n")).where("a < b AND own")
     shared = cut(shared.select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int").alias("blocks")))
     members = listed.join(broadcast_if_small(shared), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    vectors = heads.select(F.col("id").alias("rep"), "x")
+    vectors = heads.select("rep", "x")
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "own", "rep").join(vectors, "rep")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,9 +211,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, tables: int
             if a:
                 yield pa.RecordBatch.from_arrays([rep.take(pa.array(a)), rep.take(pa.array(b))], names=["a", "b"])
 
-    area = cut(components(dealt.mapInArrow(verify, f"a {kind}, b {kind}")))
+    area = cut(components(dealt.mapInArrow(verify, "a bigint, b bigint")))
     sizes = area.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = area.join(sizes, "component").withColumnRenamed("node", "rep").join(nodes.select("rep", "copies"), "rep").join(vectors, "rep")
+    inside = area.join(sizes, "component").withColumnRenamed("node", "rep").join(nodes.select(F.col("node").alias("rep"), "copies"), "rep").join(vectors, "rep")
     inside = inside.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     inside = inside.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "copies", "x")
@@ -239,9 +242,11 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, tables: int
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(some)), pa.array(links[some])], names=["rep", "links"])
 
-    links = inside.mapInArrow(count, f"rep {kind}, links bigint").groupBy("rep").agg(F.sum("links").alias("links"))
-    named = nodes.join(links, "rep", "left").join(area.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    links = inside.mapInArrow(count, "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("links"))
+    named = nodes.join(links.withColumnRenamed("rep", "node"), "node", "left").join(area, "node", "left")
+    least = nodes.select(F.col("node").alias("component"), F.col("id").alias("component_id"))
+    named = named.withColumn("component", F.coalesce("component", "node")).join(least, "component")
+    named = named.select("d1", "d2", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = good.select("id", "d1", "d2").join(named, ["d1", "d2"]).select("id", "n_links", "component_id")
     rest = rows.where("d1 IS NULL").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.expr("id <=> component_id").alias("kept"))

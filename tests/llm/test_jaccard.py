@@ -71,5 +71,13 @@ def test_edges(spark):
     assert near_duplicates(df.where(F.lit(False))).collect() == []
 
 
+def test_unlike_texts_under_one_id_are_rows_of_their_own(spark):
+    one, two, three = (" ".join(f"{a}{i}" for i in range(60)) for a in "xyz")
+    rows = [(5, one), (5, two), (6, one + " more"), (7, two + " more"), (7, three), (8, three), (5, one), (9, "alone")]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id bigint, text string, node int, d1 int, component int")
+    got = sorted(tuple(r) for r in near_duplicates(df).collect())
+    assert got == sorted([(5, 5, 2, True), (5, 5, 2, True), (5, 5, 1, True), (6, 5, 2, False), (7, 5, 1, False), (7, 7, 1, True), (8, 7, 1, False), (9, 9, 0, True)])
+
+
 def test_pruning_bound():
     assert least_matches(0.8, 1e-6, 16) <= 5 and least_matches(0.8, 1e-6, 160) > 90

@@ -75,3 +75,12 @@ def test_edges(spark):
     alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, None, 9, 11)]
     assert got == sorted(alone + [(7, 3, 7, True), (8, 3, 7, False), (8, 3, 7, False), (10, 3, 7, False)], key=str)
     assert near_duplicates(df.where(F.lit(False))).collect() == []
+
+
+def test_unlike_vectors_under_one_id_are_rows_of_their_own(spark):
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.0, 0.1, -1.0]
+    near = lambda v: [x + 0.02 for x in v]
+    rows = [(5, a), (5, b), (6, near(a)), (7, near(b)), (7, c), (8, near(c)), (5, a)]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "vec_id bigint, embedding array<double>, node int, d1 int, component int")
+    got = sorted(tuple(r) for r in near_duplicates(df).collect())
+    assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (5, 1, 5, True), (6, 2, 5, False), (7, 1, 5, False), (7, 1, 7, True), (8, 1, 7, False)])
