@@ -6,6 +6,10 @@ and probes for those of lines that are shorter by up to `max_edits` (its length,
 segment's number and the substring make the key). Keys that only one line has are
 dropped before anything wide moves. What is left is verified by a banded bit-parallel
 edit distance over many pairs at once.
+
+Equal lines are found whatever their length. Near lines have `MIN_CHARS` code points at
+least, so that two edits are a tenth of a line at most: among shorter lines such
+neighbours are mostly other words or numbers.
 """
 
 from __future__ import annotations
@@ -16,11 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, slices, stored
+from .common import broadcast_if_small, cut, fresh, slices, stored
 from .shingles import mix64
 
 MAX_EDITS = 2
+#: Fewest code points of a line in the edit join.
 MIN_CHARS = 20
+#: Lines that a task remembers to have given keys for; it may give them again after so many others.
+REMEMBERED = 1 << 18
 BLOCK_ROWS = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -159,8 +166,8 @@ class Verifier:
             self.pending = []
 
 
-def _lines_of(batch: pa.RecordBatch, min_chars: int):
-    """(row, line number, stripped line) of the lines that take part; a part's key arrays are fifty times its bytes."""
+def _lines_of(batch: pa.RecordBatch, min_chars: int = 1):
+    """(part, rows, line numbers, stripped lines) of the lines that take part; a part's key arrays are fifty times its bytes."""
     for part in slices(batch, "text", 1 << 20):
         rows, numbers, texts = [], [], []
         for i, text in enumerate(part.column("text").to_pylist()):
@@ -183,8 +190,8 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
 
     A line's order is its document's id (null first), then its number. Of equal lines the
     first stays; the first of equal lines goes too (near) when a line before it is within
-    `max_edits`. Lines are compared without outer white space; those of fewer than
-    `min_chars` code points take no part.
+    `max_edits` and both have `min_chars` code points at least. Lines are compared without
+    outer white space; blank ones take no part.
     """
     if min_chars <= 2 * max_edits:
         raise ValueError("min_chars must be more than twice max_edits")
@@ -194,7 +201,7 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
 
     def number(batches):
         for batch in batches:
-            for part, rows, numbers, texts in _lines_of(batch, min_chars):
+            for part, rows, numbers, texts in _lines_of(batch):
                 raw = [x.encode("utf-8", "surrogatepass") for x in texts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array([_hash(x) for x in texts], pa.int64()), pa.array([xxhash.xxh32_intdigest(x, 7) - (1 << 31) for x in raw], pa.int32())],
@@ -207,25 +214,29 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     copies = lines.join(again, ["h1", "h2"]).where("NOT (struct(doc, line) <=> first)").select("doc", "line", F.lit(False).alias("near"))
 
     def keyed(batches):
+        seen: set[int] = set()
         for batch in batches:
             for _, _, _, texts in _lines_of(batch, min_chars):
-                of, keys, own = segment_keys(texts, max_edits)
-                h = np.array([_hash(x) for x in texts], np.int64)
-                # A line that repeats within the batch gives each key once.
-                _, first = np.unique(h, return_index=True)
-                keep = np.isin(of, first)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(h[of[keep]]), pa.array(own[keep])], names=["key", "h1", "own"])
-
-    keys = chosen.mapInArrow(keyed, "key bigint, h1 bigint, own boolean")
+                # A line that repeats in the task gives its keys once, as far as it is remembered.
+                new = {h: x for h, x in zip(map(_hash, texts), texts) if h not in seen}
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.update(new)
+                if new:
+                    of, keys, own = segment_keys(list(new.values()), max_edits)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(new, np.int64, len(new))[of]), pa.array(own)], names=["key", "h1", "own"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One shuffle of the keys serves both the test of a key and the choice of its rows.
+    keys = chosen.mapInArrow(keyed, "key bigint, h1 bigint, own boolean").repartition(n, "key")
     shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("own")).where("a < b AND own").select("key")
-    shared = broadcast_if_small(cut(shared))
-    members = keys.join(shared, "key").groupBy("key", "h1").agg(F.max("own").alias("own"))
+    members = keys.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("key", "h1").agg(F.max("own").alias("own"))
     members = stored(members)
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
     named = members.select("h1").distinct().join(firsts.select("h1", "first.*"), "h1")
-    wanted = cut(named.groupBy("doc").agg(F.collect_list(F.struct("line", "h1")).alias("wanted")).withColumnRenamed("doc", "__doc"))
-    found = chosen.join(broadcast_if_small(wanted), F.col("doc").eqNullSafe(F.col("__doc"))).drop("__doc")
+    wanted = cut(named.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("line", "h1")).alias("wanted")))
+    found = chosen.join(broadcast_if_small(wanted), F.col("doc").eqNullSafe(F.col("of"))).drop("of")
 
     def cut_out(batches):
         for batch in batches:
@@ -247,7 +258,6 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     dealt = members.join(sizes, "key").where("n > 1").join(said, "h1").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.col("block").alias("side"), "own", "doc", "line", "said")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc", "line")
 
     def verify(batches):
@@ -287,31 +297,33 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
 
     With `counts`, also `n_lines`, `n_copies` (equal to a line before) and `n_near`
     (within `max_edits` of one), which replace columns of these names. Every row stays,
-    if with an empty text; null texts stay null. Rows that share an id count as one
-    document, their lines of one number as one place. Blank and short lines stay.
-    An empty table gives an empty result.
+    if with an empty text; null texts stay null; texts of any length are read whole. Rows
+    that share an id count as one document, their lines of one number as one place. Blank
+    lines stay. An empty table gives an empty result; other columns pass, whatever their
+    names.
     """
+    of, said, copied, close = fresh([*docs.columns, "n_lines", "n_copies", "n_near"], "of", "said", "copied", "close")
     gone = repeated_lines(docs, max_edits, min_chars, id_col=id_col, text_col=text_col, **options)
-    gone = cut(gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.when(~F.col("near"), F.col("line"))).alias("__copies"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("__near")))
+    gone = cut(gone.groupBy(F.col("doc").alias(of)).agg(F.collect_set(F.when(~F.col("near"), F.col("line"))).alias(copied), F.collect_set(F.when(F.col("near"), F.col("line"))).alias(close)))
     extra = ["n_lines", "n_copies", "n_near"] if counts else []
     others = [c for c in docs.columns if c not in (text_col, *extra)]
-    base = docs.select(*[docs[c] for c in others], docs[text_col].alias("__text"))
-    joined = base.join(broadcast_if_small(gone), base[id_col].eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    base = docs.select(*[docs[c] for c in others], docs[text_col].alias(said))
+    joined = base.join(broadcast_if_small(gone), base[id_col].eqNullSafe(F.col(of)), "left").drop(of)
     kinds = dict(joined.dtypes)
 
     def apply(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, said):
                 texts, numbers = [], []
-                for text, copies, near in zip(*(part.column(k).to_pylist() for k in ("__text", "__copies", "__near"))):
+                for text, copies, near in zip(*(part.column(k).to_pylist() for k in (said, copied, close))):
                     own = split_lines(text)
-                    copies = {k for k in copies or () if k < len(own) and len(own[k].strip()) >= min_chars}
+                    copies = {k for k in copies or () if k < len(own) and own[k].strip()}
                     near = {k for k in near or () if k < len(own) and len(own[k].strip()) >= min_chars} - copies
                     texts.append("\n".join(x for k, x in enumerate(own) if k not in copies and k not in near) if copies or near else text)
                     numbers.append((len(own), len(copies), len(near)))
                 more = [pa.array([x[i] for x in numbers], pa.int64()) for i in range(len(extra))]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(texts, pa.string()), *more], names=[*others, "__text", *extra])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(texts, pa.string()), *more], names=[*others, said, *extra])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "__text string", *(f"{c} bigint" for c in extra)])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), f"`{said}` string", *(f"{c} bigint" for c in extra)])
     out = joined.mapInArrow(apply, schema)
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in extra], *extra)
+    return out.select(*[F.col(said).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in extra], *extra)
