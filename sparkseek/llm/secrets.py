@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,17 +27,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+#: A token's beginning; comments and strings are closed by `tokens`, which never looks at a text's rest twice.
 TOKEN = re.compile(
-    r"""(?P<comment>/\*[\s\S]*?\*/)
-      | (?P<string>(?:\b[rbuf]{1,2})?(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`))
-      | (?P<element><(?P<tag>[A-Za-z][\w.\-]*)[^<>\n]*>(?P<inner>[^<>\n]+)</(?P=tag)>)
+    r"""(?P<comment>/\*)
+      | (?P<string>(?:\b[rbuf]{1,2})?["'`])
+      | (?P<element><(?P<tag>[A-Za-z][\w.\-]*+)[^<>\n]*+>(?P<inner>[^<>\n]++)</(?P=tag)>)
       | (?P<op>:=|=>|==|!=|<=|>=|\+=|[=:+])
-      | (?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)
+      | (?P<name>[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+)
       | (?P<bare>[\w+/~!@\#%^&*.\-]+)
       | (?P<end>[\n;,{}])
       | (?P<other>\S)""",
     re.X | re.A,
 )
+NAME = re.compile(r"[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+", re.A)
+BARE = re.compile(r"[\w+/~!@\#%^&*.\-]+", re.A)
+INSIDE = {'"': re.compile(r'(?:[^"\\\n]|\\.)*+'), "'": re.compile(r"(?:[^'\\\n]|\\.)*+"), "`": re.compile(r"(?:[^`\\]|\\.)*+")}
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: Weights of words (or pairs of words) in a target name.
@@ -53,6 +59,7 @@ DECLARE = {"const", "let", "var", "final", "static", "public", "private", "prote
 PLACEHOLDER = re.compile(r"""^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|change_?me|your[\w\-]*|example\w*|none|null|true|false|todo|redacted)$""", re.I)
 
 
+@lru_cache(maxsize=1 << 14)
 def name_score(name: str) -> float:
     words = [w.lower() for w in WORD.findall(name.replace("-", "_"))]
     pairs = [" ".join(p) for p in zip(words, words[1:])]
@@ -64,11 +71,50 @@ def literal_score(value: str, quoted: bool) -> float:
     n = len(value)
     if n < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    digit, alpha = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
+    return _spread(Counter(value), n, quoted)
+
+
+def _spread(counts: Counter, n: int, quoted: bool) -> float:
+    """How random characters look."""
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    digit, alpha = any(c.isdigit() for c in counts), any(c.isalpha() for c in counts)
     if not quoted and not (digit and alpha):
         return 0.0
-    return min(1.0, entropy / 3.0) * (1.0 if digit or not value.isalpha() else 0.75)
+    return min(1.0, entropy / 3.0) * (1.0 if digit or not all(c.isalpha() for c in counts) else 0.75)
+
+
+def tokens(text: str):
+    """(kind, start, end, match) of each token; comments are left out, an opener that nothing closes is a token of its own.
+
+    Whether a quote is escaped depends only on the backslashes before it. So if no quote
+    closes a string up to some place, none closes one that begins before that place
+    either, and the search isn't repeated; nor is that for the end of a comment.
+    """
+    at, n, open_comment, dead = 0, len(text), False, dict.fromkeys(INSIDE, -1)
+    search = TOKEN.search
+    while m := search(text, at):
+        kind, start, at = m.lastgroup, m.start(), m.end()
+        if kind == "comment":
+            end = -1 if open_comment else text.find("*/", at)
+            if end >= 0:
+                at = end + 2
+                continue
+            open_comment = True
+            kind, at = "bare", BARE.match(text, start).end()
+        elif kind == "string":
+            quote = text[at - 1]
+            end = at if start < dead[quote] else INSIDE[quote].match(text, at).end()
+            if start >= dead[quote] and end < n and text[end] == quote:
+                at = end + 1
+            else:
+                dead[quote] = max(dead[quote], end)
+                if at - start > 1:
+                    kind, at = "name", NAME.match(text, start).end()
+                else:
+                    kind = "other"
+        elif m["element"] is not None:
+            kind = "element"
+        yield kind, start, at, m
 
 
 def lex(text: str):
@@ -82,19 +128,17 @@ def lex(text: str):
         if target is not None and right:
             yield target, list(right), more
 
-    for m in TOKEN.finditer(text):
-        kind = m.lastgroup if m.lastgroup not in ("tag", "inner") else "element"
-        if m.group("element") is not None:
+    for kind, begin, stop, m in tokens(text):
+        if kind == "element":
             yield from flush()
             target, right, pend = None, [], []
-            inner = m.group("inner")
-            lead = len(inner) - len(inner.lstrip())
-            start = m.start("inner") + lead
-            yield m.group("tag"), [("literal", inner.strip(), start, start + len(inner.strip()), False)], False
+            inner = m["inner"]
+            start = m.start("inner") + len(inner) - len(inner.lstrip())
+            yield m["tag"], [("literal", inner.strip(), start, start + len(inner.strip()), False)], False
             depth, more = 0, False
             continue
-        word = m.group()
-        if kind == "other" and word == "[" and target is not None and (depth or m.start() in closed):
+        word = text[begin:stop]
+        if kind == "other" and word == "[" and target is not None and (depth or begin in closed):
             depth += 1
         elif kind == "other" and word == "]" and depth:
             depth -= 1
@@ -119,9 +163,9 @@ def lex(text: str):
             target, right, pend, depth, more = None, [], [], 0, False
         elif kind == "string":
             quote = min(i for i in (word.find(q) for q in "\"'`") if i >= 0)
-            item = ("literal", word[quote + 1 : -1], m.start() + quote + 1, m.end() - 1, True)
+            item = ("literal", word[quote + 1 : -1], begin + quote + 1, stop - 1, True)
             if target is None:
-                pend = [("name", word[quote + 1 : -1], m.start(), m.end())]
+                pend = [("name", word[quote + 1 : -1], begin, stop)]
             else:
                 right.append(item)
         elif kind == "op" and word in (":=", "=>", "=", ":", "+="):
@@ -132,12 +176,12 @@ def lex(text: str):
         elif kind in ("name", "bare"):
             if target is None:
                 if word not in DECLARE or kind == "bare":
-                    pend = [("name", word, m.start(), m.end())]
-            elif right and right[-1][0] in ("ref", "word") and right[-1][3] == m.start():
+                    pend = [("name", word, begin, stop)]
+            elif right and right[-1][0] in ("ref", "word") and right[-1][3] == begin:
                 _, before, start, _, _ = right.pop()
-                right.append(("word", before + word, start, m.end(), False))
+                right.append(("word", before + word, start, stop, False))
             else:
-                right.append(("ref" if kind == "name" else "word", word, m.start(), m.end(), False))
+                right.append(("ref" if kind == "name" else "word", word, begin, stop, False))
         elif kind == "op" and word == "=" and right:
             pass
     yield from flush()
@@ -146,55 +190,71 @@ def lex(text: str):
 def _closed(text: str) -> set[int]:
     """Places of the brackets that are closed."""
     left, out = [], set()
-    for m in TOKEN.finditer(text):
-        if m.lastgroup == "other" and m.group() == "[":
-            left.append(m.start())
-        elif m.lastgroup == "other" and m.group() == "]" and left:
+    for kind, start, _, _ in tokens(text):
+        if kind == "other" and text[start] == "[":
+            left.append(start)
+        elif kind == "other" and text[start] == "]" and left:
             out.add(left.pop())
     return out
 
 
-def _flat(parts: list) -> list[tuple[str, int, int, bool]]:
-    """The distinct literals of nested lists in order."""
-    out: dict = {}
-    seen, stack = {id(parts)}, [iter(parts)]
-    while stack:
-        for x in stack[-1]:
-            if isinstance(x, tuple):
-                out[x] = None
-            elif id(x) not in seen:
-                seen.add(id(x))
-                stack.append(iter(x))
-                break
-        else:
-            stack.pop()
-    return list(out)
+class _Value:
+    """What a name stands for: its own literals, the values it takes over, the characters of both."""
+
+    __slots__ = ("literals", "taken", "chars", "weight", "joint")
+
+    def __init__(self):
+        self.literals: list[tuple[int, int, bool, float]] = []
+        self.taken: list[_Value] = []
+        self.chars: Counter = Counter()
+        self.weight = self.joint = 0.0
 
 
 def named_spans(text: str) -> list[tuple[int, int, str, float]]:
-    """Literals that reach a sensitive name: (start, end, name, score)."""
-    # A name's literals, and the lists of the names that it takes over.
-    bound: dict[str, list] = {}
+    """Literals that reach a sensitive name: (start, end, name, score).
+
+    A literal's score is its own, or that of all characters that one statement joins, its
+    own literals and those of the names in it. Each value takes part again only when a
+    more sensitive name or a better statement reaches it.
+    """
+    bound: dict[str, _Value] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
+
+    def offer(start: int, end: int, score: float, name: str) -> None:
+        if score >= 0.5 and end > start and score > best.get((start, end), (0.0, ""))[0]:
+            best[start, end] = (score, name)
+
     for target, right, more in lex(text):
-        parts: list = []
-        for kind, value, start, end, quoted in right:
-            if kind == "literal":
-                parts.append((value, start, end, quoted))
-            elif kind == "ref" and value in bound:
-                parts.append(bound[value])
-            elif len(right) == 1:
-                parts.append((value, start, end, False))
-        bound[target] = [bound[target], parts] if more and target in bound else parts
+        value = _Value()
+        for kind, said, start, end, quoted in right:
+            if kind == "literal" or (len(right) == 1 and not (kind == "ref" and said in bound)):
+                quoted = quoted and kind == "literal"
+                value.literals.append((start, end, quoted, literal_score(said, quoted)))
+                value.chars.update(said)
+            elif kind == "ref" and said in bound:
+                value.taken.append(bound[said])
+                value.chars.update(bound[said].chars)
         weight = name_score(target)
-        if weight <= 0:
-            continue
-        literals = _flat(parts)
-        joined = "".join(v for v, *_ in literals)
-        for value, start, end, quoted in literals:
-            score = weight * literal_score(joined if quoted and len(literals) > 1 else value, quoted)
-            if score >= 0.5 and end > start and score > best.get((start, end), (0.0, ""))[0]:
-                best[start, end] = (score, target)
+        size = value.chars.total()
+        if weight > 0 and len(right) > 1 and size >= 6 and not any(c.isspace() for c in value.chars):
+            joint = weight * _spread(value.chars, size, True)
+            for part in (value, *value.taken):
+                if joint > part.joint:
+                    part.joint = joint
+                    for start, end, quoted, _ in part.literals:
+                        if quoted:
+                            offer(start, end, joint, target)
+        if more and target in bound:
+            value.taken.append(bound[target])
+        bound[target] = value
+        reached = [value] if weight > 0 else []
+        while reached:
+            part = reached.pop()
+            if weight > part.weight:
+                part.weight = weight
+                for start, end, _, score in part.literals:
+                    offer(start, end, weight * score, target)
+                reached += part.taken
     return sorted((s, e, name, score) for (s, e), (score, name) in best.items())
 
 
@@ -210,9 +270,17 @@ def scan(text: str | None) -> list[dict]:
         out += [("access", m.start(), m.end(), None, 1.0) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), None, 1.0) for m in HEX.finditer(text)]
     if any(w in low for w in TARGET_STEMS):
-        taken = sorted((s, e) for _, s, e, _, _ in out)
+        # Base spans, joined where they overlap.
+        begins, ends = [], []
+        for _, a, b, _, _ in sorted(out, key=lambda x: x[1]):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                begins.append(a)
+                ends.append(b)
         for s, e, name, score in named_spans(text):
-            if not any(a < e and s < b for a, b in taken):
+            k = bisect_left(begins, e) - 1
+            if k < 0 or ends[k] <= s:
                 out.append(("named", s, e, name, score))
     out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return [{"kind": k, "start": s, "end": e, "name": n, "score": v} for k, s, e, n, v in out]
@@ -229,14 +297,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lexer ties to a sensitive name and no base pattern overlaps. Null or empty texts
     give an empty array; repeated rows are scanned and returned each; an empty table
     gives an empty result; columns besides id and text are ignored, whatever their names.
+    Time grows in proportion to a text's length.
     """
-    chosen = docs.select(docs[id_col], docs[text_col].alias("__text"))
+    chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
-                found = [scan(t) for t in part.column("__text").to_pylist()]
+            for part in slices(batch, "text"):
+                found = [scan(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, type=SPANS)], names=["id", "spans"])
 
-    kind = dict(chosen.dtypes)[id_col]
+    kind = dict(chosen.dtypes)["id"]
     return chosen.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,name:string,score:double>>").withColumnRenamed("id", id_col)
