@@ -44,7 +44,7 @@ def _counts(token: str) -> tuple[int, int]:
 
 
 class _Tokens(dict):
-    """token -> word hash, shape hash, counts of digits and symbols (up to 255), flags packed in one integer."""
+    """token -> word hash, shape hash, counts of digits and symbols (255: to be counted again), flags packed in one integer."""
 
     def __missing__(self, token):
         if len(self) > 1 << 16:
@@ -56,7 +56,7 @@ class _Tokens(dict):
         word = _SYMBOL.sub("", token).lower()
         shape = _SYMBOL.sub(r"\1", _DIGITS.sub("0", _LETTERS.sub("a", token)))
         runs = max((len(m[0]) for m in _SYMBOL.finditer(token)), default=0)
-        shape += f"~{min(runs, 4)}" if runs > 1 else ""
+        shape += f"~{runs.bit_length()}" if runs > 1 else ""
         low = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) & (N_WORDS - 1)
         high = xxhash.xxh32_intdigest(shape.encode("utf-8", "surrogatepass"), 1) & (N_SHAPES - 1)
         digits, symbols = (min(x, 255) for x in _counts(token))
@@ -127,19 +127,26 @@ class Model:
         return out / np.where(norm > 0, norm, 1)
 
     def score(self, rows: list[tuple[np.ndarray, np.ndarray]], block: int = 256) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors."""
+        """Similarity-weighted share of label 1 among the nearest labelled vectors.
+
+        Cosines are rounded far below their meaning, so that a text's score doesn't depend on
+        the texts beside it; all neighbours as near as the last one take part.
+        """
         if not len(self.labels):
             return np.full(len(rows), 0.5)
-        x = self.latent(rows)
+        x = self.latent(rows).astype(np.float64)
+        others = self.vectors.astype(np.float64).T
         k = min(self.neighbours, len(self.labels))
         out = np.empty(len(x))
         for i in range(0, len(x), block):
-            cosine = x[i : i + block] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            best = np.take_along_axis(cosine, near, axis=1).astype(np.float64)
+            cosine = np.round(x[i : i + block] @ others, 9)
+            last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
+            row, col = np.nonzero(cosine >= last[:, None])
+            best = cosine[row, col]
             # Similarity falls off from the nearest neighbour's.
-            weight = np.exp(20.0 * (best - best.max(axis=1, keepdims=True))) * np.clip(best, 1e-3, None)
-            out[i : i + block] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+            weight = np.exp(20.0 * (best - cosine.max(axis=1)[row])) * np.clip(best, 1e-3, None)
+            n = len(cosine)
+            out[i : i + block] = np.bincount(row, weight * self.labels[col], n) / np.bincount(row, weight, n)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -169,11 +176,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dimensions
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on at most `sample_rows` labelled documents, chosen by a hash of their ids.
 
-    Labels other than 0 and 1 and null ids are left out; an id labelled twice takes the larger label.
+    Labels other than 0 and 1 and null ids are left out; an id labelled twice takes the
+    larger label, an id of several documents its smallest text. Null and empty texts are
+    texts without words; whole texts of any length are read. Without labelled documents
+    every score is 0.5. At most `sample_rows` rows are collected, whatever repeats.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -184,14 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
                     names=["id", "label", "at", "w"],
                 )
 
-    table = rows.mapInArrow(run, "id string, label int, at array<int>, w array<float>").toArrow()
-    order = sorted(range(table.num_rows), key=lambda i, ids=table.column("id").to_pylist(): ids[i])
-    held: dict = {}  # a repeated id counts once
-    for i in order:
-        held.setdefault(table.column("id")[i].as_py(), i)
-    at, w, y = table.column("at"), table.column("w"), table.column("label").to_pylist()
-    picked = list(held.values())
-    return fit([(np.array(at[i].as_py()), np.array(w[i].as_py(), np.float32)) for i in picked], [y[i] for i in picked])
+    table = rows.mapInArrow(run, "id string, label int, at array<int>, w array<float>").toArrow().sort_by("id")
+    at, w = (table.column(k).to_pylist() for k in ("at", "w"))
+    return fit([(np.array(a), np.array(x, np.float32)) for a, x in zip(at, w)], table.column("label").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -199,18 +205,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts are scored as texts without words; whole texts are read
     whatever their length; repeated rows score alike; an empty table gives an empty
-    result; columns that aren't asked for are ignored.
+    result; columns that aren't asked for are ignored, and any names can be asked for.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(docs[id_col], docs[text_col].alias("__text"), *[docs[c].alias(f"__keep_{i}") for i, c in enumerate(keep)])
+    chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)])
     kinds = dict(chosen.dtypes)
-    names = [id_col, *[f"__keep_{i}" for i in range(len(keep))]]
+    names = ["id", *[f"keep_{i}" for i in range(len(keep))]]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
-                value = held.value.score([features(t) for t in part.column("__text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[*names, "__score", "__predicted"])
+            for part in slices(batch, "text"):
+                value = held.value.score([features(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    out = chosen.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", __score double, __predicted int")
-    return out.select(F.col(id_col), *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    out = chosen.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double, predicted int")
+    return out.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")

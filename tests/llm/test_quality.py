@@ -1,13 +1,16 @@
 import zlib
+from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import functions as F
 
-from sparkseek.llm.quality import BINS, N_SHAPES, N_WORDS, SCALES, Model, features, fit, score, train
+from sparkseek.llm.quality import BINS, N_SHAPES, N_WORDS, SCALES, WIDTH, Model, features, fit, score, train
 from sparkseek.llm.queries import op1_quality_classifier
 
-SF = "/root/testdata/sf0.01"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def test_query_on_held_out_labels(spark):
@@ -56,6 +59,74 @@ def test_statistics_take_the_whole_text():
     assert abs(statistic("word " * 5000 + "%" * 300 + "7" * 500 + "-" * 700, "digits") - 500 / 26500) < 1e-3
 
 
+def plain_features(text):
+    """The features word by word, as a dense vector."""
+    x, words = np.zeros(WIDTH), (text or "").split()
+    n = len(words)
+    if n:
+        bare, shape = [], []
+        for w in words:
+            low = "".join(c for c in w if c.isalnum() or c == "_").lower()
+            runs = [len(list(g)) for c, g in groupby(w) if not (c.isalnum() or c == "_")]
+            form = "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in w)
+            form = "".join(c for c, _ in groupby(form))
+            shape.append(form + (f"~{max(runs).bit_length()}" if runs and max(runs) > 1 else ""))
+            bare.append(low)
+        for kinds, size, seed, base in ((bare, N_WORDS, 0, 0), (shape, N_SHAPES, 1, N_WORDS)):
+            count = Counter(xxhash.xxh32_intdigest(k.encode(), seed) % size for k in kinds)
+            norm = sum(np.log1p(c) ** 2 for c in count.values()) ** 0.5
+            for k, c in count.items():
+                x[base + k] = np.log1p(c) / norm
+        both = list(zip((xxhash.xxh32_intdigest(k.encode()) % N_WORDS for k in bare), (xxhash.xxh32_intdigest(k.encode(), 1) % N_SHAPES for k in shape)))
+        chars, marks = len(text), [c for w in words for c in w if not (c.isalnum() or c == "_")]
+        stats = [
+            sum(a == b for a, b in zip(both, both[1:])) / n, sum(len(set(both[i : i + 400])) for i in range(0, n, 400)) / n, len(marks) / chars,
+            sum(not b for b in bare) / n, chars / n, sum(c.isdigit() for w in words for c in w) / chars, sum(w[0].isupper() for w in words) / n,
+            text.count("\n") / n, sum(a == b for a, b in zip(both, both[2:])) / n, np.log1p(n),
+        ]
+    else:
+        stats = [0] * len(SCALES)
+    for i, (value, top) in enumerate(zip(stats, SCALES.values())):
+        at = min(max(value / top, 0), 1) ** 0.5 * (BINS - 1)
+        low = min(int(at), BINS - 2)
+        for k, part in ((low, 1 - at + low), (low + 1, at - low)):
+            x[N_WORDS + N_SHAPES + i * BINS + k] = part / len(SCALES) ** 0.5
+    return x
+
+
+def test_query_equals_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()}
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SMALL}/labels.parquet").to_pylist()}
+    x = {i: plain_features(t) for i, t in docs.items()}
+    known = [i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 3 != 1]
+    table = np.array([x[i] for i in known])
+    words = N_WORDS + N_SHAPES
+    idf = np.ones(WIDTH)
+    idf[:words] = np.log((1 + len(known)) / (1 + (table[:, :words] > 0).sum(axis=0))) / np.log(1 + len(known))
+    idf[:N_WORDS] *= 0.5
+    axes = np.linalg.svd(table * idf, full_matrices=False)[2][:64].T
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    vectors, y = unit(table * idf @ axes), np.array([labels[i] for i in known])
+    got = {r["doc_id"]: r for r in op1_quality_classifier(spark, SMALL).collect()}
+    apart = []
+    for i in docs:
+        cosine = vectors @ unit(x[i] * idf @ axes)
+        near = cosine >= np.sort(cosine)[-25] - 1e-9
+        weight = np.exp(20 * (cosine[near] - cosine.max())) * np.clip(cosine[near], 1e-3, None)
+        want = (weight * y[near]).sum() / weight.sum()
+        apart.append(abs(got[i]["score"] - want))
+        assert abs(want - 0.5) < 0.05 or got[i]["predicted"] == int(want >= 0.5)
+    assert max(apart) < 0.05 and np.mean(apart) < 0.002
+
+
+def test_ties_and_batches_leave_scores_alone():
+    rows = [features(t) for t in ["a b c d", "e f g h", "x1 y2 z3"] * 40]
+    model = fit(rows, [i % 2 for i in range(len(rows))], neighbours=5)
+    scores = model.score(rows)
+    assert len(set(scores[0::3])) == len(set(scores[1::3])) == 1 and np.allclose(scores, 0.5)
+    assert all(np.array_equal(scores, np.concatenate([model.score(rows[i : i + n]) for i in range(0, len(rows), n)])) for n in (1, 7, 50))
+
+
 def test_edges(spark):
     rows = [(1, None, 5.0), (1, "", 5.0), (None, "good words here", 1.0), (2, "w " * 100_000, 0.0), (3, "plain text of words", 0.0), (3, "plain text of words", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
