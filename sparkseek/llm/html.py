@@ -18,21 +18,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fresh, slices
 
 WEIGHTS = "block_labeller.npz"
-PATH_SIZE, OWN_SIZE, WORD_SIZE, STATS = 192, 64, 48, 10
+PATH_SIZE, OWN_SIZE, WORD_SIZE, STATS = 192, 64, 96, 20
 WIDTH = PATH_SIZE + OWN_SIZE + WORD_SIZE + STATS
-
-_MARKUP = re.compile(r"""<!--(?:[\s\S]*?-->|[\s\S]*)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""")
+#: Blocks that are labelled at a time; a longer page goes through in chunks of as many.
+CHUNK = 1 << 13
+
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)([^<>]*+)>")
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)")
+#: Attributes whose quoted values all end; and the pieces of attributes otherwise.
+_CLOSED = re.compile(r"""(?:[^="']++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["']))|["'])*+""")
+_PIECE = re.compile(r"""[^>=]++|=\s*+""")
+_BARE_SLASH = re.compile(r"""=\s*[^\s"'>]*/$""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Elements by their kind in HTML.
-RAW = {"script", "style", "title", "textarea", "template", "iframe", "svg", "math", "object", "select", "noframes"}
+#: Elements by their kind in HTML. RAW holds no markup; the text of HIDDEN isn't shown.
+RAW = {"script", "style", "title", "textarea", "iframe", "noframes", "noembed", "xmp"}
+HIDDEN = {"select", "datalist", "svg", "object", "template", "audio", "video", "canvas", "annotation"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"}
+INLINE |= HIDDEN | {"math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mstyle"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_DIGIT = re.compile(r"\d")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CELLS = {"li", "dt", "dd", "td", "th", "option"}
 
 
 class _Hash(dict):
@@ -58,92 +69,221 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(names))
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple, tuple, str, float]]:
-    """(text, names on the tag path, names of the innermost block element, its tag, share of characters in links)."""
+class _Markup:
+    """Where a page's tags end; no part of the page is searched again after a search failed there."""
+
+    def __init__(self, page: str):
+        self.page, self.failed, self.last = page, set(), {}
+
+    def find(self, said: str, at: int) -> int:
+        """The next place of a string, or -1."""
+        if said in self.failed:
+            return -1
+        found = self.page.find(said, at)
+        if found < 0:
+            self.failed.add(said)
+        return found
+
+    def tag(self, at: int) -> tuple[int, str, str, str] | None:
+        """(end, slash, name, attributes) of the tag that begins here, if it is one.
+
+        A quoted value may hold `>`. One that nothing ends is no value, and if quotes leave
+        no end to the tag, it ends at its first `>`.
+        """
+        m = _TAG.match(self.page, at)
+        if m and ("=" not in m[3] or _CLOSED.fullmatch(m[3])):
+            return m.end(), m[1], m[2].lower(), m[3]
+        m = _OPEN.match(self.page, at)
+        if not m or (close := self.find(">", m.end())) < 0:
+            return None
+        end = m.end()
+        while "broken" not in self.failed:
+            piece = _PIECE.match(self.page, end)
+            if piece:
+                end = piece.end()
+                quote = self.page[end : end + 1]
+                if piece[0][0] == "=" and quote in ('"', "'") and (after := self.find(quote, end + 1)) >= 0:
+                    end = after + 1
+            elif end < len(self.page):
+                return end + 1, m[1], m[2].lower(), self.page[m.end() : end]
+            else:
+                self.failed.add("broken")
+        return close + 1, m[1], m[2].lower(), self.page[m.end() : close]
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The end of an element that holds no markup, or -1."""
+        if tag in self.failed:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>?", re.I).search(self.page, at)
+        if not m:
+            self.failed.add(tag)
+        return m.end() if m else -1
+
+    def ends_later(self, tag: str, at: int) -> bool:
+        """Whether an end tag of this name comes after a place."""
+        if tag not in self.last:
+            self.last[tag] = max((m.start() for m in re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.I).finditer(self.page)), default=-1)
+        return self.last[tag] > at
+
+
+class _Stack:
+    """Open elements: where each name and each block element stands, and the names on the path as counters."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple, int]] = [("", (), 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+        self.names: dict[int, int] = {}
+        self.links, self.hidden, self.opened = 0, -1, 0
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, tag: str, own: tuple) -> None:
+        at = len(self.open)
+        self.opened += 1
+        self.open.append((tag, own, self.opened))
+        self.places.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        for w in own:
+            k = _path[w]
+            self.names[k] = self.names.get(k, 0) + 1
+        self.links += tag == "a"
+
+    def close(self, down_to: int) -> None:
+        while len(self.open) > down_to:
+            tag, own, _ = self.open.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            for w in own:
+                k = _path[w]
+                self.names[k] -= 1
+                if not self.names[k]:
+                    del self.names[k]
+            self.links -= tag == "a"
+
+
+def blocks(page: str | None) -> list[tuple[str, tuple, tuple, str, float, int, int]]:
+    """(text, columns of the names on the tag path, names of the innermost block element, its tag, share of characters in links, numbers of the two block elements around that).
+
+    Takes time in proportion to the page, whatever its markup.
+    """
     if not page:
         return []
     out: list = []
-    stack: list[tuple[str, tuple, tuple]] = [("", (), ())]  # tag, own names, names of the path
+    stack, markup = _Stack(), _Markup(page)
     text: list[str] = []
-    linked = total = links = 0
+    linked = total = 0
 
     def flush():
         nonlocal text, linked, total
         if text:
-            said = " ".join(entities.unescape("".join(text)).split())
+            said = " ".join("".join(text).split())
             if said:
-                at = len(stack) - 1
-                while at > 0 and stack[at][0] in INLINE:
-                    at -= 1
-                tag, own, path = stack[at]
-                out.append((said, path, own, tag, linked / max(total, 1)))
+                tag, own, _ = stack.open[stack.blocks[-1]]
+                around = [stack.open[i][2] for i in stack.blocks[-3:-1]]
+                out.append((said, tuple(sorted(stack.names)), own, tag, linked / max(total, 1), *([0, 0] + around)[-2:]))
         text, linked, total = [], 0, 0
 
-    def close(down_to: int):
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[down_to:])
-        del stack[down_to:]
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _MARKUP.search(page, at)
-        said = page[at : m.start()] if m else page[at:]
-        if said:
-            text.append(said)
+    def say(said: str):
+        nonlocal linked, total
+        if said and stack.hidden < 0:
+            text.append(entities.unescape(said) if "&" in said else said)
             total += len(said)
-            linked += len(said) * (links > 0)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+            linked += len(said) * (stack.links > 0)
+
+    def leave(down_to: int):
+        """Close elements; a block that ends outside of a hidden element ends the text before that."""
+        if 0 <= down_to <= stack.hidden:
+            hidden, stack.hidden = stack.hidden, -1
+            stack.close(hidden)
+            if down_to < hidden and down_to <= stack.blocks[-1]:
+                flush()
+        stack.close(down_to)
+
+    begin = at = 0
+    while (at := page.find("<", at)) >= 0:
+        tag = ""
+        if page.startswith("<!--", at):
+            end = markup.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page[at + 1 : at + 2] in ("!", "?") or (page[at + 1 : at + 2] == "/" and not _OPEN.match(page, at)):
+            end = markup.find(">", at) + 1
+        else:
+            end, slash, tag, attributes = markup.tag(at) or (0, "", "", "")
+        if not end:
+            at += 1
+            continue
+        say(page[begin:at])
+        begin = at = end
         if not tag:
             continue
-        ending = (m[1] or m[4]) == "/"
-        inline = tag in INLINE or tag in RAW
         if tag == "br":
-            text.append("\n")
+            say("\n")
             continue
-        if not inline:
+        inline = tag in INLINE or tag in RAW
+        if not inline and stack.hidden < 0:
             flush()
-        if ending:
-            for i in range(len(stack) - 1, max(len(stack) - 200, 0), -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if inline and stack[i][0] not in INLINE:
-                    break
+        if slash:
+            place = stack.last((tag,))
+            if place and (tag in HIDDEN or not (inline and place < stack.blocks[-1])):
+                leave(place)
             continue
-        attributes = m[3] if m[2] else m[6]
-        if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+        closed = attributes.endswith("/") and not _BARE_SLASH.search(attributes)
+        if tag in RAW:
+            end = markup.raw_end(tag, at)
+            if end >= 0:
+                begin = at = end
+            elif tag in ("script", "style"):
+                begin = at = len(page)
             continue
-        if tag in VOID:
+        if tag in VOID or (tag in HIDDEN and (closed or not markup.ends_later(tag, at))):
             continue
-        if not inline:
+        if not inline and stack.hidden < 0:
             # A block ends an open paragraph; items and cells end their predecessors.
-            ends, until = CLOSES.get(tag, ({"p"}, set()))
-            for i in range(len(stack) - 1, max(len(stack) - 50, 0), -1):
-                if stack[i][0] in ends or (stack[i][0] == "p" and tag not in CLOSES):
-                    close(i)
-                    break
-                if stack[i][0] in until or (stack[i][0] not in INLINE and not until):
-                    break
-        own = _names(tag, attributes)
-        stack.append((tag, own, (*stack[-1][2], *own) if len(stack) < 200 else stack[-1][2]))
-        links += tag == "a"
+            if tag in CLOSES:
+                ends, until = CLOSES[tag]
+                place = stack.last(ends)
+                if place > stack.last(until):
+                    stack.close(place)
+            elif stack.open[stack.blocks[-1]][0] == "p":
+                stack.close(stack.blocks[-1])
+        if tag in HIDDEN and stack.hidden < 0:
+            stack.hidden = len(stack.open)
+        stack.push(tag, _names(tag, attributes))
+    say(page[begin:])
+    stack.hidden = -1
     flush()
     return out
 
 
 @lru_cache(maxsize=1 << 14)
 def _columns(path: tuple, own: tuple) -> np.ndarray:
-    return np.array([*{_path[w] for w in path}, *{PATH_SIZE + _own[w] for w in own}], np.int64)
+    return np.array([*path, *{PATH_SIZE + _own[w] for w in own}], np.int64)
+
+
+def surroundings(found: list) -> np.ndarray:
+    """For each block of a page: the shares of the page's characters in the elements around it, and whether its neighbours have the same parent."""
+    out = np.zeros((len(found), 4), np.float32)
+    if not found:
+        return out
+    chars = np.array([len(b[0]) * (1 - b[4]) for b in found])
+    for k, numbers in enumerate(zip(*(b[5:7] for b in found))):
+        _, which = np.unique(numbers, return_inverse=True)
+        out[:, k] = np.bincount(which, chars)[which] / max(chars.sum(), 1)
+    parent = np.array([b[6] for b in found])
+    same = parent[1:] == parent[:-1]
+    out[1:, 2], out[:-1, 3] = same, same
+    return out
 
 
-def vectors(found: list) -> np.ndarray:
-    """Input vectors of a page's blocks."""
+def vectors(found: list, first: int = 0, total: int | None = None, around: np.ndarray | None = None) -> np.ndarray:
+    """Input vectors of a page's blocks, or of those from `first` on of `total`."""
     n = len(found)
+    total = n if total is None else total
+    around = surroundings(found) if around is None else around
     x = np.zeros((n, WIDTH), np.float32)
     if not n:
         return x
@@ -151,18 +291,21 @@ def vectors(found: list) -> np.ndarray:
     size = np.array([len(w) for w in split])
     ids = np.fromiter((_words[w] for words in split for w in words), np.int64, int(size.sum()))
     counts = np.bincount(np.repeat(np.arange(n), size) * WORD_SIZE + ids, minlength=n * WORD_SIZE).reshape(n, WORD_SIZE)
-    weight = np.where((size > 200)[:, None], np.log1p(counts), counts)
+    weight = np.log1p(counts)
     x[:, PATH_SIZE + OWN_SIZE : PATH_SIZE + OWN_SIZE + WORD_SIZE] = weight / np.sqrt((weight**2).sum(axis=1, keepdims=True))
     columns = [_columns(b[1], b[2]) for b in found]
     x[np.repeat(np.arange(n), [len(c) for c in columns]), np.concatenate(columns)] = 1
     chars = np.array([len(b[0]) for b in found])
     marks = np.array([sum(map(b[0].count, ".,。、")) for b in found])
-    place = np.arange(n)
+    place = first + np.arange(n)
     x[:, WIDTH - STATS :] = np.stack(
         [
             np.log1p(chars) / 8, np.log1p(size) / 6, [b[4] for b in found], marks / size,
             [b[0][-1] in ".!?:;\"'”»。" for b in found], [b[3] in HEADINGS for b in found], [b[3] == "p" for b in found],
-            place / n, np.full(n, n < 4), chars > 200,
+            place / total, np.full(n, total < 4), chars > 200,
+            np.array([len(_DIGIT.findall(b[0])) for b in found]) / chars, np.array([sum(w[:1].isupper() for w in words) for words in split]) / size,
+            ["©" in b[0] or "copyright" in b[0].lower() for b in found], [b[3] in CELLS for b in found],
+            np.minimum(chars / size, 20) / 10, [b[3] == "div" for b in found], *around.T,
         ],
         axis=1,
     )
@@ -175,11 +318,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def run_lstm(x: np.ndarray, mask: np.ndarray, p: dict, side: str, keep: list | None = None) -> np.ndarray:
     """Hidden states over time; x: (steps, pages, inputs), mask: (steps, pages). `keep` gets what training needs."""
+    return _lstm(x, mask, p, side, None, keep)[0]
+
+
+def _lstm(x: np.ndarray, mask: np.ndarray, p: dict, side: str, state: tuple | None, keep: list | None = None) -> tuple[np.ndarray, tuple]:
+    """Hidden states over time from a state on, and the state after the last step."""
     steps, pages, _ = x.shape
     wx, wh, b = p[f"{side}x"], p[f"{side}h"], p[f"{side}b"]
     size = wh.shape[0]
     given = (x.reshape(-1, x.shape[2]) @ wx + b).reshape(steps, pages, 4 * size)
-    h, c = (np.zeros((pages, size), x.dtype) for _ in range(2))
+    h, c = state or (np.zeros((pages, size), x.dtype), np.zeros((pages, size), x.dtype))
     out = np.zeros((steps, pages, size), x.dtype)
     order = range(steps) if side == "f" else range(steps - 1, -1, -1)
     for t in order:
@@ -195,7 +343,7 @@ def run_lstm(x: np.ndarray, mask: np.ndarray, p: dict, side: str, keep: list | N
         c = np.where(on, new, c)
         h = np.where(on, o * tc, h)
         out[t] = h
-    return out
+    return out, (h, c)
 
 
 def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,15 +374,34 @@ def weights() -> dict:
         return {k: f[k].astype(np.float32) for k in f.files}
 
 
+def label_long(found: list, p: dict, chunk: int = CHUNK) -> np.ndarray:
+    """Labels of one long page: both directions go through in chunks that pass their states on."""
+    n, size = len(found), p["fh"].shape[0]
+    z, around = np.full(n, float(p["b"]), np.float32), surroundings(found)
+    starts = range(0, n, chunk)
+    for side, order, k in (("f", starts, 0), ("r", reversed(starts), 1)):
+        state = (np.zeros((1, size), np.float32), np.zeros((1, size), np.float32))
+        for at in order:
+            x = vectors(found[at : at + chunk], at, n, around[at : at + chunk])
+            hidden, state = _lstm(x[:, None], np.ones((len(x), 1), bool), p, side, state)
+            z[at : at + chunk] += hidden[:, 0] @ p["w"][k * size : (k + 1) * size]
+            if side == "f":
+                z[at : at + chunk] += x @ p["s"]
+    return z > 0
+
+
 def label(pages: list[list], p: dict | None = None, batch: int = 128) -> list[np.ndarray]:
     """For each page's blocks, whether they belong to the article."""
     p = p or weights()
     out: list = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i, x in enumerate(pages) if x), key=lambda i: len(pages[i]))
+    while order and len(pages[order[-1]]) > CHUNK:
+        out[order[-1]] = label_long(pages[order[-1]], p)
+        order.pop()
     at = 0
     while at < len(order):
         longest = len(pages[order[min(at + batch, len(order)) - 1]])
-        take = max(1, min(batch, 40_000 // longest)) if longest else batch
+        take = max(1, min(batch, 40_000 // longest))
         some = order[at : at + take]
         x, mask = pad([vectors(pages[i]) for i in some])
         found = logits(x, mask, p) > 0
@@ -254,18 +421,19 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """Each page's `keep` columns with `text`, the article's text, and `n_chars`, its code points.
 
     Null or empty pages and pages without an article give an empty text; pages of any
-    length are read whole; markup that is broken off or nested badly is read as far as it
-    goes; repeated rows and ties are each extracted alike; an empty table gives an empty
-    result; columns that aren't asked for are ignored, and `text` and `n_chars` replace
-    columns of that name.
+    length and depth are read whole, in time proportional to their length; markup that is
+    broken off or nested badly is read as far as it goes; repeated rows and ties are each
+    extracted alike; an empty table gives an empty result; columns that aren't asked for
+    are ignored, and `text` and `n_chars` replace columns of that name.
     """
     keep = tuple(c for c in keep if c not in ("text", "n_chars"))
-    chosen = pages.select(*[pages[c] for c in keep], pages[html_col].alias("__html"))
+    (source,) = fresh([*keep, "text", "n_chars"], "source")
+    chosen = pages.select(*[pages[c] for c in keep], pages[html_col].alias(source))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__html"):
-                text = main_text(part.column("__html").to_pylist())
+            for part in slices(batch, source):
+                text = main_text(part.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(text, pa.string())], names=[*keep, "text"])
 
     kinds = dict(chosen.dtypes)

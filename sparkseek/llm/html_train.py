@@ -1,13 +1,16 @@
 """Trains the block labeller on generated pages: python -m sparkseek.llm.html_train.
 
-Pages are drawn from a grammar of layouts: semantic elements, divisions with telling or
-opaque class names, and bare markup, with menus, headers, notices, adverts, forms,
-sidebars, comments and footers around and inside articles. Nothing is read from disk.
+Pages are drawn from a grammar of layouts (FAMILIES): semantic elements, divisions with
+telling or with opaque class names, tables, and bare markup, with menus, headers, notices,
+adverts, forms, sidebars, reader comments and footers around and inside articles. Words
+are made up anew for each page. Nothing is read from disk. With `--families`, each family
+is left out of the training in turn and labelled by what was learned from the others.
 """
 
 from __future__ import annotations
 
 import random
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -15,7 +18,7 @@ import numpy as np
 from .html import WEIGHTS, WIDTH, blocks, label, logits, pad, run_lstm, sigmoid, vectors
 
 MARK = ""  # starts the text of article blocks in generated pages
-HIDDEN = 24
+HIDDEN = 32
 
 #: Words that name the parts of a page in class names, ids and boilerplate.
 CONTENT = "article post content entry main story body text post-content article-body entry-content main-content blog-post page-content prose markdown".split()
@@ -30,41 +33,79 @@ PARTS = {
     "comments": "comments comment comment-list responses discussion replies disqus reader-comments feedback comment-body reply".split(),
 }
 SAID = {
-    "nav": "Home About Contact News Products Login Blog Archive Sitemap Support Sports World Politics Previous Next Accueil Startseite Inicio".split(),
-    "header": ["Skip to content", "Welcome", "The Daily News", "Your trusted source", "Menu", "Sign in", "Search"],
-    "footer": ["&copy; 2024 All rights reserved.", "Privacy Policy", "Terms of Service", "Powered by WordPress", "&copy; example.org &middot; Imprint", "Contact us", "Impressum", "Mentions légales"],
-    "side": ["Related articles", "Most read", "Share this", "Follow us", "About the author", "Tags", "Recent posts", "You may also like"],
-    "notice": ["We use cookies to improve your experience.", "Accept all", "This site uses cookies", "Please enable JavaScript", "Subscribe to continue reading", "Wir verwenden Cookies.", "Manage preferences"],
-    "ad": ["Advertisement", "Sponsored", "Buy now and save 50%!", "Click here", "Limited offer", "Anzeige", "Shop now"],
-    "form": ["Subscribe to our newsletter", "Enter your email", "Sign up", "Username", "Password", "Send", "Search"],
-    "comments": ["Leave a reply", "Great post, thanks!", "I disagree with this.", "Comments (12)", "Reply", "says:", "Log in to comment"],
+    "nav": "Home About Contact News Products Login Blog Archive Sitemap Support Sports World Politics Previous Next Docs Pricing Careers Help FAQ Accueil Startseite Inicio".split(),
+    "header": ["Skip to content", "Welcome", "The Daily News", "Your trusted source", "Menu", "Sign in", "Search", "Free delivery", "My account", "Log in"],
+    "footer": ["&copy; 2024 All rights reserved.", "Copyright 2019-2023", "© The Company Ltd", "Privacy Policy", "Terms of Service", "Powered by WordPress", "Contact us", "Impressum", "Mentions légales", "Site map", "Back to top"],
+    "side": ["Related articles", "Most read", "Share this", "Follow us", "About the author", "Tags", "Recent posts", "You may also like", "Read more", "Popular", "Trending now", "More from this section", "Categories"],
+    "notice": ["We use cookies to improve your experience.", "Accept all", "This site uses cookies", "Please enable JavaScript", "Subscribe to continue reading", "Wir verwenden Cookies.", "Manage preferences", "Your browser is out of date."],
+    "ad": ["Advertisement", "Sponsored", "Buy now and save 50%!", "Click here", "Limited offer", "Anzeige", "Shop now", "Ad", "Promoted", "Order today"],
+    "form": ["Subscribe to our newsletter", "Enter your email", "Sign up", "Username", "Password", "Send", "Search", "Your name", "Subscribe", "Submit"],
+    "comments": ["Leave a reply", "Great post, thanks!", "I disagree with this.", "Comments (12)", "Reply", "says:", "Log in to comment", "3 comments", "Discussion", "Opinions", "What readers say", "Join the conversation", "Responses", "Kommentare"],
 }
 TAGS = {"nav": ["nav"], "header": ["header"], "footer": ["footer"], "side": ["aside"], "notice": ["div", "section", "dialog", "noscript"], "ad": ["div", "aside", "section"], "form": ["form"], "comments": ["section", "div"]}
-SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve el la que ion der ung sch keit os ar ci ón é è ß ü".split()
+#: Layouts: the share of plain divisions instead of semantic elements, and of opaque instead of telling names.
+FAMILIES = {"semantic": (0.15, 0.1), "telling": (0.9, 0.0), "opaque": (1.0, 1.0), "table": (1.0, 0.6), "bare": (0.5, 0.5)}
+COMMON = "the of and to in is that for it on as with was by from at this are be or la de el que en der die und le les des et un una por con das den von".split()
 
 
 class Pages:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, families: tuple[str, ...] = tuple(FAMILIES)):
         self.r = random.Random(seed)
+        self.families = families
+
+    def lexicon(self) -> list[str]:
+        """Words of consonants and vowels, some with common short words among them."""
+        r = self.r
+        heads = r.sample("b c d f g h j k l m n p r s t v w z st tr pl ch sh gr".split(), 12)
+        tails = r.sample("a e i o u ai ou ee ia an en in or er al é ü ñ ö es is um".split(), 9)
+        words = ["".join(r.choice(heads) + r.choice(tails) for _ in range(r.randint(1, 4))) for _ in range(300)]
+        return words + r.sample(COMMON, 12) * r.choice([0, 6, 12])
 
     def word(self) -> str:
-        return "".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4)))
+        return self.r.choice(self.known)
 
     def words(self, low: int, high: int) -> str:
-        out = [self.word() for _ in range(self.r.randint(low, high))]
+        r = self.r
+        out = [self.word() for _ in range(r.randint(low, high))]
         for i in range(len(out)):
-            x = self.r.random()
+            x = r.random()
             out[i] += "." if x < 0.08 else "," if x < 0.14 else ""
-        return (" ".join(out)).capitalize() + self.r.choice([".", ".", ".", ""])
+            if x < 0.08 and i + 1 < len(out):
+                out[i + 1] = out[i + 1].capitalize()
+        return " ".join(out).capitalize() + r.choice([".", ".", ".", ""])
 
-    def attributes(self, part: str | None, mode: float) -> str:
-        names = PARTS[part] if part else CONTENT
-        x = self.r.random()
-        if x < mode:
+    def odd(self) -> str:
+        """Text of an article that doesn't look like prose: numbers, marks, one word over and over, capitals."""
+        r = self.r
+        kind = r.randrange(8)
+        n = r.randint(1, r.choice([12, 40, 40, 900]))
+        if kind == 0:
+            return " ".join(str(r.randint(0, 99999)) for _ in range(n))
+        if kind == 1:
+            return " ".join(r.choice(["|", "#", "%%", "--", "~", self.word(), "***", "::"]) for _ in range(n))
+        if kind == 2:
+            return " ".join([self.word()] * n)
+        if kind == 7:
+            return ", ".join(self.word() for _ in range(n)) + r.choice(["", "."])
+        if kind == 6:
+            return " ".join(r.choice([" ", " ", ", "]).join([w] * r.randint(2, 90)) for w in (self.word() for _ in range(r.randint(1, 12))))
+        if kind == 3:
+            return self.words(1, 30).upper()
+        if kind == 4:
+            return " ".join(f"{self.word()}{r.choice('=:_/@')}{r.choice([self.word(), str(r.randint(0, 999))])}" for _ in range(n))
+        return self.word()
+
+    def opaque(self) -> str:
+        r = self.r
+        return r.choice(["css-", "sc-", "x", "_", "w", "b", ""]) + "".join(r.choices("abcdefghkmqrtwxyz0123456789", k=r.randint(4, 7)))
+
+    def attributes(self, part: str | None, need: bool = False) -> str:
+        names, r = (PARTS[part] if part else CONTENT), self.r
+        if not need and r.random() < 0.35:
             return ""
-        name = self.r.choice(names) if x < mode + 0.75 * (1 - mode) else "c" + "".join(self.r.choices("abcdefghxyz", k=4))
-        extra = self.r.choice(["", "", " wrap", " container", " block-1", " col-md-8"])
-        return self.r.choice([f' class="{name}{extra}"', f" id='{name}'", f" class={name}", f' role="region" class="{name}{extra}"'])
+        name = self.opaque() if r.random() < self.blur else r.choice(names)
+        extra = r.choice(["", "", " wrap", " container", " block-1", " col-md-8", " " + self.opaque()])
+        return r.choice([f' class="{name}{extra}"', f' class="{name}{extra}"', f" id='{name}'", f" class={name}", f' data-x="1" class="{name}{extra}"'])
 
     def inline(self, text: str) -> str:
         words = text.split(" ")
@@ -74,82 +115,126 @@ class Pages:
             words[i] = f"<{tag}>{words[i]}" + (f"</{tag.split()[0]}>" if self.r.random() < 0.9 else "")
         return " ".join(words)
 
-    def boiler(self, part: str, mode: float) -> str:
+    def date(self) -> str:
+        r = self.r
+        return r.choice([f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{r.randint(10, 25)}", f"20{r.randint(10, 25)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(2, 23)} hours ago", f"May {r.randint(1, 30)}, 20{r.randint(10, 25)} at {r.randint(1, 12)}:{r.randint(10, 59)} pm"])
+
+    def phrase(self, part: str) -> str:
+        """What such a part says."""
+        r = self.r
+        if part == "footer" and r.random() < 0.5:
+            year, who = r.choice([str(r.randint(1996, 2025)), f"{r.randint(1996, 2010)}-{r.randint(2011, 2025)}"]), f"{self.word().capitalize()} {self.word()}"
+            return r.choice(["Copyright {0} by {1}.", "&copy; {0} {1}", "© {1} {0} · <a href=/i>Imprint</a>", "Copyright (c) {0} {1}. All rights reserved.", "{1} {0} | All rights reserved", "Last updated {0} by {1}"]).format(year, who)
+        return r.choice(SAID[part])
+
+    def reader(self) -> str:
+        """One reader's comment."""
+        r, own = self.r, self.attributes("comments", need=True)
+        who = r.choice([self.word().capitalize(), f"{self.word()}{r.randint(1, 99)}", f"{self.word().capitalize()} {self.word().capitalize()}"])
+        said = self.words(2, r.choice([8, 25, 60]))
+        # Where names tell nothing, a date or a button does.
+        dated = f" {self.date()}" if self.family not in ("semantic", "telling") or r.random() < 0.5 else ""
+        reply = r.choice(["<a href='#'>Reply</a>", "<span>Reply</span>", "<a href='#'>Like</a> <a href='#'>Reply</a>", "<button>Report</button>", "" if dated else "<a href='#'>Answer</a>"])
+        form = r.choice(
+            [
+                "<div{o}><b>{w}</b>{d}<p>{s}</p>{r}</div>", "<div{o}><div>{w}</div><div>{d}</div><div>{s}</div><div>{r}</div></div>", "<div{o}><span>{w}{d}</span><p>{s}</p><p>{r}</p></div>",
+                "<li{o}><cite>{w}</cite><span>{d}</span><p>{s}</p>{r}</li>", "<article{o}><h4>{w}{d}</h4><p>{s}</p>{r}</article>", "<div{o}><p><strong>{w}</strong>{d}</p><p>{s}</p></div>",
+            ]
+        )
+        return form.format(o=own, w=who, d=dated, s=said, r=reply)
+
+    def boiler(self, part: str) -> str:
         r, tag = self.r, self.r.choice(TAGS[part])
-        if r.random() < 0.35 and tag in ("nav", "header", "footer", "aside", "form"):
-            tag, own = "div", self.attributes(part, 0.0)
-        else:
-            own = self.attributes(part, 0.3 if tag not in ("div", "section", "dialog", "noscript") else 0.0)
-        said = lambda: r.choice(SAID[part]) if r.random() < 0.5 else self.words(1, 14)
-        if part == "nav" or (part in ("footer", "side") and r.random() < 0.4):
-            items = [f'<a href="/{i}">{r.choice(SAID["nav"]) if r.random() < 0.5 else self.word()}</a>' for i in range(r.randint(2, 9))]
-            body = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if r.random() < 0.7 else r.choice([" | ", " "]).join(items)
+        plain = r.random() < self.plain and tag in ("nav", "header", "footer", "aside", "form", "section")
+        tag = "div" if plain else tag
+        own = self.attributes(part, need=tag in ("div", "section", "dialog", "noscript"))
+        said = lambda: self.phrase(part) if r.random() < 0.6 else self.words(1, 12)
+        if part == "nav" or (part in ("footer", "side") and r.random() < 0.45):
+            items = [f'<a href="/{i}">{r.choice(SAID["nav"]) if r.random() < 0.4 else self.words(1, 7 if part == "side" else 2)}</a>' for i in range(r.randint(2, 9))]
+            shape = r.random()
+            body = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if shape < 0.5 else "".join(f"<div>{x}</div>" for x in items) if shape < 0.7 else r.choice([" | ", " ", " &middot; "]).join(items)
             if part == "side":
-                body = f"<h3>{said()}</h3>" + body
+                body = f"<{(h := r.choice(['h3', 'h4', 'div', 'b']))}>{r.choice(SAID['side'])}</{h}>" + body
         elif part == "comments":
-            one = lambda: r.choice(["<div class='comment'><b>{0}</b><p>{1}</p></div>", "<p>{0} {1}</p>", "<li><cite>{0}</cite> <p>{1}</p></li>", "<article class='comment'><p>{1}</p></article>"]).format(self.word(), self.words(3, 50))
-            body = f"<h{r.randint(2, 4)}>{r.choice(['Comments', 'Responses', 'Leave a reply', self.words(1, 3)])}</h3>" + "".join(one() for _ in range(r.randint(1, 5)))
+            h = r.choice(["h2", "h3", "h4", "div", "p"])
+            items = "".join(self.reader() for _ in range(r.randint(1, 6)))
+            body = f"<{h}>{r.choice(SAID['comments'])}</{h}>" * (r.random() < 0.85) + r.choice(["{}", "<ul>{}</ul>", "<div>{}</div>"]).format(items)
         elif part == "form":
-            body = f"<label>{said()}</label><input name=q><p>{self.words(2, 12)}</p><button>{said()}</button>"
+            body = f"<label>{said()}</label><input name=q><p>{r.choice(SAID['form'])}</p><button>{said()}</button>" + "<select><option>1<option>2</select>" * (r.random() < 0.2)
         elif r.random() < 0.4:
-            body = said()
+            body = self.phrase(part)
         else:
-            body = "".join(f"<{t}>{said()}</{t}>" for t in r.choices(["p", "div", "span", "h4"], k=r.randint(1, 3)))
-            if r.random() < 0.3:
+            body = "".join(f"<{t}>{said()}</{t}>" for t in r.choices(["p", "div", "span", "h4", "a href=/x"], k=r.randint(1, 3))).replace("</a href=/x>", "</a>")
+            if r.random() < 0.25 and self.blur < 0.5:
                 body += f"<p>{self.words(10, 40)}</p>"
-        return f"<{tag}{own}>{body}</{tag}>" + r.choice(["", "\n", f"<!-- {part} -->"])
+        return f"<{tag}{own}>{body}</{tag}>" + r.choice(["", "\n", "<!-- end -->"])
 
     def article(self) -> list[str]:
         r, out = self.r, []
+        strange = r.random() < 0.25
+        said = lambda a, b: self.odd() if strange and r.random() < 0.7 else self.words(a, b)
+        # What stands inside an element that is named as the article belongs to it, whatever it says.
+        named = self.family in ("semantic", "telling")
         if r.random() < 0.85:
-            out.append(f"<h1>{MARK}{self.words(2, 12)}</h1>")
+            out.append(f"<h1>{MARK}{said(2, 12)}</h1>")
+        para = r.choice(["p", "p", "p", "div"]) if self.plain > 0.5 else "p"
         for _ in range(r.randint(1, 14)):
             x = r.random()
-            if x < 0.72:
-                text = self.inline(self.words(1, r.choice([6, 30, 90])))
-                start = r.choice(["<p>", "<p>", "<p>", "<p><b>", "<p class=lead>"])
-                out.append(start + MARK + text + r.choice(["</p>", "</p>", "</p>", "<br>", ""]))
-            elif x < 0.80:
-                out.append(f"<h{r.randint(2, 4)}>{MARK}{self.words(1, 8)}</h2>")
-            elif x < 0.86:
+            if x < 0.74:
+                text = self.inline(said(1, r.choice([6, 30, 90, 90, 500]))) if not named or r.random() < 0.94 else r.choice(SAID[r.choice(list(SAID))])
+                start = r.choice([f"<{para}>", f"<{para}>", f"<{para}{self.attributes(None)}>"])
+                out.append(start + MARK + text + (r.choice([f"</{para}>", f"</{para}>", "<br>" + self.word() + f"</{para}>", ""]) if para == "p" else f"</{para}>"))
+            elif x < 0.82:
+                h = r.randint(2, 4)
+                out.append(f"<h{h}>{MARK}{said(1, 8)}</h{h}>")
+            elif x < 0.88:
                 t = r.choice(["ul", "ol"])
                 out.append(f"<{t}>" + "".join(f"<li>{MARK}{self.inline(self.words(1, 20))}" for _ in range(r.randint(2, 5))) + f"</{t}>")
-            elif x < 0.90:
+            elif x < 0.91:
                 out.append(f"<blockquote><p>{MARK}{self.words(5, 30)}</p></blockquote>")
-            elif x < 0.93:
+            elif x < 0.94:
                 out.append(f"<figure><img src=x><figcaption>{MARK}{self.words(2, 10)}</figcaption></figure>")
-            elif x < 0.96:
+            elif x < 0.97 and "table" != self.family:
                 out.append("<table>" + "".join(f"<tr><td>{MARK}{self.word()}</td><td>{MARK}{self.words(1, 4)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
             else:
-                out.append(f"<pre>{MARK}{self.words(3, 20)}</pre>")
+                out.append(f"<pre>{MARK}{said(3, 20)}</pre>")
+        if strange and r.random() < 0.4:
+            out = out[: r.randint(1, 2)]
         return out
 
     def page(self) -> str:
         r = self.r
-        mode = r.choice([0.0, 0.2, 0.6])
+        self.family = r.choice(self.families)
+        self.plain, self.blur = FAMILIES[self.family]
+        self.known = self.lexicon()
         inner = self.article()
-        if r.random() < 0.35:
-            for part in r.sample(["ad", "side", "form", "notice", "nav"], r.randint(1, 2)):
-                inner.insert(r.randint(1, len(inner)), "</p>" + self.boiler(part, mode))
-        if r.random() < 0.15:
-            inner.append(self.boiler("comments", mode))
-        shape = r.random()
-        if shape < 0.5:
-            body = f"<article{self.attributes(None, 0.6)}>" + "".join(inner) + "</article>"
-        elif shape < 0.65:
-            body = f"<main{self.attributes(None, 0.6)}>" + "".join(inner) + "</main>"
-        elif shape < 0.92:
-            body = f"<div{self.attributes(None, 0.1)}>" + "".join(inner) + "</div>"
-        else:
-            body = "".join(inner)
         if r.random() < 0.3:
-            body = f"<div{self.attributes(None, 0.5)}>{body}</div>"
-        before = [self.boiler(p, mode) for p in ("header", "nav", "notice", "ad", "form", "side") if r.random() < 0.4]
-        after = [self.boiler(p, mode) for p in ("side", "comments", "ad", "form", "notice", "nav", "footer") if r.random() < 0.4]
+            for part in r.sample(["ad", "side", "form", "notice", "nav"], r.randint(1, 2)):
+                inner.insert(r.randint(1, len(inner)), "</p>" + self.boiler(part))
+        late = self.boiler("comments") if r.random() < 0.35 else ""
+        within = r.random() < 0.4
+        body = "".join(inner) + "</p>" + late * within
+        if self.family == "semantic":
+            tag = r.choice(["article", "article", "article", "main", "section"])
+            body = f"<{tag}{self.attributes(None, need=tag == 'section')}>{body}</{tag}>"
+        elif self.family != "bare":
+            body = f"<div{self.attributes(None, need=True)}>{body}</div>"
+        for _ in range(r.choice([0, 0, 1, 2])):
+            body = f"<div{self.attributes(None) if self.family == 'telling' else self.attributes(None) if r.random() < 0.2 else ''}>{body}</div>"
+        before = [self.boiler(p) for p in ("header", "nav", "notice", "ad", "form", "side") if r.random() < 0.4]
+        after = [self.boiler(p) for p in ("side", "ad", "form", "notice", "nav", "footer") if r.random() < 0.4]
         r.shuffle(before)
+        if late and not within:
+            after.insert(r.randint(0, 1), late)
+        if self.family == "table":
+            cells = [f"<td>{x}</td>" for x in ("".join(before[1:]) or "&nbsp;", body, "".join(after[:1]) or "&nbsp;")]
+            top = f"<tr><td colspan=3>{before[0]}</td></tr>" if before else ""
+            body = f"<table width=100%>{top}<tr>{''.join(cells)}</tr><tr><td colspan=3>{''.join(after[1:])}</td></tr></table>"
+        else:
+            body = "".join(before) + body + "".join(after)
         if r.random() < 0.5:
-            return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
-        return f"<body>{''.join(before)}{body}{''.join(after)}"
+            return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>.a{{}}</style><script>var a = 1;</script></head><body>{body}</body></html>"
+        return f"<body>{body}"
 
     def sample(self) -> tuple[list, np.ndarray]:
         found = blocks(self.page())
@@ -199,13 +284,14 @@ def gradients(x: np.ndarray, mask: np.ndarray, y: np.ndarray, p: dict) -> tuple[
     return loss, g
 
 
-def train(pages: int = 6000, epochs: int = 5, batch: int = 48, seed: int = 11, rate: float = 4e-3, say=print) -> dict:
-    source = Pages(seed)
+def train(pages: int = 24000, epochs: int = 6, batch: int = 48, seed: int = 11, rate: float = 4e-3, families: tuple[str, ...] = tuple(FAMILIES), say=print) -> dict:
+    source = Pages(seed, families)
     data = [s for s in (source.sample() for _ in range(pages)) if s[0]]
     data.sort(key=lambda s: len(s[0]))
     p = start()
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     groups = [data[i : i + batch] for i in range(0, len(data), batch)]
+    mean, since = {k: a.astype(np.float64) for k, a in p.items()}, (epochs - 2) * len(groups)
     for epoch in range(epochs):
         source.r.shuffle(groups)
         losses = []
@@ -218,23 +304,30 @@ def train(pages: int = 6000, epochs: int = 5, batch: int = 48, seed: int = 11, r
             losses.append(loss)
             step += 1
             scale = min(1.0, 1.0 / (np.sqrt(sum(float((a**2).sum()) for a in g.values())) + 1e-9))
-            lr = rate * min(1.0, step / 50) * (1 - 0.9 * step / (epochs * len(groups)))
+            lr = rate * min(1.0, step / 50) * (1 - 0.85 * step / (epochs * len(groups)))
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * scale * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * (scale * g[k]) ** 2
                 p[k] = (p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                if step > since:  # the weights' mean over the last two epochs
+                    mean[k] += (p[k] - mean[k]) / (step - since)
         say(f"epoch {epoch}: loss {np.mean(losses):.4f}")
-    return p
+    return {k: a.astype(np.float32) for k, a in mean.items()}
 
 
-def accuracy(p: dict, pages: int = 500, seed: int = 99) -> float:
-    source = Pages(seed)
+def accuracy(p: dict, pages: int = 500, seed: int = 99, families: tuple[str, ...] = tuple(FAMILIES)) -> float:
+    source = Pages(seed, families)
     data = [source.sample() for _ in range(pages)]
     found = label([s[0] for s in data], p)
     return float(np.mean(np.concatenate([a == y for a, (_, y) in zip(found, data)])))
 
 
 if __name__ == "__main__":
-    made = train()
-    print("held-out accuracy:", accuracy(made))
-    np.savez_compressed(Path(__file__).with_name(WEIGHTS), **{k: a.astype(np.float16) for k, a in made.items()})
+    if "--families" in sys.argv:
+        for left in FAMILIES:
+            made = train(3000, 4, families=tuple(f for f in FAMILIES if f != left), say=lambda _: None)
+            print(f"{left} left out: {accuracy(made, families=(left,)):.4f}")
+    else:
+        made = train()
+        print("held-out accuracy:", {f: round(accuracy(made, 300, families=(f,)), 4) for f in FAMILIES})
+        np.savez_compressed(Path(__file__).with_name(WEIGHTS), **{k: a.astype(np.float16) for k, a in made.items()})

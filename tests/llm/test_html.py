@@ -1,14 +1,17 @@
 import html
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sparkseek.llm import html_train
-from sparkseek.llm.html import blocks, extract, label, main_text, weights
+from sparkseek.llm.html import blocks, extract, label, label_long, main_text, weights
 from sparkseek.llm.queries import op2_html_extraction
 
+from .hand_pages import PAGES
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -47,6 +50,37 @@ def test_gradients_equal_differences():
         assert abs((up - down) / (2 * step) - g[key][at]) < 1e-4 + 0.02 * abs(g[key][at])
 
 
+def test_hand_written_pages():
+    wrong = total = 0
+    for page, want in PAGES.values():
+        got = main_text([page])[0].split("\n\n")
+        wrong += len(set(want) ^ set(got))
+        total += len(want)
+    assert total > 40 and wrong <= 2
+
+
+def test_chunks_of_a_long_page_label_alike():
+    source = html_train.Pages(3)
+    found = [b for _ in range(12) for b in source.sample()[0]]
+    assert (label_long(found, weights(), chunk=17) == label([found])[0]).all()
+
+
+def test_time_grows_with_the_length():
+    for unit in ("<a ", '<a "', "<a x='>\" ", '<a ">" ', "<div><b>", "<!-- ", "<select>", "<title>x", "</b>", "<![", "<b>x</p>"):
+        began = time.perf_counter()
+        blocks(unit * (5_000_000 // len(unit)))
+        assert time.perf_counter() - began < 20, unit
+
+
+def test_depth_and_broken_elements():
+    deep = "<nav><ul>" + "<span>" * 300 + "menu" + "</nav><article><p>text"
+    assert [(b[0], b[2]) for b in blocks(deep)] == [("menu", ("<ul",)), ("text", ("<p",))]
+    nested = blocks("<div class=a>" * 1000 + "x" + "</div>" * 1000 + "<p>y")
+    assert [b[0] for b in nested] == ["x", "y"] and nested[0][1] and set(nested[1][1]).isdisjoint(nested[0][1])
+    assert [b[0] for b in blocks("x <script src=https://a.b/>hid</script>y <select><option>a</select>z <svg><g>q</g></svg>w<p title=\"it's\">k<p title='a>b'>m<select><p>open")] == ["x y z w", "k", "m", "open"]
+    assert [b[0] for b in blocks("<p>a<math><mi>x</mi><mo>=</mo></math>b<object>old</object><p><iframe src=x>c")] == ["ax=b", "c"]
+
+
 def test_batches_label_alike():
     source = html_train.Pages(5)
     found = [source.sample()[0] for _ in range(20)] + [[]]
