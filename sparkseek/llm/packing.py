@@ -1,13 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Bulk-synchronous best-fit. Pieces and gaps are range-sorted; each superstep takes
-the longest run of equal pieces left, sweeps the gaps upwards from its length
-(successors first, so the tightest gaps fill first), gives contested gaps to pieces
-by rank, updates the gaps and repeats. Pieces of equal length are interchangeable,
-so a superstep works on runs (length, rank from, rank to) and never on rows: its
-state has at most a few runs for each length up to the capacity, whatever the corpus
-holds. Rows are only touched in tasks: they are range-sorted once, ranked within
-their run by partition offsets, and looked up in the runs' placements.
+Bulk-synchronous best-fit, all of it in tasks:
+
+1. Pieces are range-sorted by length and ranked; the rank decides which shard a piece
+   competes in (rank modulo the number of shards), so that every shard holds the same mix
+   of lengths. With an order column, shards are windows of that order instead.
+2. Each shard sweeps its pieces from the longest down; a piece takes its successor, the
+   tightest gap that holds it, or opens a sequence, and the gap is updated. Equal pieces
+   contest one gap by rank and move as a run.
+3. A shard lets go of its emptiest sequences, if they have room. Their pieces are sorted and dealt again, to
+   a `FAN`-th of the shards, and the superstep repeats until one shard is left.
+
+A shard holds `SHARD_ROWS` narrow rows whatever the corpus holds; the driver only sees the
+number of rows of each partition.
 """
 
 from __future__ import annotations
@@ -16,19 +21,26 @@ import bisect
 import json
 import re
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, stored
+from .common import broadcast_if_small, cut, fresh, slices, stored, whole_runs
 
 CAPACITY = 2048
 END_ID = 0
 LONG_RUN = 1000
+#: Pieces (or, with an order column, documents) of a shard.
+SHARD_ROWS = 1 << 14
+#: Shards that are merged into one from a superstep to the next, and sequences that each lets go of.
+FAN = 16
+#: A sequence is let go of if this part of it is empty at least.
+LOOSE = 16
 
 
 def default_tokenizer() -> str:
@@ -67,14 +79,15 @@ def encoder(path: str):
     return encode
 
 
-def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most `capacity` tokens: (doc_id, piece, start, length, ids_crc32[, ids]).
+def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """Pieces of at most `capacity` tokens: (doc_id, piece, start, length, ids_crc32[, ids][, order]).
 
     A document is its text's ids and `end_id`; null texts count as empty, so each row
     gives one piece at least. A longer document's first piece takes the remainder.
     """
     path = tokenizer or default_tokenizer()
-    chosen = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
+    more = ["order"] if order_col else []
+    chosen = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), *([docs[order_col].cast("bigint").alias("order")] if order_col else []))
     kind = dict(chosen.dtypes)["doc"]
 
     def run(batches):
@@ -95,10 +108,12 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
                         crcs.append(zlib.crc32(raw[4 * a : 4 * b]))
                         if keep_ids:
                             held.append(raw[4 * a : 4 * b])
-                arrays = [part.column("doc").take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(held, pa.binary())] if keep_ids else []), names=["doc", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+                at = pa.array(rows, pa.int64())
+                arrays = [part.column("doc").take(at), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
+                arrays += [pa.array(held, pa.binary())] * keep_ids + [part.column(c).take(at) for c in more]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + more)
 
-    out = chosen.mapInArrow(run, f"doc {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
+    out = chosen.mapInArrow(run, f"doc {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids + ", order bigint" * len(more))
     return out.withColumnRenamed("doc", id_col)
 
 
@@ -148,58 +163,122 @@ def supersteps(counts: dict[int, int], capacity: int) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", tie_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list, rank: str) -> tuple[DataFrame, int]:
+    """Rows range-sorted by the keys with their rank, and their number."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    part = F.spark_partition_id()
+    held = rows.groupBy(part.alias("p")).count().orderBy("p").collect()
+    begins = spark.sparkContext.broadcast(dict(zip((r["p"] for r in held), np.cumsum([0] + [r["count"] for r in held]).tolist())))
+
+    def run(batches):
+        at = begins.value.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names, rank])
+            at += batch.num_rows
+
+    fields = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{fields}, `{rank}` bigint"), sum(r["count"] for r in held)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", tie_cols: tuple[str, ...] = ("doc_id", "piece"), order_col: str | None = None, shard_rows: int = SHARD_ROWS, fan: int = FAN) -> DataFrame:
     """Adds `sequence_id` and `offset` to pieces whose lengths are from 1 to `capacity`.
 
-    Sequences have no gaps between pieces. Extra columns pass; repeated rows are placed
-    each; an empty table gives an empty result; lengths out of range raise an error.
-    `pieces` should be materialised, as it is read for sampling and again for sorting.
+    Sequences have no gaps between pieces. With `order_col` (places of the documents from
+    0), shards are windows of `shard_rows` places and sequence ids grow with the windows,
+    so that reading sequences by id keeps the documents' order window by window; without
+    it, ids mean nothing. Extra columns pass, whatever their names (`sequence_id` and
+    `offset` are replaced); repeated rows are placed each; ties are free; an empty table
+    gives an empty result; lengths out of range and null lengths raise an error. `pieces`
+    should be materialised, as it is read for sampling and again for sorting.
     """
     spark = pieces.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mixed = F.xxhash64(*tie_cols)
-    rows = cut(pieces.withColumn("__mix", mixed).repartitionByRange(n, F.col(length_col).desc(), "__mix").sortWithinPartitions(F.col(length_col).desc(), "__mix").drop("__mix"))
-    # At most one row for each length and each border between partitions.
-    held = rows.groupBy(F.spark_partition_id().alias("p"), F.col(length_col).alias("n")).count().orderBy("p").collect()
-    counts: dict[int, int] = {}
-    begins: dict[tuple[int, int], int] = {}
-    for p, size, c in held:
-        begins[p, size] = counts.get(size, 0)
-        counts[size] = counts.get(size, 0) + c
-    if counts and (min(counts) < 1 or max(counts) > capacity):
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rank, shard, mixed, opened, sequence, place = fresh([*pieces.columns, "sequence_id", "offset"], "rank", "shard", "mixed", "opened", "sequence", "place")
+    bad = pieces.where(F.col(length_col).isNull() | ~F.col(length_col).between(1, capacity))
+    if not bad.isEmpty():
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    plan = spark.sparkContext.broadcast((supersteps(counts, capacity), begins))
-    fields = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes)
-
-    def run(batches):
-        table, started = plan.value
-        me, seen = TaskContext.get().partitionId(), {}
-        # One sortable key for (length, rank).
-        keys = table[:, 0] * (1 << 48) + table[:, 1]
-        for batch in batches:
-            length = batch.column(length_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = np.empty(len(length), np.int64)
-            for size in np.unique(length):
-                where = np.flatnonzero(length == size)
-                base = started[me, int(size)] + seen.get(size, 0)
-                rank[where] = base + np.arange(len(where))
-                seen[size] = seen.get(size, 0) + len(where)
-            at = np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1
-            _, begin, first, k, offset = table[at].T
-            q, r = np.divmod(rank - begin, k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + q), pa.array(offset + r * length)], names=[*batch.schema.names, "sequence_id", "offset"])
-
-    return rows.mapInArrow(run, fields + ", sequence_id bigint, offset bigint")
-
-
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    left, done, level = pieces.select(*columns, F.xxhash64(*tie_cols).alias(mixed)), [], 0
+    kinds = dict(left.dtypes)
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in [*columns, mixed])
+    total = None
+    while True:
+        if order_col and level == 0:
+            total = (pieces.agg(F.max(order_col)).first()[0] or 0) + 1
+            rows = left.withColumn(shard, F.floor(F.col(order_col) / F.lit(shard_rows)).cast("bigint"))
+        elif order_col:
+            rows = left.withColumn(shard, F.floor(F.col(shard) / F.lit(fan)).cast("bigint"))
+        else:
+            rows, n = _ranked(left.drop(shard), [F.col(length_col).desc(), mixed], rank)
+            total = n if total is None else total
+            rows = rows.withColumn(shard, F.pmod(F.col(rank), F.lit(max(1, -(-total // (shard_rows * fan**level)))))).drop(rank)
+        shards = max(1, -(-total // (shard_rows * fan**level)))
+        step, last = level, shards == 1
+        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards))
+        dealt = rows.select(*columns, mixed, shard).repartition(parts, shard).sortWithinPartitions(shard, F.col(length_col).desc(), mixed)
+
+        def run(batches, step=step, last=last):
+            for batch, starts in whole_runs(batches, [shard], 1):
+                for a, b in zip(starts[:-1], starts[1:]):
+                    part = batch.slice(int(a), int(b - a))
+                    seq, offset, loose = sweep(part.column(length_col).to_numpy(zero_copy_only=False).astype(np.int64), capacity, 0 if last else fan)
+                    first = int(part.column(shard)[0].as_py()) * fan**step
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array((first << 26) + (step << 22) + seq), pa.array(offset), pa.array(loose)], names=[*part.schema.names, sequence, place, opened])
+
+        placed = stored(dealt.mapInArrow(run, f"{fields}, `{shard}` bigint, `{sequence}` bigint, `{place}` bigint, `{opened}` boolean"))
+        done.append(placed.where(~F.col(opened)).select(*columns, F.col(sequence).alias("sequence_id"), F.col(place).alias("offset")))
+        if last:
+            return reduce(DataFrame.unionByName, done)
+        left, level = placed.where(F.col(opened)).select(*columns, mixed, shard), level + 1
+
+
+def sweep(lengths: np.ndarray, capacity: int, release: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit of lengths that are sorted downwards: sequence and offset of each, and whether it is in one of the `release` emptiest sequences."""
+    sizes, counts = np.unique(lengths, return_counts=True)
+    table = supersteps(dict(zip(sizes.tolist(), counts.tolist())), capacity)
+    first = np.searchsorted(-lengths, -lengths)
+    rank = np.arange(len(lengths)) - first
+    keys = table[:, 0] * (1 << 32) + table[:, 1]
+    _, begin, opened, k, offset = table[np.searchsorted(keys, lengths * (1 << 32) + rank, side="right") - 1].T
+    q, r = np.divmod(rank - begin, k)
+    sequence = opened + q
+    loose = np.zeros(len(lengths), bool)
+    if release and len(lengths):
+        held = np.bincount(sequence, lengths)
+        emptiest = np.argsort(held, kind="stable")[:release]
+        loose = np.isin(sequence, emptiest[held[emptiest] <= capacity - capacity // LOOSE])
+    return sequence, offset + r * lengths, loose
+
+
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, **options) -> DataFrame:
     """Tokenise, cut and place documents: one row per piece with its place.
 
     Null and empty texts are a sequence's single end id; very long texts are cut; ties
-    and repeated rows are placed each; columns besides id and text are ignored.
+    and repeated rows are placed each; an empty table gives an empty result; columns
+    besides id, text and order are ignored, whatever their names. With `order_col`, see `pack`.
+    """
+    pieces = stored(tokenise(docs, tokenizer, capacity, end_id, keep_ids, id_col, text_col, order_col))
+    placed = pack(pieces, capacity, tie_cols=(id_col, "piece"), order_col="order" if order_col else None, **options)
+    return placed.drop("order") if order_col else placed
+
+
+def file_order(docs: DataFrame, name: str) -> DataFrame:
+    """Rows of a frame that reads files, with their place (from 0) by file name and row: the order in which a sorted frame was written.
+
+    A frame that doesn't read files gets null places' stand-in, a place by hash.
     """
-    pieces = stored(tokenise(docs, tokenizer, capacity, end_id, keep_ids, id_col, text_col))
-    return pack(pieces, capacity, tie_cols=(id_col, "piece"))
+    path, row, begin = fresh([*docs.columns, name], "path", "row", "begin")
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return docs.withColumn(name, F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, docs.count()))))
+    held = {r[0]: r[1] for r in rows.groupBy(path).count().collect()}
+    names = sorted(held, key=lambda x: (len(x), x))
+    places = np.cumsum([0] + [held[x] for x in names]).tolist()
+    spark = docs.sparkSession
+    begins = spark.createDataFrame(list(zip(names, places)), f"`{path}` string, `{begin}` bigint")
+    return rows.join(broadcast_if_small(begins), path).withColumn(name, F.col(begin) + F.col(row)).drop(path, row, begin)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

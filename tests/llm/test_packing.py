@@ -6,9 +6,10 @@ import public_tokenizers
 import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkseek.llm.packing import default_tokenizer, encoder, pack_documents, sequences, supersteps
+from sparkseek.llm.packing import default_tokenizer, encoder, file_order, pack, pack_documents, sequences, supersteps, sweep
 from sparkseek.llm.queries import op3_best_fit_packing
 
 SMALL = "/root/testdata/sf0.001"
@@ -47,6 +48,47 @@ def test_supersteps_are_best_fit_decreasing(lengths):
     assert len(spots) == best_fit_decreasing(lengths, 40)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=120), st.integers(0, 5))
+def test_sweep_places_every_piece(lengths, release):
+    lengths = np.array(sorted(lengths, reverse=True), np.int64)
+    sequence, offset, loose = sweep(lengths, 40, release)
+    held = defaultdict(list)
+    for s, o, n, x in zip(sequence, offset, lengths, loose):
+        held[s].append((o, n, x))
+    for s in held.values():
+        s.sort()
+        assert [o for o, _, _ in s] == [0, *np.cumsum([n for _, n, _ in s])[:-1]] and sum(n for _, n, _ in s) <= 40 and len({x for *_, x in s}) == 1
+    assert len(held) == best_fit_decreasing(list(lengths), 40) and sum(s[0][2] for s in held.values()) <= release
+
+
+def test_shards_pack_about_as_well_as_one(spark):
+    rng = np.random.default_rng(5)
+    for k, lengths in enumerate((rng.integers(1, 2049, 6000), np.minimum(2048, rng.geometric(1 / 300, 6000)), np.full(3000, 700), np.append(np.full(2000, 1100), rng.integers(1, 30, 4000)))):
+        df = spark.createDataFrame([(i, 0, int(n), i, "x") for i, n in enumerate(lengths)], "doc_id bigint, piece int, length bigint, rank bigint, shard string")
+        want = best_fit_decreasing(lengths.tolist(), 2048)
+        for order, size, fan in ((None, 300, 4), ("rank", 500, 16)):
+            got = pack(df, shard_rows=size, fan=fan, order_col=order).toPandas()
+            assert sorted(got.doc_id) == list(range(len(lengths))) and (got.shard == "x").all()
+            got = got.sort_values(["sequence_id", "offset"])
+            before = got.groupby("sequence_id").length.cumsum() - got.length
+            assert (before == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 2048
+            # Shards hold the same mix of lengths; windows, here small ones, don't.
+            assert want <= got.sequence_id.nunique() <= want * (1.03 if order else 1.01) + 2, (k, order, want, got.sequence_id.nunique())
+        # A window's sequences hold its own documents only, but those packed again with other windows' emptiest.
+        ids, window = got.sequence_id.to_numpy(), got["rank"].to_numpy() // 500
+        level = ids >> 22 & 15
+        assert (ids >> 26 == window // 16**level * 16**level).all() and (level == 0).mean() > 0.5
+
+
+def test_file_order(spark, tmp_path):
+    df = spark.range(1000).repartitionByRange(7, F.col("id").desc()).sortWithinPartitions(F.col("id").desc())
+    df.write.parquet(str(tmp_path / "x"))
+    got = file_order(spark.read.parquet(str(tmp_path / "x")), "at").collect()
+    assert sorted((r["at"], r["id"]) for r in got) == [(i, 999 - i) for i in range(1000)]
+    assert file_order(spark.createDataFrame([(1, "a")], "id int, path string"), "at").collect()[0]["at"] == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from(list("ab  \n\t1²'s!_é東😀\x1c\x85 ​﻿")) | st.characters(codec="utf-8"), max_size=40))
 def test_encoder_equals_tokenizer_file(text):

@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from sparkseek.llm.packing import default_tokenizer  # noqa: E402
+from sparkseek.llm.mixing import mix  # noqa: E402
+from sparkseek.llm.packing import default_tokenizer, file_order, pack_documents  # noqa: E402
 from sparkseek.llm.quality import features, fit  # noqa: E402
 
 from .test_jaccard import brute as brute_near  # noqa: E402
@@ -50,20 +51,50 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         lengths[i] = len(own.encode(text or "", add_special_tokens=False).ids) + 1
     assert dict(seen[4].groupby("doc_id").length.sum()) == dict(lengths)
     assert seen[4].sequence_id.nunique() == best_fit_decreasing(list(seen[4].length), 2048)
+    target = mix(spark.createDataFrame(seen[2][["doc_id", "source"]])).toPandas().sort_values("position")
+    written = file_order(spark.read.parquet(str(tmp_path / "3")), "at").toPandas().sort_values("at")
+    assert list(written.doc_id) == list(target.doc_id)
     run = corpus_pipeline.run(spark, SMALL).toPandas()
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert np.array_equal(run[key].sort_values(key).values, seen[4][key].sort_values(key).values)
 
 
+def test_the_mixture_survives_packing(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(i, " ".join(words[(i + k) % 8] for k in range(40 + i % 60)), "en", "big" if i % 10 else "small", 0) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    corpus_pipeline.mixture(spark, frame, SMALL).write.parquet(str(tmp_path / "m"))
+    docs = spark.read.parquet(str(tmp_path / "m"))
+    packed = pack_documents(file_order(docs, "at"), order_col="at", shard_rows=500).toPandas()
+    small = set(i for i in range(0, 6000, 10))
+    order = packed.sort_values(["sequence_id", "offset"]).doc_id.isin(small).to_numpy()
+    # 0.75 and 0.25 by the square roots of 5400 and 600, until the small source runs out after 2,400 rows.
+    assert all(abs(order[i : i + 600].mean() - 0.25) < 0.06 for i in (0, 600, 1200, 1700)) and order[3000:5000].sum() == 0
+
+
 def test_stages_take_empty_and_odd_documents(spark, tmp_path):
     rows = [(1, None, "en", None, None), (None, "some words of a text that stand here in a row", None, "a", 3), (2, "", "en", "a", 0)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for k, docs in enumerate((frame, frame.limit(0))):
         for j, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs.count()
             path = str(tmp_path / f"{k}-{j}")
             stage(spark, docs, SMALL).write.parquet(path)
             docs = spark.read.parquet(path)
-        assert docs.count() == 3 * (k == 0) or docs.count() < 3
+            # No line repeats, nothing is a copy and each text is one piece.
+            assert docs.count() == before or j == 0 and k == 0
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    names = "place order rank shard mixed opened sequence offset of said copied close n_lines n_copies n_near other count row_name mixed_id mixed_position id text_ keep_0 path row begin kept class_id node d1 score predicted".split()
+    rows = [(i, " ".join(f"{a}{i * 7}word{a}" for a in "abcdefgh") + "\nthe same line that all of them have", "en", "a", 9, *[f"{n}{i}" for n in names]) for i in range(6)] + [(3, "another text under one id", "en", "b", 9, *names)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    for j, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame, SMALL)
+        assert j == 4 or out.columns == frame.columns
+        got = out.collect()
+        assert len(got) == 7 or j == 0
+        assert j in (0, 4) or sorted(r["opened"] for r in got) == sorted(r[5 + names.index("opened")] for r in rows)
 
 
 def test_unlike_texts_under_one_id_are_rows_of_their_own(spark):
