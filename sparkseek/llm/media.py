@@ -11,6 +11,7 @@ copies of one picture share a class.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -34,7 +35,11 @@ TABLES, KEY_BITS = 8, 22
 NEAR_BITS = 40
 MATCH_BITS = 64
 VOTES = 3
-INLIERS = 10
+INLIERS = 8
+#: Of the corners of the picture that has fewer, the share that must agree at least.
+SHARE = 0.08
+#: Side of the squares in which agreeing corners count once.
+PLACE = 6
 BLOCK_ROWS = 2048
 _rng = np.random.default_rng(20240507)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (256, 2, 2)), -RADIUS + 1, RADIUS - 1)
@@ -181,8 +186,12 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2).astype(np.int64)
 
 
-def consensus(p: np.ndarray, q: np.ndarray, tolerance: float = 4.0) -> int:
-    """The most matches that agree on one rotation, scale and shift."""
+def consensus(p: np.ndarray, q: np.ndarray, tolerance: float = 4.0, tight: float = 3.0) -> int:
+    """The most matches that agree on one rotation, scale and shift.
+
+    Each match proposes a transformation; the best one's matches are fitted by least squares
+    and those near to the fit are counted, corners at coarse scales less strictly.
+    """
     if not len(p) or not len(q):
         return 0
     j, d = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
@@ -209,7 +218,23 @@ def consensus(p: np.ndarray, q: np.ndarray, tolerance: float = 4.0) -> int:
         most = agree[int(agree.sum(axis=1).argmax())]
         if most.sum() > best.sum():
             best = most
-    return min(len(np.unique(np.stack([a["x"], a["y"]], 1)[best], axis=0)), len(np.unique(j[i][best])))
+    z, w = a["x"] + 1j * a["y"].astype(np.float64), b["x"] + 1j * b["y"].astype(np.float64)
+    allowed = tight * np.maximum(1, np.maximum(a["scale"], b["scale"]))
+    for _ in range(3):
+        if best.sum() < 3:
+            return 0
+        zm, wm = z[best].mean(), w[best].mean()
+        s = (np.conj(z[best] - zm) * (w[best] - wm)).sum() / max((np.abs(z[best] - zm) ** 2).sum(), 1e-9)
+        alike = (np.abs(np.angle(np.exp(1j * (turn - np.angle(s))))) < 0.5) & (np.abs(np.log(ratio / max(np.abs(s), 1e-9))) < 0.3)
+        best = (np.abs(s * (z - zm) + wm - w) <= allowed) & alike
+    # Corners of one place, found at several scales, count once.
+    return min(len(np.unique(np.round(v[best] / PLACE))) for v in (z, w))
+
+
+def same_picture(p: np.ndarray, q: np.ndarray, inliers: int = INLIERS, share: float = SHARE) -> bool:
+    """Whether enough corners agree: a number, and a share of the corners of the picture that has fewer."""
+    need = max(inliers, math.ceil(share * min(len(p), len(q))))
+    return min(len(p), len(q)) >= need and consensus(p, q) >= need
 
 
 def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image", votes: int = VOTES, inliers: int = INLIERS, near_bits: int = NEAR_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -316,7 +341,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
 
     def verify(batches):
         for batch in batches:
-            found = [consensus(np.frombuffer(p, POINT), np.frombuffer(q, POINT)) >= inliers for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())]
+            found = [same_picture(np.frombuffer(p, POINT), np.frombuffer(q, POINT), inliers) for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())]
             at = pa.array(np.flatnonzero(found))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkseek.llm.media import INLIERS, _box, _resize, consensus, decode, describe, edited, encode_pgm, image_copies, scene
+from sparkseek.llm.media import _box, _resize, decode, describe, edited, encode_pgm, image_copies, same_picture, scene
 from sparkseek.llm.queries import op9_media_copies
 
 SMALL = "/root/testdata/sf0.001"
@@ -30,7 +30,7 @@ def test_equals_brute_force(spark):
 
     for i in raw:
         for j in raw:
-            if i < j and (raw[i] == raw[j] or consensus(points[i], points[j]) >= INLIERS):
+            if i < j and (raw[i] == raw[j] or same_picture(points[i], points[j])):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     df = spark.createDataFrame(list(raw.items()), "id bigint, image binary")
@@ -51,13 +51,57 @@ def test_recall_of_edited_copies_of_small_and_large_pictures(spark):
             large |= {i + j for j in range(4, 7)}
         raw |= {i + j: encode_pgm(y) for j, y in enumerate(edits)}
     points = {i: describe(decode(x)) for i, x in raw.items()}
-    alike = {i for i in raw if i % 8 and consensus(points[i // 8 * 8], points[i]) >= INLIERS}
+    alike = {i for i in raw if i % 8 and same_picture(points[i // 8 * 8], points[i])}
     assert len(large & alike) >= 0.9 * len(large) and len(alike) >= 90
     got = {r["id"]: r["class_id"] for r in image_copies(spark.createDataFrame(list(raw.items()), "id bigint, image binary")).collect()}
     assert all(c // 8 == i // 8 for i, c in got.items())
     assert sum(got[i] == i // 8 * 8 for i in alike) >= 0.98 * len(alike)
 
 
+def turned(x, degrees):
+    h, w = x.shape
+    a = np.deg2rad(degrees)
+    yy, xx = np.mgrid[:h, :w]
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    y = (np.cos(a) * (yy - cy) - np.sin(a) * (xx - cx) + cy).clip(0, h - 1.001)
+    z = (np.sin(a) * (yy - cy) + np.cos(a) * (xx - cx) + cx).clip(0, w - 1.001)
+    i, k, fy, fz = y.astype(int), z.astype(int), y % 1, z % 1
+    return (x[i, k] * (1 - fz) + x[i, k + 1] * fz) * (1 - fy) + (x[i + 1, k] * (1 - fz) + x[i + 1, k + 1] * fz) * fy
+
+
+EDITS = {
+    "turned by 10": lambda x: turned(x, 10), "turned by 30": lambda x: turned(x, 30), "turned by 77": lambda x: turned(x, 77),
+    "scaled to 0.7": lambda x: _resize(_box(x, 1), 0.7), "scaled to 0.8": lambda x: _resize(x, 0.8), "scaled to 1.4": lambda x: _resize(x, 1.4),
+    "cropped to three quarters": lambda x: x[len(x) // 8 :, len(x) // 8 :][: len(x) * 3 // 4, : len(x) * 3 // 4],
+    "cropped to half": lambda x: x[len(x) // 4 :, len(x) // 4 :][: len(x) // 2, : len(x) // 2],
+}
+
+
+def test_recall_of_all_pairs_consensus_by_edit(spark):
+    for side, n, sure in ((1, 30, 5), (2, 12, 8)):
+        raw = {}
+        for i in range(n):
+            x = np.block([[scene(977 * i + 2 * r + c) for c in range(side)] for r in range(side)])
+            raw |= {16 * i: encode_pgm(x)} | {16 * i + k + 1: encode_pgm(f(x)) for k, f in enumerate(EDITS.values())}
+        points = {i: describe(decode(x)) for i, x in raw.items()}
+        alike = {i for i in raw if i % 16 and same_picture(points[i // 16 * 16], points[i])}
+        got = {r["id"]: r["class_id"] for r in image_copies(spark.createDataFrame(list(raw.items()), "id bigint, image binary")).collect()}
+        assert all(c // 16 == i // 16 for i, c in got.items())
+        for k in range(len(EDITS)):
+            some = {i for i in alike if i % 16 == k + 1}
+            assert sum(got[i] == i // 16 * 16 for i in some) >= 0.9 * len(some), (side, k)
+        # Edits of which the consensus itself finds nearly all copies.
+        assert sum(sum(i % 16 == k + 1 for i in alike) >= 0.9 * n for k in range(len(EDITS))) >= sure
+
+
+def test_unlike_pictures_under_one_id(spark):
+    a, b = scene(1), scene(2)
+    rows = [(5, a), (5, b), (6, a * 0.8 + 20), (7, b * 0.8 + 20), (7, scene(3))]
+    df = spark.createDataFrame([(i, encode_pgm(x), 0, 0) for i, x in rows], "id bigint, image binary, node int, d1 int")
+    got = sorted((r["id"], r["class_id"]) for r in image_copies(df).collect())
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5), (7, 7)]
+
+
 def png(x, filters):
     h, w = x.shape
     rows, before = b"", np.zeros(w, int)
