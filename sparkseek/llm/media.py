@@ -4,9 +4,9 @@ Corners at several scales get an orientation from the intensity centroid and 256
 orientation-normalised binary tests. Descriptors meet in tables keyed by sampled bits;
 inside a table's bucket, those within a Hamming distance form clusters and each image is
 paired with its cluster's smallest and with the nearest of another image (never all
-pairs). Pairs that meet often enough are verified by geometric consensus: enough matches
-must agree on one similarity transformation. Components of the verified pairs are the classes, so crops and edited
-copies of one picture share a class.
+pairs). Pairs that meet often enough at about one angle are verified by geometric
+consensus: enough matches must agree on one similarity transformation. Components of the
+verified pairs are the classes, so crops and edited copies of one picture share a class.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ BLOCK_ROWS = 2048
 _rng = np.random.default_rng(20240507)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (256, 2, 2)), -RADIUS + 1, RADIUS - 1)
 _TURNS = 36
+#: Parts of the circle that a corner's angle is told in.
+TURNS = 72
 _angles = 2 * np.pi * np.arange(_TURNS) / _TURNS
 _rotate = np.stack([np.stack([np.cos(_angles), -np.sin(_angles)], 1), np.stack([np.sin(_angles), np.cos(_angles)], 1)], 1)
 _PATTERN = np.rint(np.einsum("aij,tpj->atpi", _rotate, _TESTS)).astype(np.int64)
@@ -240,6 +242,8 @@ def same_picture(p: np.ndarray, q: np.ndarray, inliers: int = INLIERS, share: fl
 def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image", votes: int = VOTES, inliers: int = INLIERS, near_bits: int = NEAR_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per image: (id, n_points, class_id, kept).
 
+    `n_points` counts the corners of images that are compared, zero for the others.
+
     Images of equal bytes are one node. `class_id` is the smallest id of the images tied to
     it by verified pairs, itself included; `kept` marks it. Values that are null, empty or no
     image that `decode` reads have no points and stand alone unless their bytes are equal;
@@ -251,26 +255,31 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     chosen = images.select(images[id_col].alias("id"), images[image_col].alias("image"))
     kind = dict(chosen.dtypes)["id"]
 
-    def prepare(batches):
+    def digest(batches):
         for batch in batches:
-            d1, d2, points = [], [], []
+            d1, d2 = [], []
             for i in range(batch.num_rows):
                 raw = batch.column("image")[i].as_py()
-                digest = xxhash.xxh3_128_intdigest(raw) if raw is not None and batch.column("id")[i].is_valid else None
-                d1.append(None if digest is None else (digest >> 64) - (1 << 63))
-                d2.append(None if digest is None else (digest & (1 << 64) - 1) - (1 << 63))
-                x = decode(raw)
-                p = describe(x) if x is not None else np.zeros(0, POINT)
-                points.append(p.tobytes())
+                value = xxhash.xxh3_128_intdigest(raw) if raw is not None and batch.column("id")[i].is_valid else None
+                d1.append(None if value is None else (value >> 64) - (1 << 63))
+                d2.append(None if value is None else (value & (1 << 64) - 1) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), batch.column("image")], names=["id", "d1", "d2", "image"])
+
+    def points(batches):
+        for batch in batches:
+            found = [decode(raw) for raw in batch.column("image").to_pylist()]
+            made = [(describe(x) if x is not None else np.zeros(0, POINT)).tobytes() for x in found]
             settle()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(points, pa.binary())], names=["id", "d1", "d2", "points"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(made, pa.binary())], names=["rep", "points"])
 
-    rows = stored(chosen.mapInArrow(prepare, f"id {kind}, d1 bigint, d2 bigint, points binary"))
+    hashed = chosen.mapInArrow(digest, f"id {kind}, d1 bigint, d2 bigint, image binary")
+    rows = stored(hashed.select("id", "d1", "d2"))
     size = POINT.itemsize
     good = rows.where("d1 IS NOT NULL")
     nodes = numbered(good.groupBy("d1", "d2").agg(F.min("id").alias("id")), "id", "d1", "d2")
-    heads = good.join(nodes.select("d1", "d2", "id", "node"), ["d1", "d2", "id"])
-    heads = stored(heads.dropDuplicates(["node"]).select(F.col("node").alias("rep"), "points"))
+    # Equal bytes are described once. An id's repeated rows stand once.
+    some = hashed.where("d1 IS NOT NULL").join(broadcast_if_small(nodes), ["d1", "d2", "id"]).select(F.col("node").alias("rep"), "image")
+    heads = stored(some.mapInArrow(points, "rep bigint, points binary").dropDuplicates(["rep"]))
 
     def list_keys(batches):
         for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
@@ -279,16 +288,17 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
             flat = np.concatenate([*p, np.zeros(0, POINT)])
             keys = table_keys(flat)
             bits = pa.array([x.tobytes() for x in flat["bits"]], pa.binary())
+            turn = pa.array(np.rint(flat["angle"] / (2 * np.pi) * TURNS).astype(np.int32) % TURNS)
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(of)), pa.array(keys[:, t]), bits], names=["rep", "key", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(of)), pa.array(keys[:, t]), bits, turn], names=["rep", "key", "bits", "turn"])
 
-    listed = heads.mapInArrow(list_keys, "rep bigint, key bigint, bits binary")
+    listed = heads.mapInArrow(list_keys, "rep bigint, key bigint, bits binary, turn int")
     shared = listed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
     shared = cut(shared.select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int").alias("blocks")))
     dealt = listed.join(broadcast_if_small(shared), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     by = ["key", "lo", "hi"]
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "bits")
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "bits", "turn")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, *by).sortWithinPartitions(*by, "rep")
 
@@ -310,15 +320,25 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
                 new = (image[i] != image[j]) & (d < least[i])
                 nearest[i[new]], least[i[new]] = j[new], d[new]
 
-            small = np.repeat(length <= 64, length)
-            for d in range(1, int(min(64, length.max(initial=0)))):
-                i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
-                apart = np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1).astype(np.int64)
-                hit = apart <= near_bits
-                i, apart = i[hit], apart[hit]
-                forest.add(i, i + d)
-                closer(i, i + d, apart)
-                closer(i + d, i, apart)
+            def closest(i, j, d):
+                """Rows i, each any number of times, meet rows j at distance d."""
+                new = np.flatnonzero((image[i] != image[j]) & (d < least[i]))
+                new = new[np.lexsort((d[new], i[new]))]
+                new = new[np.append(True, i[new][1:] != i[new][:-1])[: len(new)]]
+                nearest[i[new]], least[i[new]] = j[new], d[new]
+
+            # All pairs inside small runs at once, by the runs' lengths.
+            for m in np.unique(length[(length > 1) & (length <= 64)]):
+                at = np.asarray(starts[:-1])[length == m]
+                p, q = np.triu_indices(m, 1)
+                step = max(1, (1 << 18) // len(p))
+                for k in range(0, len(at), step):
+                    i, j = (at[k : k + step, None] + p).ravel(), (at[k : k + step, None] + q).ravel()
+                    apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1).astype(np.int64)
+                    hit = apart <= near_bits
+                    i, j, apart = i[hit], j[hit], apart[hit]
+                    forest.add(i, j)
+                    closest(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart]))
             for k in np.flatnonzero(length > 64):
                 here = np.arange(starts[k], starts[k + 1])
                 for i in range(0, len(here), 512):
@@ -333,9 +353,17 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
             # Rows are sorted by image in a run, so a cluster's smallest row is its smallest image.
             met = np.concatenate([np.stack([forest.label, np.arange(n)], 1), np.sort(np.stack([nearest, np.arange(n)], 1), axis=1)])
             met = np.unique(met[image[met[:, 0]] != image[met[:, 1]]], axis=0)
-            yield pa.RecordBatch.from_arrays([rep.take(pa.array(met[:, 0])), rep.take(pa.array(met[:, 1]))], names=["a", "b"])
-
-    pairs = dealt.mapInArrow(meet, "a bigint, b bigint").where("a <> b").groupBy("a", "b").count().where(F.col("count") >= votes).select("a", "b")
+            ids, turn = rep.to_numpy(), batch.column("turn").to_numpy()
+            swap = ids[met[:, 0]] > ids[met[:, 1]]
+            i, j = np.where(swap, met[:, 1], met[:, 0]), np.where(swap, met[:, 0], met[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array((turn[j] - turn[i]) % TURNS)], names=["a", "b", "turn"])
+
+    # Meetings by their angle, in twelve parts of the circle and in twelve shifted by half a part: five bits count each.
+    part = TURNS // 12
+    tally = [F.sum(F.expr(f"shiftleft(1L, 5 * (((turn + {shift}) % {TURNS}) div {part}))")) for shift in (0, part // 2)]
+    pairs = dealt.mapInArrow(meet, "a bigint, b bigint, turn int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), tally[0].alias("p"), tally[1].alias("q"))
+    often = " OR ".join(f"(shiftrightunsigned({c}, {5 * k}) & 31) >= {votes}" for c in "pq" for k in range(12))
+    pairs = pairs.where(f"n >= 32 OR (n >= {votes} AND ({often}))").select("a", "b")
     ours = heads.select("rep", "points")
     both = pairs.join(ours.withColumnsRenamed({"rep": "a", "points": "p"}), "a").join(ours.withColumnsRenamed({"rep": "b", "points": "q"}), "b")
 
@@ -347,10 +375,11 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
 
     area = components(both.select("a", "b", "p", "q").mapInArrow(verify, "a bigint, b bigint"))
     least = nodes.select(F.col("node").alias("component"), F.col("id").alias("class_id"))
-    named = nodes.join(area, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component").select("d1", "d2", "class_id")
-    count = (F.length("points") / F.lit(size)).cast("int").alias("n_points")
-    out = good.select("id", "d1", "d2", count).join(named, ["d1", "d2"]).select("id", "n_points", "class_id")
-    rest = rows.where("d1 IS NULL").select("id", count, F.col("id").alias("class_id"))
+    named = nodes.join(area, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component").select("node", "d1", "d2", "class_id")
+    count = ours.select(F.col("rep").alias("node"), (F.length("points") / F.lit(size)).cast("int").alias("n_points"))
+    named = named.join(count, "node", "left").select("d1", "d2", "class_id", F.coalesce("n_points", F.lit(0)).alias("n_points"))
+    out = good.join(named, ["d1", "d2"]).select("id", "n_points", "class_id")
+    rest = rows.where("d1 IS NULL").select("id", F.lit(0).alias("n_points"), F.col("id").alias("class_id"))
     return out.unionByName(rest).select(F.col("id").alias(id_col), "n_points", "class_id", F.expr("id <=> class_id").alias("kept"))
 
 
