@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +18,15 @@ HIDDEN = r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->"
 INLINE_TAG = r"(?i)</?(a|abbr|b|cite|code|em|i|mark|s|small|span|strong|sub|sup|u)(\s[^>]*)?/?>"
 NESTED = r"(?is)<(a|b|cite|code|em|i|span|strong|u)\b[^>]*>.*?(</(a|b|cite|code|em|i|span|strong|u)>|\z)"
 PARAGRAPH_END = r"(?is)^(.*?)(?:</?(?:p|div|article|aside|section|footer|nav|ul|ol|li|table|h[1-6])\b|\z)"
-#: Entities that are decoded, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: HTML's named characters; the no-break space counts as a space.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+#: An attribute's value in any quoting.
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+HREF = rf"""(?is)<a\s[^>]*?\bhref\s*=\s*{VALUE}"""
+BASE = rf"""(?is)<base\s[^>]*?\bhref\s*=\s*{VALUE}"""
+META = r"""(?is)<meta\s(?:[^>"']|"[^"]*"|'[^']*')*>"""
+META_NAME = r"""(?is)\bname\s*=\s*["']?description["'\s/>]"""
+META_CONTENT = rf"""(?is)\bcontent\s*=\s*{VALUE}"""
 #: Words of this length and above are left out of the inverted index.
 LONG_WORD = 30
 
@@ -56,15 +64,44 @@ def lemma(c: Column, kind: str = "identity") -> Column:
     return out.otherwise(word)
 
 
-def query_words(text: str) -> list[str]:
+def lemma_of(word: str, kind: str = "identity") -> str:
+    """The lemma of one word, as `lemma` gives it."""
+    word = word.lower()
+    if kind == "identity" or word in IRREGULAR:
+        return IRREGULAR.get(word, word) if kind == "rules" else word
+    for suffix, to, least in SUFFIXES:
+        if word.endswith(suffix) and len(word) >= least and not (suffix == "s" and word.endswith("ss")):
+            return word[: -len(suffix)] + to
+    return word
+
+
+def query_words(text: str, lemmatizer: str = "identity") -> list[str]:
     """A query's words: analysed like a document, but its punctuation isn't stripped first."""
-    return [m[0].lower() for m in re.finditer(TOKEN, text) if re.fullmatch(r"[a-zA-Z0-9]+", m[0])]
+    return [lemma_of(m[0], lemmatizer) for m in re.finditer(TOKEN, text) if re.fullmatch(r"[a-zA-Z0-9]+", m[0])]
 
 
 def decode_entities(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Named, decimal and hexadecimal character references, each once; others stay as they are."""
+    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def piece(p: Column) -> Column:
+        named = F.try_element_at(table, F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1))
+        number = F.regexp_extract(p, "^#([0-9]{1,7});", 1).try_cast("int")
+        digits = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.coalesce(number, F.conv(F.nullif(digits, F.lit("")), 16, 10).cast("int"))
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(code == 160, " ").when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        rest = F.regexp_replace(p, "^[^;]*;", "")
+        return F.coalesce(F.concat(F.coalesce(named, char), rest), F.concat(F.lit("&"), p))
+
+    parts = F.split(c, "&")
+    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, 100_000_000), piece), ""))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+
+
+def unquote(c: Column) -> Column:
+    """An attribute's value without its quotes."""
+    return F.regexp_replace(c, r"""^["']|["']$""", "")
 
 
 def collapse(c: Column) -> Column:
@@ -86,13 +123,20 @@ def html_title(c: Column) -> Column:
 
 
 def html_description(c: Column) -> Column:
-    """Content of the description meta element, empty if there is none."""
-    return collapse(decode_entities(F.regexp_extract(c, r"""(?is)<meta\s[^>]*name="description"[^>]*content="([^"]*)\"""", 1)))
+    """Content of the first description meta element, empty if there is none; attributes in any order and quoting."""
+    told = F.filter(F.regexp_extract_all(c, F.lit(META), F.lit(0)), lambda m: m.rlike(META_NAME))
+    first = F.coalesce(F.try_element_at(told, F.lit(1)), F.lit(""))
+    return collapse(decode_entities(unquote(F.regexp_extract(first, META_CONTENT, 1))))
 
 
 def html_links(c: Column) -> Column:
-    """Raw href values of all anchors, in page order, duplicates kept."""
-    return F.regexp_extract_all(c, F.lit(r'(?i)<a\b[^>]*?href="([^"]*)"'), F.lit(1))
+    """Raw href values of all anchors in any quoting, in page order, duplicates kept."""
+    return F.transform(F.regexp_extract_all(c, F.lit(HREF), F.lit(1)), unquote)
+
+
+def html_base(c: Column) -> Column:
+    """Raw href of the page's base element, empty if there is none."""
+    return unquote(F.regexp_extract(c, BASE, 1))
 
 
 def html_paragraphs(c: Column) -> Column:
@@ -112,7 +156,7 @@ def truncate(c: Column, n: int) -> Column:
 
 
 def highlight(c: Column, words: list[str]) -> Column:
-    """Wrap whole-word matches, upper-cased, in b elements; inserted tags are never matched again."""
+    """Wrap whole-word matches, upper-cased, in b elements; inserted tags are never matched again. Letters, digits and the underscore of ASCII make words."""
     for word in dict.fromkeys(w for w in words if w):
-        c = F.regexp_replace(c, rf"(?i)\b{re.escape(word)}\b", "\x01" + word.upper().replace("\\", "\\\\").replace("$", "\\$") + "\x02")
+        c = F.regexp_replace(c, rf"(?i)(?<![A-Za-z0-9_]){re.escape(word)}(?![A-Za-z0-9_])", "\x01" + word.upper().replace("\\", "\\\\").replace("$", "\\$") + "\x02")
     return F.replace(F.replace(c, F.lit("\x01"), F.lit("<b>")), F.lit("\x02"), F.lit("</b>"))

@@ -66,21 +66,37 @@ def path_allowed(path: Column, disallow: Column, allow: Column) -> Column:
     return some(allow) | ~some(disallow)
 
 
-def admission(fetches: DataFrame, visited: DataFrame, rules: DataFrame, agent: str, max_mb: float, enforce_paths: bool = True) -> DataFrame:
-    """(url, reject): why a URL isn't fetched, null if it is. fetches: (url, status, type, size)."""
+def admission(fetches: DataFrame, visited: DataFrame, rules: DataFrame, agent: str, max_mb: float, enforce_paths: bool = True, domains: DataFrame | None = None, now_ms: int | None = None) -> DataFrame:
+    """(url, reject): why a URL isn't fetched, null if it is. fetches: (url, status, type, size).
+
+    With `domains` (domain, last_access_ms) a URL whose domain was last asked less than its
+    rule's delay before `now_ms` is rejected as `delay`; such URLs are to be enqueued again.
+    """
     rows = fetches.select("url", "status", "type", "size", urls.host(F.col("url")).alias("domain"), urls.parts(F.col("url"))["path"].alias("path"))
     rows = rows.join(visited.select("url").distinct().withColumn("seen", F.lit(True)), "url", "left").join(rules_for(rules, agent), "domain", "left")
+    early = F.lit(False)
+    if domains is not None:
+        rows = rows.join(domains.groupBy("domain").agg(F.max("last_access_ms").alias("last_ms")), "domain", "left")
+        now = F.lit(now_ms).cast("bigint") if now_ms is not None else F.unix_millis(F.current_timestamp())
+        early = F.coalesce((F.col("delay") > 0) & (now - F.col("last_ms") < F.col("delay") * 1000), F.lit(False))
     reason = (
         F.when(~urls.is_valid(F.col("url")), "invalid")
         .when(F.coalesce("status", F.lit(0)) != 200, "status")
         .when(F.col("seen"), "visited")
         .when(F.lit(enforce_paths) & ~path_allowed(F.col("path"), F.col("disallow"), F.col("allow")), "robots")
+        .when(early, "delay")
         .when(~size_ok(F.col("size"), max_mb), "size")
         .when(~media_type_ok(F.col("type")), "type")
     )
     return rows.select("url", reason.alias("reject"))
 
 
+def next_frontier(admitted: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
+    """(url): what goes back to the queue: URLs that came too early, and the valid new ones among the links found."""
+    again = admitted.where("reject = 'delay'").select("url")
+    return again.unionByName(url_filter(links, visited.select("url").unionByName(admitted.where("reject IS NULL").select("url")))).distinct()
+
+
 def content_dedup(docs: DataFrame, seen: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(hash, doc_id): the first document of each content hash that `seen` (hash) doesn't hold."""
     first = docs.groupBy(F.md5(text_col).alias("hash")).agg(F.min(id_col).alias(id_col))

@@ -14,8 +14,10 @@ MAX_URL_BYTES = 2048
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, url): absolute links of all anchors, duplicates kept."""
-    raw = pages.select("page_id", F.col("url").alias("base"), F.posexplode(tx.html_links(F.col("html"))).alias("pos", "href"))
+    """(page_id, pos, url): absolute links of all anchors, duplicates kept; relative ones start from the page's base element, if it has one."""
+    html = F.col("html")
+    base = F.coalesce(F.nullif(urls.resolve(F.col("url"), tx.decode_entities(F.nullif(tx.html_base(html), F.lit("")))), F.lit("")), F.col("url"))
+    raw = pages.select("page_id", base.alias("base"), F.posexplode(tx.html_links(html)).alias("pos", "href"))
     return raw.select("page_id", F.col("pos").cast("bigint"), urls.resolve(F.col("base"), tx.decode_entities(F.col("href"))).alias("url")).where("url <> ''")
 
 

@@ -73,6 +73,19 @@ def pruned(posts: DataFrame, min_count: int) -> DataFrame:
     return posts.where(F.col("count") >= min_count)
 
 
+def pruned_to_size(posts: DataFrame, max_bytes: int) -> DataFrame:
+    """Postings of each word's smallest least count whose entries fit into `max_bytes`.
+
+    An entry takes its document's id and its count as text and four bytes. Counts are
+    grouped before they are compared, so a word's documents are never in one place.
+    """
+    sizes = posts.groupBy("word", "count").agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + F.octet_length(F.col("count").cast("string")) + 4).alias("bytes"))
+    from_top = Window.partitionBy("word").orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)
+    fits = sizes.withColumn("held", F.sum("bytes").over(from_top)).where(F.col("held") <= max_bytes)
+    least = fits.groupBy("word").agg(F.min("count").alias("least"))
+    return posts.join(least, "word").where("count >= least").drop("least")
+
+
 def shrink_hits(posts: DataFrame, max_hits: int) -> DataFrame:
     return posts.withColumn("hits", F.slice("hits", 1, max_hits))
 

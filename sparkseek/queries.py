@@ -12,7 +12,7 @@ from .functions import text as tx
 from .functions import urls
 from .operators import crawl, exchange, graph, search, suggest
 from .operators import index as ix
-from .session import shared_folder, ship, spread, spread_by, table
+from .session import remove_at_exit, shared_folder, ship, spread, spread_by, table
 from .sources import segments, store
 from .streaming import crawl as live
 
@@ -41,10 +41,16 @@ def _rr(x: str, pattern: str, to: str) -> str:
     return f"regexp_replace({x}, '{_q(pattern)}', '{_q(to)}', 'g')"
 
 
+_NAMES = "MAP {" + ", ".join(f"'{name}': '{_q(char)}'" for name, char in tx.ENTITIES.items()) + "}"
+
+
 def _entities(x: str) -> str:
-    for name, char in tx.ENTITIES:
-        x = f"replace({x}, '{name}', '{_q(char)}')"
-    return x
+    """Character references one by one; each piece between ampersands is decoded by itself."""
+    name, digits, hexed = (f"regexp_extract(p, '{r}', 1)" for r in ("^([A-Za-z][A-Za-z0-9]*);", "^#([0-9]{1,7});", "^#[xX]([0-9a-fA-F]{1,6});"))
+    code = f"coalesce(try_cast({digits} AS int), try_cast('0x' || {hexed} AS int))"
+    char = f"CASE WHEN {code} = 160 THEN ' ' WHEN {code} BETWEEN 1 AND 1114111 AND NOT {code} BETWEEN 55296 AND 57343 THEN chr({code}) END"
+    piece = f"coalesce(coalesce(({_NAMES})[{name}], {char}) || regexp_replace(p, '^[^;]*;', ''), '&' || p)"
+    return f"(CASE WHEN contains({x}, '&') THEN array_to_string([string_split({x}, '&')[1]] || list_transform(string_split({x}, '&')[2:], lambda p: {piece}), '') ELSE {x} END)"
 
 
 def _collapse(x: str) -> str:
@@ -82,7 +88,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread_by(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
-_kept: dict[tuple[str, str, str], ix.Index] = {}
+_kept: dict[tuple, ix.Index] = {}
 
 
 def document_index(spark: SparkSession, folder: str) -> ix.Index:
@@ -93,17 +99,26 @@ def page_index(spark: SparkSession, folder: str) -> ix.Index:
     return _index(spark, folder, "pages")
 
 
-def _index(spark: SparkSession, folder: str, name: str) -> ix.Index:
-    """The index of a table, kept for the session: queries share it as searches share a stored one."""
-    key = (spark.sparkContext.applicationId, folder, name)
+def _version(spark: SparkSession, path: str) -> tuple:
+    """Sizes and times of a table's files: what was derived from other files is stale."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files or ()))
+
+
+def _index(spark: SparkSession, folder: str, name: str, lemmatizer: str = "identity") -> ix.Index:
+    """The stored index of a table: built once, sorted by word, read through filters that prune; removed when the driver ends."""
+    path = f"{folder}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path, lemmatizer, _version(spark, path))
     if key not in _kept:
         if name == "documents":
             docs = table(spark, folder, "documents").select("doc_id", "text")
         else:
             docs = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), tx.html_text(F.col("html")).alias("text"))
-        made = ix.Index.build(docs)
-        posts = made.postings.persist()
-        _kept[key] = ix.Index(posts, ix.doc_norms(posts).persist(), ix.doc_freq(posts).persist())
+        at = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        ix.Index.build(docs, lemmatizer).save(at, max(8, spark.sparkContext.defaultParallelism))
+        remove_at_exit(spark, at)
+        _kept[key] = ix.Index.load(spark, at)
     return _kept[key]
 
 
@@ -140,16 +155,31 @@ def page_titles(spark, folder):
     return table(spark, folder, "pages").select("page_id", tx.html_title(F.col("html")).alias("title"))
 
 
-META = """(?is)<meta\\s[^>]*name="description"[^>]*content="([^"]*)\""""
+DESCRIBED = """CASE page_id % 4 WHEN 0 THEN '<meta name="description" content="x &amp; y"><meta charset' WHEN 1 THEN '<meta content=''a > &#8364;&#x41;&eacute;'' data-x="1" name=description><meta charset' WHEN 2 THEN '<meta name="keywords" content="no"><META CONTENT="two" NAME=''description''/><meta charset' ELSE '<meta name="descriptions" content="no"><meta charset' END"""
+
+
+def _unquoted(x: str) -> str:
+    return _rr(x, """^["']|["']$""", "")
 
 
-@register(f"SELECT page_id, {_collapse(_entities(f'''regexp_extract(replace(html, '<meta charset', '<meta name=\"description\" content=\"x &amp; y\"><meta charset'), '{META}', 1)'''))} AS description FROM pages")
+def _description_sql(html: str) -> str:
+    told = f"list_filter(regexp_extract_all({html}, '{_q(tx.META)}'), lambda m: regexp_matches(m, '{_q(tx.META_NAME)}'))[1]"
+    return _collapse(_entities(_unquoted(f"regexp_extract(coalesce({told}, ''), '{_q(tx.META_CONTENT)}', 1)")))
+
+
+@register(f"SELECT page_id, {_description_sql('html')} AS description FROM (SELECT page_id, replace(html, '<meta charset', {DESCRIBED}) AS html FROM pages)")
 def page_descriptions(spark, folder):
-    """The pages have no description, so one is put in."""
-    html = F.replace(F.col("html"), F.lit("<meta charset"), F.lit('<meta name="description" content="x &amp; y"><meta charset'))
+    """The pages have no description, so some are put in, in several spellings."""
+    html = F.replace(F.col("html"), F.lit("<meta charset"), F.expr(DESCRIBED.replace("''", "\\'")))
     return table(spark, folder, "pages").select("page_id", tx.html_description(html).alias("description"))
 
 
+@register(f"SELECT page_id, {_entities('x')} AS text FROM (SELECT page_id, '&lt;' || page_id || '&gt; &amp;amp; &#' || (page_id % 900 + 33) || '; &#x1F6' || (page_id % 5) || 'a; &nosuch; &#xD800; &eacute;&nbsp;& &' AS x FROM pages)")
+def entities(spark, folder):
+    odd = "concat('&lt;', page_id, '&gt; &amp;amp; &#', page_id % 900 + 33, '; &#x1F6', page_id % 5, 'a; &nosuch; &#xD800; &eacute;&nbsp;& &')"
+    return table(spark, folder, "pages").select("page_id", tx.decode_entities(F.expr(odd)).alias("text"))
+
+
 def _paragraphs_sql() -> str:
     pieces = f"regexp_split_to_array({_rr('html', tx.HIDDEN, ' ')}, '(?i)<p\\b[^>]*>')[2:]"
     return f"list_transform({pieces}, lambda x: regexp_extract(x, '{_q(tx.PARAGRAPH_END)}', 1))"
@@ -208,6 +238,14 @@ def posting_prune(spark, folder):
     return ix.pruned(document_index(spark, folder).postings, 3).select("doc_id", "word", "count")
 
 
+@register(f"""WITH {_tokens()}, sized AS (SELECT word, n, sum(length(doc_id::varchar) + length(n::varchar) + 4) AS b FROM post GROUP BY word, n),
+held AS (SELECT word, n, sum(b) OVER (PARTITION BY word ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS held FROM sized),
+least AS (SELECT word, min(n) AS least FROM held WHERE held <= 500 GROUP BY word)
+SELECT doc_id, word, n AS count FROM post JOIN least USING (word) WHERE n >= least""")
+def posting_prune_size(spark, folder):
+    return ix.pruned_to_size(document_index(spark, folder).postings, 500).select("doc_id", "word", "count")
+
+
 @register(f"WITH {_tokens("SELECT doc_id, replace(text, ' ', '') AS text FROM documents")} SELECT doc_id, word FROM post WHERE length(word) >= 30")
 def long_words(spark, folder):
     """Words of 30 characters and above are in the forward index only."""
@@ -233,10 +271,9 @@ def index_upsert(spark, folder):
 
 # Graph
 
-#: Supplier and customer nations that trade much: a graph with real cycles.
+#: Supplier and customer nations that trade: a graph with real cycles.
 TRADE = """SELECT DISTINCT s_nationkey::bigint AS src, c_nationkey::bigint AS dst FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 49 AND o_totalprice > 400000"""
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"""
 DOC_GRAPH = """SELECT doc_id AS src, doc_id // 2 AS dst FROM documents UNION ALL
   SELECT src, dst FROM (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS dst FROM documents) WHERE dst IS NOT NULL"""
 
@@ -254,8 +291,8 @@ def _rank_sql(edges: str, n: int, start: str | None = None, prefix: str = "") ->
 
 def trade_graph(spark, folder) -> DataFrame:
     t = lambda name: table(spark, folder, name)
-    lines = t("lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
-    orders = t("orders").where("o_totalprice > 400000").select("o_orderkey", "o_custkey")
+    lines = t("lineitem").select("l_orderkey", "l_suppkey")
+    orders = t("orders").select("o_orderkey", "o_custkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(F.col("s_nationkey").cast("bigint").alias("src"), F.col("c_nationkey").cast("bigint").alias("dst")).distinct()
 
@@ -268,10 +305,34 @@ def document_graph(spark, folder) -> DataFrame:
     return half.unionByName(after)
 
 
-LINKS = r"""links AS (SELECT page_id, base, unnest(a) AS href, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT page_id, url AS base, regexp_extract_all(html, '(?i)<a\b[^>]*?href="([^"]*)"', 1) AS a FROM pages)),
+def _hrefs(html: str) -> str:
+    return f"list_transform(regexp_extract_all({html}, '{_q(tx.HREF)}', 1), lambda h: {_unquoted('h')})"
+
+
+def _links_sql(source: str = "SELECT page_id, url, html FROM pages") -> str:
+    """CTEs up to abs (page_id, pos, url); the tables' links are rooted or absolute."""
+    return f"""links AS (SELECT page_id, base, unnest(a) AS href, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT page_id, url AS base, {_hrefs('html')} AS a FROM ({source}))),
 abs AS (SELECT page_id, pos, CASE WHEN href LIKE '/%' THEN regexp_extract(base, '^(https?://[^/?#]+)', 1) || href ELSE href END AS url FROM links)"""
 
 
+LINKS = _links_sql()
+#: The pages' links in other quotings.
+QUOTED = """SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, 'href="([^"]*)"', 'title="x" HREF = ''{0}'' class=y', 'g') ELSE regexp_replace(html, 'href="([^"]*)"', 'href={0}', 'g') END AS html FROM pages"""
+
+
+@register(f"WITH {_links_sql(QUOTED.format(chr(92) + '1'))} SELECT page_id, pos, url FROM abs")
+def page_links_quoting(spark, folder):
+    sql = QUOTED.format("$1").replace("''", "\\'").replace(", 'g')", ")").replace("FROM pages", "FROM {pages}")
+    return graph.page_links(spread(spark.sql(sql, pages=table(spark, folder, "pages"))))
+
+
+@register("WITH l AS (SELECT page_id, unnest(['a.html', '/b', '../c', 'https://x.example/d']) AS href, unnest([0, 1, 2, 3]) AS pos FROM pages) SELECT page_id, pos::bigint AS pos, CASE pos WHEN 0 THEN 'http://base.example/p/' || page_id || '/a.html' WHEN 1 THEN 'http://base.example/b' WHEN 2 THEN 'http://base.example/p/c' ELSE href END AS url FROM l")
+def page_links_base(spark, folder):
+    """Relative links of pages that name a base."""
+    html = F.concat(F.lit("<head><base target=_top href='http://base.example/p/"), "page_id", F.lit("/index.html'></head><a href=a.html>1</a><a href=\"/b\">2</a><a href='../c'>3</a><a href=https://x.example/d>4</a>"))
+    return graph.page_links(table(spark, folder, "pages").select("page_id", "url", html.alias("html")))
+
+
 @register(f"WITH {LINKS} SELECT page_id, pos, url FROM abs")
 def page_links(spark, folder):
     return graph.page_links(spread(table(spark, folder, "pages")))
@@ -282,21 +343,31 @@ def page_out_links(spark, folder):
     return graph.page_out_links(spread(table(spark, folder, "pages")))
 
 
-#: No link of the pages leads to another of them, so each page also gets one to its successor.
-LINKED = "SELECT page_id, url, html || coalesce('<a href=\"' || lead(url) OVER (ORDER BY page_id) || '\">', '') AS html FROM pages WHERE page_id % 3 <> 2"
+#: No link of the pages leads to another of them, so each page also gets one to the page of the next id.
+LINKED = "SELECT p.page_id, p.url, p.html || coalesce('<a href=\"' || n.url || '\">', '') AS html FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1"
 
 
-@register(f"""WITH p AS ({LINKED}), l AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?href="([^"]*)"', 1)) AS href FROM p),
-f AS (SELECT DISTINCT l.page_id AS src, p.page_id AS dst FROM l JOIN p ON p.url = CASE WHEN href LIKE '/%' THEN regexp_extract(base, '^(https?://[^/?#]+)', 1) || href ELSE href END)
-SELECT src, dst FROM f UNION ALL SELECT page_id, page_id FROM p WHERE page_id NOT IN (SELECT src FROM f)""")
+def _link_graph_sql(sources: str = "SELECT page_id FROM p") -> str:
+    return f"""WITH p AS ({LINKED}), {_links_sql("SELECT * FROM p WHERE page_id IN (" + sources + ")")},
+f AS (SELECT DISTINCT abs.page_id AS src, p.page_id AS dst FROM abs JOIN p ON p.url = abs.url WHERE strlen(abs.url) < 2048)
+SELECT src, dst FROM f UNION ALL SELECT page_id, page_id FROM ({sources}) WHERE page_id NOT IN (SELECT src FROM f)"""
+
+
+@register(_link_graph_sql())
 def page_link_graph(spark, folder):
     return graph.link_graph(_linked_pages(spark, folder))
 
 
+@register(_link_graph_sql("SELECT page_id FROM pages WHERE length(html) > 3000"))
+def page_link_graph_indexed(spark, folder):
+    """Only pages that are in an index are sources; here those of long pages."""
+    pages = _linked_pages(spark, folder)
+    return graph.link_graph(pages, table(spark, folder, "pages").where(F.length("html") > 3000).select("page_id"))
+
+
 def _linked_pages(spark, folder):
-    pages = table(spark, folder, "pages").where("page_id % 3 <> 2")
-    # The next id that is left: an equi-join, not a window over all pages.
-    after = pages.select(F.expr("CASE page_id % 3 WHEN 0 THEN page_id - 2 ELSE page_id - 1 END").alias("page_id"), F.col("url").alias("next"))
+    pages = table(spark, folder, "pages")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
     link = F.coalesce(F.concat(F.lit('<a href="'), "next", F.lit('">')), F.lit(""))
     return pages.join(after, "page_id", "left").select("page_id", "url", F.concat("html", link).alias("html"))
 
@@ -468,22 +539,44 @@ def search_results(spark, folder):
     return search.results(hits, table(spark, folder, "pages"), "that with").withColumn("score", F.round("score", 6))
 
 
-@register()
+RESULTS = f"""{_scores_sql(['that', 'with'], None, PAGES)}, {_snippet_sql('that with')},
+found AS (SELECT doc_id, score, {_title('pages.html')} AS title, url, description FROM (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 6) t JOIN pages ON pages.page_id = doc_id JOIN d ON d.page_id = doc_id)"""
+
+
+def _shown_sql(x: str, n: int) -> str:
+    cut_ = f"CASE WHEN length({x}) > {n} THEN left({x}, {n}) || '...' ELSE {x} END"
+    return _highlight_sql(f"({cut_})", ["that", "with"])
+
+
+def _highlight_sql(x: str, words: list[str]) -> str:
+    for w in words:
+        x = _rr(x, rf"(?i)\b{w}\b", f"<b>{w.upper()}</b>")
+    return x
+
+
+@register(f"""WITH {RESULTS} SELECT to_json({{'data': list({{'title': title, 'url': url, 'description': description}} ORDER BY score DESC, doc_id), 'total': (SELECT count(*) FROM s)}})::varchar AS json FROM found""")
 def search_json(spark, folder):
     hits, scored = page_hits(spark, folder, "that with")
     return search.to_json(search.results(hits, table(spark, folder, "pages"), "that with"), scored)
 
 
-@register()
+@register(f"""WITH {RESULTS} SELECT doc_id, CASE WHEN length(url) > 60 THEN left(url, 60) || '...' ELSE url END AS url, {_shown_sql('title', 60)} AS title, {_shown_sql('description', 256)} AS description FROM found""")
 def search_display(spark, folder):
     hits, _ = page_hits(spark, folder, "that with")
     return search.display(search.results(hits, table(spark, folder, "pages"), "that with"), "that with")
 
 
-@register(rf"SELECT doc_id, {_rr(_rr('text', '(?i)' + chr(92) + 'bthat' + chr(92) + 'b', '<b>THAT</b>'), '(?i)' + chr(92) + 'bwith' + chr(92) + 'b', '<b>WITH</b>')} AS text FROM documents WHERE lang = 'en'")
+@register(f"SELECT doc_id, {_highlight_sql('text', ['that', 'with'])} AS text FROM documents")
 def highlight(spark, folder):
-    docs = table(spark, folder, "documents").where("lang = 'en'")
-    return spread(docs.select("doc_id", "text")).select("doc_id", tx.highlight(F.col("text"), ["that", "with", ""]).alias("text"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", tx.highlight(F.col("text"), ["that", "with", ""]).alias("text"))
+
+
+@register(f"WITH {_tokens()}, lem AS (SELECT doc_id, {_lemma_sql('word')} AS lemma, positions, n FROM post), post2 AS (SELECT doc_id, lemma AS word, sum(n) AS n FROM lem GROUP BY ALL), sq2 AS (SELECT doc_id, sum(n * n) AS sq FROM post2 GROUP BY doc_id), top AS (SELECT doc_id FROM (SELECT *, row_number() OVER (ORDER BY n DESC, doc_id) AS k FROM post2 WHERE word = 'have') WHERE k <= 30) SELECT doc_id, round(coalesce(n / sqrt(sq) * (SELECT log10((SELECT count(*) FROM sq2)::double / count(*)) FROM post2 WHERE word = 'have'), 0), 6) AS cosine FROM top JOIN post2 USING (doc_id) JOIN sq2 USING (doc_id) WHERE word = 'have'")
+def search_lemmas(spark, folder):
+    """A search over lemmas: `had` finds what holds `have`, `has` and `had`."""
+    index = _index(spark, folder, "documents", "rules")
+    ranks = index.norms.select("doc_id", F.lit(1.0).alias("pagerank"))
+    return search.scores(index, ranks, tx.query_words("Had", "rules")).select("doc_id", F.round("cosine", 6).alias("cosine"))
 
 
 @register("SELECT page_id, CASE WHEN length(url) > 30 THEN left(url, 30) || '...' ELSE url END AS url FROM pages")
@@ -564,14 +657,41 @@ def robots_rules(spark, folder):
     return _rules(spark, folder).select("domain", "user_agent", F.array_join("disallow", ",").alias("disallow"), F.array_join("allow", ",").alias("allow"), "delay")
 
 
-@register(f"""WITH f AS ({FETCHES}), p AS (SELECT *, regexp_extract(url, '^https?://[^/]*(/.*)$', 1) AS path FROM f)
-SELECT url, CASE WHEN status <> 200 THEN 'status' WHEN page_id % 13 = 0 THEN 'visited' WHEN (path ^@ '/en/1' OR path ^@ '/fr') AND NOT path ^@ '/en/11' THEN 'robots' WHEN size > 0.3 * 1048576 THEN 'size' WHEN page_id % 5 = 1 THEN 'type' END AS reject FROM p""")
+def _admission_sql(delayed: str = "false") -> str:
+    return f"""WITH f AS ({FETCHES}), p AS (SELECT *, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain, regexp_extract(url, '^https?://[^/]*(/.*)$', 1) AS path FROM f)
+SELECT url, CASE WHEN status <> 200 THEN 'status' WHEN page_id % 13 = 0 THEN 'visited' WHEN (path ^@ '/en/1' OR path ^@ '/fr') AND NOT path ^@ '/en/11' THEN 'robots' WHEN {delayed} THEN 'delay' WHEN size > 0.3 * 1048576 THEN 'size' WHEN page_id % 5 = 1 THEN 'type' END AS reject FROM p"""
+
+
+@register(_admission_sql())
 def crawl_admission(spark, folder):
     fetches = _fetches(spark, folder)
     visited = fetches.where("page_id % 13 = 0").select("url")
     return crawl.admission(fetches.drop("page_id"), visited, _rules(spark, folder), "sparkseek", 0.3)
 
 
+LATE = "length(domain) % 2 = 0"  # domains that were asked a second ago; their rule says two
+
+
+def _delayed(spark, folder) -> tuple[DataFrame, DataFrame]:
+    fetches = _fetches(spark, folder)
+    visited = fetches.where("page_id % 13 = 0").select("url")
+    hosts = fetches.select(urls.host(F.col("url")).alias("domain")).distinct()
+    domains = hosts.select("domain", F.expr(f"CASE WHEN {LATE} THEN 1700000000000 ELSE 1699999990000 END").alias("last_access_ms"))
+    return crawl.admission(fetches.drop("page_id"), visited, _rules(spark, folder), "sparkseek", 0.3, domains=domains, now_ms=1700000001000), visited
+
+
+@register(_admission_sql(LATE))
+def crawl_admission_delay(spark, folder):
+    return _delayed(spark, folder)[0]
+
+
+@register(f"WITH {LINKS}, r AS ({_admission_sql(LATE)}) SELECT url FROM r WHERE reject = 'delay' UNION SELECT url FROM abs WHERE url ^@ 'http' AND url NOT IN (SELECT url FROM r WHERE reject IS NULL) AND url NOT IN (SELECT url FROM pages WHERE page_id % 13 = 0)")
+def crawl_next_frontier(spark, folder):
+    """What a round puts back into the queue."""
+    admitted, visited = _delayed(spark, folder)
+    return crawl.next_frontier(admitted, graph.page_links(spread(table(spark, folder, "pages"))).select("url"), visited)
+
+
 @register("SELECT md5(text) AS hash, min(doc_id) AS doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 20) GROUP BY 1")
 def content_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -596,14 +716,13 @@ def fetch_document_by_url(spark, folder):
     return found.select("url", "doc_id", F.md5("html").alias("hash"))
 
 
-@register("""WITH RECURSIVE b AS (SELECT n_nationkey::bigint AS url, 0 AS round FROM nation WHERE n_nationkey = 3 UNION SELECT e.dst, b.round + 1 FROM b JOIN (SELECT s_nationkey::bigint AS src, c_nationkey::bigint AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND o_totalprice > 450000) e ON e.src = b.url WHERE b.round < 4)
+@register(f"""WITH RECURSIVE e AS ({DOC_GRAPH}), b AS (SELECT doc_id AS url, 0 AS round FROM documents WHERE doc_id = 100 UNION SELECT e.dst, b.round + 1 FROM b JOIN e ON e.src = b.url WHERE b.round < 5)
 SELECT url::varchar AS url, min(round) AS round FROM b GROUP BY url""")
 def crawl_rounds(spark, folder):
-    t = lambda name: table(spark, folder, name)
-    lines = t("lineitem").where("l_quantity >= 50").join(t("orders").where("o_totalprice > 450000"), F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = lines.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").cast("string").alias("src_url"), F.col("c_nationkey").cast("string").alias("url")).distinct()
-    seeds = t("nation").where("n_nationkey = 3").select(F.col("n_nationkey").cast("string").alias("url"))
-    return crawl.crawl_rounds(seeds, edges, 1000, 4)
+    """Rounds from one seed over the whole document graph."""
+    edges = document_graph(spark, folder).select(F.col("src").cast("string").alias("src_url"), F.col("dst").cast("string").alias("url"))
+    seeds = table(spark, folder, "documents").where("doc_id = 100").select(F.col("doc_id").cast("string").alias("url"))
+    return crawl.crawl_rounds(seeds, edges, 1000, 5)
 
 
 # Exchanges
@@ -644,7 +763,7 @@ def adjacency_text_roundtrip(spark, folder):
 @register("SELECT page_id::varchar AS doc_id, md5(html) AS hash FROM pages")
 def segment_roundtrip(spark, folder):
     path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    segments.write_segments(table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html"), path, 100)
+    segments.write_segments(table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html"), path, 200_000)
     return segments.read_segments(spark, path).select("doc_id", F.md5("html").alias("hash"))
 
 
@@ -661,9 +780,24 @@ def stream_frontier(spark, folder):
     return live.run_once(live.frontier_stream(_events(spark, folder)).select("url", "domain"))
 
 
+def _in_batches(spark, rows: DataFrame, batch: str) -> DataFrame:
+    """A stream of rows in as many micro-batches as the column `batch` has values, in their order."""
+    base = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    remove_at_exit(spark, base)
+    for k in sorted(r[0] for r in rows.select(batch).distinct().collect()):
+        # One file a batch; the stream takes the oldest first.
+        rows.where(F.col(batch) == k).drop(batch).coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
 @register("SELECT DISTINCT 'http://h' || user_id || '.example.org/' || event_type AS url FROM events")
 def stream_dedup(spark, folder):
-    return live.run_once(live.dedup_stream(live.frontier_stream(_events(spark, folder))).select("url"))
+    """URLs that come again in later batches, however late, stay out."""
+    events = table(spark, folder, "events").withColumn("batch", F.pmod("event_id", F.lit(3)))
+    base = f"{shared_folder(spark)}/visited-{uuid.uuid4().hex}"
+    remove_at_exit(spark, base)
+    live.visited_stream(live.frontier_stream(_in_batches(spark, events, "batch")), f"{base}/urls", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/urls").select("url")
 
 
 @register()
@@ -672,28 +806,38 @@ def stream_politeness(spark, folder):
     return live.run_once(live.politeness_stream(live.frontier_stream(_events(spark, folder)), 3600))
 
 
-@register(f"WITH {_tokens()} SELECT doc_id, word, n AS count FROM post")
+@register(f"WITH {_tokens('SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(lang) || text ELSE text END AS text FROM documents')} SELECT doc_id, word, n AS count FROM post")
 def stream_index(spark, folder):
+    """Documents in three batches; every seventh arrives again in the last, with another text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    arrivals = docs.select("doc_id", "text", (F.col("doc_id") % 2).alias("batch"))
+    again = docs.where("doc_id % 7 = 0").select("doc_id", F.concat(F.upper("lang"), F.col("text")).alias("text"), F.lit(2).cast("bigint").alias("batch"))
     base = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
-    docs = spark.readStream.schema(schema).parquet(f"{folder}/documents*.parquet").select("doc_id", "text")
-    live.index_stream(docs, f"{base}/postings", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/postings").select("doc_id", "word", "count")
+    remove_at_exit(spark, base)
+    live.index_stream(_in_batches(spark, arrivals.unionByName(again), "batch"), base, f"{base}/checkpoint").awaitTermination()
+    return live.indexed_postings(spark, base).select("doc_id", "word", "count")
+
+
+#: Arrivals in three batches: all pages by parity, then every third again, one half of those with another content.
+ARRIVALS = """SELECT url, html AS document, page_id % 2 AS batch FROM pages UNION ALL SELECT url, html || CASE WHEN page_id % 2 = 0 THEN '<!-- new -->' ELSE '' END, 2 FROM pages WHERE page_id % 3 = 0"""
 
 
-@register("""WITH f AS (SELECT url, html, md5(url) AS doc_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain FROM pages)
-SELECT 'segments' AS name, md5(doc_id || html) AS value FROM f UNION ALL SELECT 'url_to_doc', url || doc_id FROM f UNION ALL SELECT DISTINCT 'checksum', md5(html) FROM f
-UNION ALL SELECT DISTINCT 'visited', url FROM f UNION ALL SELECT DISTINCT 'domain', domain || '1700000000000' FROM f""")
+@register(f"""WITH a AS ({ARRIVALS}), h AS (SELECT url, document, batch, md5(document) AS hash FROM a),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY batch, url) AS first FROM h) WHERE first = 1),
+f AS (SELECT *, md5(url) AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY batch DESC) AS newest FROM k) WHERE newest = 1)
+SELECT 'segments' AS name, md5(doc_id || document) AS value FROM f UNION ALL SELECT 'url_to_doc', url || doc_id FROM f UNION ALL SELECT DISTINCT 'checksum', hash FROM k
+UNION ALL SELECT DISTINCT 'visited', url FROM a UNION ALL SELECT DISTINCT 'domain', regexp_extract(url, '^https?://([^/:?#]+)', 1) || '1700000000000' FROM a""")
 def stream_store(spark, folder):
-    """One stream of fetched pages into five tables."""
+    """One stream of fetched pages in three batches into five tables: known contents are skipped, new ones replace the old."""
     base = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{folder}/pages.parquet").schema
-    fetched = spark.readStream.schema(schema).parquet(f"{folder}/pages*.parquet").select("url", F.col("html").alias("document"), F.lit("text/html").alias("type"), F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
+    remove_at_exit(spark, base)
+    arrivals = spark.sql(ARRIVALS.replace("FROM pages", "FROM {pages}").replace("html || ", "html || "), pages=table(spark, folder, "pages"))
+    fetched = _in_batches(spark, arrivals, "batch").select("url", "document", F.lit("text/html").alias("type"), F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
     live.store_stream(fetched, base, f"{base}/checkpoint").awaitTermination()
     values = {"segments": F.md5(F.concat("doc_id", "html")), "url_to_doc": F.concat("url", "doc_id"), "checksum": F.col("hash"), "visited": F.col("url"), "domain": F.concat("domain", F.col("last_access_ms").cast("string"))}
     out = None
     for name, value in values.items():
-        part = spark.read.parquet(f"{base}/{name}").select(F.lit(name).alias("name"), value.alias("value"))
+        part = live.stored_table(spark, base, name).select(F.lit(name).alias("name"), value.alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 

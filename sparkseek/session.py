@@ -90,6 +90,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store when the driver ends."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+        except Exception:  # the session may have ended already
+            pass
+
+    atexit.register(remove)
+
+
 def cut(df):
     """Materialise a frame reliably and cut its lineage."""
     shared_folder(df.sparkSession)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,27 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)).alias("doc_id"), F.regexp_replace(body, r"\r?\n[ \t]*\z", "").alias("html"))
 
 
-def write_segments(docs: DataFrame, path: str, records_per_file: int = 50_000) -> None:
-    """Append-style text segments of (doc_id, html), rolled by records."""
+#: Bytes at which a segment is closed.
+SEGMENT_BYTES = 50_000_000
+
+
+def write_segments(docs: DataFrame, path: str, bytes_per_file: int = SEGMENT_BYTES) -> None:
+    """Append-style text segments of (doc_id, html): a task closes a file when it holds so many bytes."""
     lines = docs.select(F.concat(F.lit(f" {MARK} "), F.col("doc_id").cast("string"), F.lit("\r\n"), F.coalesce("html", F.lit("")), F.lit("\r")).alias("value"))
-    lines.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).text(path)
+
+    def roll(batches):
+        held, segment = 0, 0
+        for batch in batches:
+            sizes, of = pc.binary_length(batch.column(0)).to_pylist(), []
+            for n in sizes:
+                if held >= bytes_per_file:
+                    held, segment = 0, segment + 1
+                held += n
+                of.append(segment)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of, pa.int32())], names=["value", "segment"])
+
+    # Rows of a task arrive by segment, so that each is one file of its own.
+    lines.mapInArrow(roll, "value string, segment int").write.mode("overwrite").partitionBy("segment").text(path)
 
 
 def positions_lines(positions: DataFrame) -> DataFrame:

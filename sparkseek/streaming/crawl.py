@@ -25,6 +25,29 @@ def dedup_stream(frontier: DataFrame, window: str = "5 minutes") -> DataFrame:
     return frontier.withWatermark("ts", window).dropDuplicatesWithinWatermark(["url"])
 
 
+def visited_stream(frontier: DataFrame, path: str, checkpoint: str):
+    """Each URL once, however late it comes again: a batch keeps what no earlier batch has stored; a replay overwrites itself."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.select("url").distinct().join(before(batch, path, number, "url string").select("url"), "url", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return frontier.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def before(batch: DataFrame, path: str, number: int, schema: str) -> DataFrame:
+    """The rows that batches before `number` have stored in a table."""
+    spark = batch.sparkSession
+    if number == 0:
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").parquet(path).where(F.col("batch") < number)
+
+
+def latest(table: DataFrame, key: str) -> DataFrame:
+    """The rows of each key's last batch: what a table that batches upsert into holds."""
+    newest = table.groupBy(key).agg(F.max("batch").alias("batch"))
+    return table.join(newest, [key, "batch"], "left_semi").drop("batch")
+
+
 class Politeness(StatefulProcessor):
     """Admits a domain's fetch only when its last admitted one is `delay_s` seconds old; state is one timestamp a domain."""
 
@@ -76,14 +99,24 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str):
-    """Index arriving documents: each micro-batch appends its postings under its own number, so a replay overwrites itself."""
+    """Index arriving documents: each micro-batch stores its postings under its own number, so a replay overwrites itself.
+
+    A document that arrives again replaces its postings: read them through `indexed_postings`.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
-        postings(word_positions(tokenised(batch))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
+        postings(word_positions(tokenised(batch))).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
     return docs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def indexed_postings(spark, path: str) -> DataFrame:
+    """The postings of each document's last arrival; one that came back without words has none."""
+    newest = spark.read.parquet(f"{path}/docs").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/postings").join(newest, ["doc_id", "batch"], "left_semi").drop("batch")
+
+
 def stored_rows(fetched: DataFrame) -> dict[str, DataFrame]:
     """The rows that a fetched document (url, document, type, ts) adds to each table; ids are MD5s of URLs."""
     rows = fetched.withColumn("doc_id", F.md5("url"))
@@ -98,19 +131,38 @@ def stored_rows(fetched: DataFrame) -> dict[str, DataFrame]:
 
 
 def store_stream(fetched: DataFrame, path: str, checkpoint: str):
-    """Fan a stream of fetched documents out to all tables; a replayed batch overwrites itself."""
+    """Fan a stream of fetched documents out to all tables; a replayed batch overwrites itself.
+
+    A document whose content an earlier batch or URL has stored only counts as visited. One
+    that comes again with another content replaces the old one: read the tables through
+    `stored_table`. Of several documents of a batch with one URL the last by time stays.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        schema = "hash string"
+        hashed = batch.withColumn("hash", F.md5("document"))
+        # Of equal contents the smallest URL is stored.
+        last = hashed.groupBy("url").agg(F.max_by(F.struct("document", "type", "ts", "hash"), F.struct("ts", "hash")).alias("r")).select("url", "r.*")
+        first = last.groupBy("hash").agg(F.min("url").alias("url"))
+        new = last.join(first, ["hash", "url"], "left_semi").join(before(batch, f"{path}/checksum", number, schema), "hash", "left_anti").persist()
         try:
-            for name, rows in stored_rows(batch).items():
-                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            for name, rows in stored_rows(new.select("url", "document", "type", "ts")).items():
+                source = {"visited": stored_rows(batch)["visited"], "domain": stored_rows(batch)["domain"]}.get(name, rows)
+                source.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         finally:
-            batch.unpersist()
+            new.unpersist()
 
     return fetched.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_table(spark, path: str, name: str) -> DataFrame:
+    """A table of the store as its batches left it."""
+    table = spark.read.parquet(f"{path}/{name}")
+    if name == "domain":
+        return table.groupBy("domain").agg(F.max("last_access_ms").alias("last_access_ms"))
+    return latest(table, {"segments": "doc_id", "url_to_doc": "url", "checksum": "hash", "visited": "url"}[name])
+
+
 class CrawlProgress(StreamingQueryListener):
     """Counts the documents of each running crawl and says when `limit` are stored."""
 
