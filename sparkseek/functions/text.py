@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html.entities import name2codepoint
 
@@ -82,7 +83,7 @@ def query_words(text: str, lemmatizer: str = "identity") -> list[str]:
 
 def decode_entities(c: Column) -> Column:
     """Named, decimal and hexadecimal character references, each once; others stay as they are."""
-    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # folded to one literal
 
     def piece(p: Column) -> Column:
         named = F.try_element_at(table, F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..functions import urls
 from ..session import cut
+from .graph import page_links
 
 #: Media types that are fetched; so is any that ends with xml.
 TYPES = ("text/html", "text/xml", "application/xml")
@@ -134,4 +134,5 @@ def crawl_rounds(seeds: DataFrame, links: DataFrame, limit: int, rounds: int) ->
 def extracted_links(fetched: DataFrame) -> DataFrame:
     """(url, link): links of fetched HTML documents; other types have none. fetched: (url, document, type)."""
     html = fetched.where(F.trim(F.split_part("type", F.lit(";"), F.lit(1))) == "text/html")
-    return html.select("url", F.explode(tx.html_links(F.col("document"))).alias("href")).select("url", urls.resolve(F.col("url"), F.col("href")).alias("link")).where("link <> ''")
+    found = page_links(html.select(F.col("url").alias("page_id"), "url", F.col("document").alias("html")))
+    return found.select(F.col("page_id").alias("url"), F.col("url").alias("link"))

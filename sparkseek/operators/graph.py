@@ -15,10 +15,13 @@ MAX_URL_BYTES = 2048
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, url): absolute links of all anchors, duplicates kept; relative ones start from the page's base element, if it has one."""
-    html = F.col("html")
-    base = F.coalesce(F.nullif(urls.resolve(F.col("url"), tx.decode_entities(F.nullif(tx.html_base(html), F.lit("")))), F.lit("")), F.col("url"))
-    raw = pages.select("page_id", base.alias("base"), F.posexplode(tx.html_links(html)).alias("pos", "href"))
-    return raw.select("page_id", F.col("pos").cast("bigint"), urls.resolve(F.col("base"), tx.decode_entities(F.col("href"))).alias("url")).where("url <> ''")
+    # Both explodes hand on plain columns, so that references are decoded once, whatever uses them.
+    decoded = F.struct(tx.decode_entities(tx.html_base(F.col("html"))).alias("base"), F.transform(tx.html_links(F.col("html")), tx.decode_entities).alias("hrefs"))
+    rows = pages.select("page_id", "url", F.inline(F.array(decoded)))
+    rows = rows.select("page_id", "url", "base", F.posexplode("hrefs").alias("pos", "href"))
+    based = F.when(F.col("base") == "", F.col("url")).otherwise(urls.resolve(F.col("url"), F.col("base")))
+    rows = rows.select("page_id", "pos", "href", F.explode(F.array(F.coalesce(F.nullif(based, F.lit("")), F.col("url")))).alias("from"))
+    return rows.select("page_id", F.col("pos").cast("bigint"), urls.resolve(F.col("from"), F.col("href")).alias("url")).where("url <> ''")
 
 
 def page_out_links(pages: DataFrame) -> DataFrame:
