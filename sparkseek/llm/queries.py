@@ -110,4 +110,30 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
 }
 
+#: SQL for the queries that it can express; the others are tested against brute-force versions.
 ORACLES: dict[str, str] = {}
+
+_REACH = """reach AS (SELECT DISTINCT a AS node, a AS other FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT node, min(other) AS first FROM reach GROUP BY node)"""
+
+ORACLES["op4_embedding_near_dedup"] = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::double[] AS x FROM embeddings),
+good AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda k: k IS NULL OR NOT isfinite(k))) = 0 AND list_dot_product(x, x) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.95),
+{_REACH}, n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::bigint AS n_links, coalesce(first, vec_id) AS component_id, vec_id = coalesce(first, vec_id) AS kept FROM v LEFT JOIN n ON a = vec_id LEFT JOIN least ON node = vec_id"""
+
+_SAID = "</s>[INST] ok [/INST]"
+ORACLES["op5_chat_formatting"] = f"""WITH t AS (SELECT conv_id::bigint AS conv_id, turn::bigint AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
+e AS (SELECT *, regexp_replace(text, '[\\\\\\[\\]<]', '..', 'g') AS safe_text, regexp_replace(role, '[\\\\\\[\\]<]', '..', 'g') AS safe_role FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::bigint AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+sum(15 + 2 * length(safe_role) + length(safe_text))::bigint AS formatted_chars FROM e GROUP BY conv_id"""
+
+ORACLES["op8_ngram_jaccard_join"] = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM w WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM s p JOIN s q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE both_.n / (x.n + y.n - both_.n)::double >= 0.8),
+{_REACH}, k AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(first, d.doc_id) AS class_id, coalesce(n, 0)::bigint AS n_links, d.doc_id = coalesce(first, d.doc_id) AS kept FROM documents d LEFT JOIN k ON a = d.doc_id LEFT JOIN least ON node = d.doc_id"""
