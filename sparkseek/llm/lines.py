@@ -227,7 +227,8 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(new, np.int64, len(new))[of]), pa.array(own)], names=["key", "h1", "own"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One shuffle of the keys serves both the test of a key and the choice of its rows.
+    # Both branches are dealt by key, so the join and the groups need no further shuffle; Spark
+    # makes the keys once for each branch.
     keys = chosen.mapInArrow(keyed, "key bigint, h1 bigint, own boolean").repartition(n, "key")
     shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("own")).where("a < b AND own").select("key")
     members = keys.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("key", "h1").agg(F.max("own").alias("own"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import settle, slices
 
 #: Bound of the labelled sample that is fitted and broadcast.
 SAMPLE_ROWS = 4096
@@ -196,8 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
                 )
 
     table = rows.mapInArrow(run, "id string, label int, at array<int>, w array<float>").toArrow().sort_by("id")
-    at, w = (table.column(k).to_pylist() for k in ("at", "w"))
-    return fit([(np.array(a), np.array(x, np.float32)) for a, x in zip(at, w)], table.column("label").to_pylist())
+    labels_of = table.column("label").to_pylist()
+    # Views of two flat arrays: lists of Python numbers would take twenty times as much.
+    columns = [pa.concat_arrays(table.column(k).chunks or [pa.array([], pa.list_(pa.int32()))]) for k in ("at", "w")]
+    flat, bounds = [c.flatten().to_numpy() for c in columns], [c.value_lengths().to_numpy().cumsum() for c in columns]
+    rows = [(flat[0][p:q], flat[1][r:s]) for p, q, r, s in zip([0, *bounds[0][:-1]], bounds[0], [0, *bounds[1][:-1]], bounds[1])]
+    model = fit(rows, labels_of)
+    settle()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
