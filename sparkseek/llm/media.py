@@ -184,8 +184,12 @@ def table_keys(p: np.ndarray) -> np.ndarray:
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of 32 bytes to one another."""
     a, b = (np.ascontiguousarray(v).view(np.uint64) for v in (a, b))
-    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2).astype(np.int64)
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
 
 
 def consensus(p: np.ndarray, q: np.ndarray, tolerance: float = 4.0, tight: float = 3.0) -> int:
@@ -344,7 +348,7 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
                 for i in range(0, len(here), 512):
                     for j in range(i, len(here), 512):
                         a, b = here[i : i + 512], here[j : j + 512]
-                        apart = np.bitwise_count(words[a][:, None] ^ words[b][None]).sum(axis=2).astype(np.int64)
+                        apart = hamming(words[a], words[b])
                         p, q = np.nonzero(apart <= near_bits)
                         forest.add(a[p], b[q])
                         apart[image[a][:, None] == image[b]] = near_bits + 1
