@@ -266,7 +266,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 def file_order(docs: DataFrame, name: str) -> DataFrame:
     """Rows of a frame that reads files, with their place (from 0) by file name and row: the order in which a sorted frame was written.
 
-    A frame that doesn't read files gets null places' stand-in, a place by hash.
+    Rows of a frame that doesn't read files get places by a hash of their values.
     """
     path, row, begin = fresh([*docs.columns, name], "path", "row", "begin")
     try:
