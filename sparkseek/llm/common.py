@@ -211,27 +211,29 @@ class Forest:
         self.label, self.edges = np.arange(n), []
 
     def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Join the trees of left[k] and right[k], for all k at once.
+
+        Each root hooks to its smallest neighbour below it, so that only roots without a
+        smaller neighbour stay: at least half of those with links go in a round.
+        """
+        at, own = np.arange(len(left)), np.arange(len(self.label))
         a, b = self.label[left], self.label[right]
-        new = np.flatnonzero(a != b)
-        if not len(new):
-            return
-        a, b = np.minimum(a[new], b[new]), np.maximum(a[new], b[new])
-        _, first = np.unique(a * len(self.label) + b, return_index=True)
-        up: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            while i in up:
-                if up[i] in up:
-                    up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for k in first.tolist():
-            p, q = root(int(a[k])), root(int(b[k]))
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                self.edges.append((int(left[new[k]]), int(right[new[k]])))
-        moved = np.arange(len(self.label))
-        for i in up:
-            moved[i] = root(i)
-        self.label = moved[self.label]
+        while True:
+            new = np.flatnonzero(a != b)
+            if not len(new):
+                return
+            at, a, b = at[new], a[new], b[new]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            up, by = own.copy(), np.empty(len(own), np.int64)
+            np.minimum.at(up, high, low)
+            least = np.flatnonzero(up[high] == low)
+            by[high[least]] = at[least]
+            joined = by[np.flatnonzero(up != own)]
+            self.edges += zip(left[joined].tolist(), right[joined].tolist())
+            while True:
+                further = up[up]
+                if (further == up).all():
+                    break
+                up = further
+            self.label = up[self.label]
+            a, b = up[a], up[b]
