@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of frames that nothing refers to any more removed now.
+
+    Spark removes them once the driver has collected its garbage, by itself every half hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _libc = ctypes.CDLL(None)
 
 

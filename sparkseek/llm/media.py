@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, broadcast_if_small, components, cut, numbered, settle, stored, whole_runs
-from .shingles import mix64
+from .common import Forest, broadcast_if_small, components, cut, numbered, release, settle, stored, whole_runs
 
 #: Each scale's step to the next; scales go on while the picture holds a descriptor.
 STEP = 0.7
@@ -40,7 +40,10 @@ INLIERS = 8
 SHARE = 0.08
 #: Side of the squares in which agreeing corners count once.
 PLACE = 6
-BLOCK_ROWS = 2048
+#: A bucket's rows are dealt in blocks of so many; each pair of blocks is a unit of work.
+BLOCK_ROWS = 16384
+#: Rows of a bucket that are compared at once with as many others.
+SIDE = 256
 _rng = np.random.default_rng(20240507)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (256, 2, 2)), -RADIUS + 1, RADIUS - 1)
 _TURNS = 36
@@ -176,11 +179,10 @@ def _corners(x: np.ndarray, scale: float, most: int, edge: int) -> np.ndarray:
     return made
 
 
-def table_keys(p: np.ndarray) -> np.ndarray:
-    """(points, tables) bucket keys from sampled bits."""
-    bits = np.unpackbits(p["bits"], axis=1)
-    picked = (bits[:, _PICK].astype(np.int64) @ _WEIGHT).view(np.uint64)
-    return mix64(picked ^ mix64(np.arange(1, TABLES + 1, dtype=np.uint64))).view(np.int64)
+def table_keys(p: np.ndarray, table: int) -> np.ndarray:
+    """The points' bucket keys in a table: its sampled bits."""
+    picked = p["bits"][:, _PICK[table] >> 3] >> (7 - (_PICK[table] & 7)).astype(np.uint8) & 1
+    return picked.astype(np.int64) @ _WEIGHT
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -285,30 +287,25 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     some = hashed.where("d1 IS NOT NULL").join(broadcast_if_small(nodes), ["d1", "d2", "id"]).select(F.col("node").alias("rep"), "image")
     heads = stored(some.mapInArrow(points, "rep bigint, points binary").dropDuplicates(["rep"]))
 
-    def list_keys(batches):
-        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
-            p = [np.frombuffer(x, POINT) for x in batch.column("points").to_pylist()]
-            of = np.repeat(np.arange(len(p)), [len(x) for x in p])
-            flat = np.concatenate([*p, np.zeros(0, POINT)])
-            keys = table_keys(flat)
-            bits = pa.array([x.tobytes() for x in flat["bits"]], pa.binary())
-            turn = pa.array(np.rint(flat["angle"] / (2 * np.pi) * TURNS).astype(np.int32) % TURNS)
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(of)), pa.array(keys[:, t]), bits, turn], names=["rep", "key", "bits", "turn"])
-
-    listed = heads.mapInArrow(list_keys, "rep bigint, key bigint, bits binary, turn int")
-    shared = listed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    shared = cut(shared.select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int").alias("blocks")))
-    dealt = listed.join(broadcast_if_small(shared), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    by = ["key", "lo", "hi"]
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "bits", "turn")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, *by).sortWithinPartitions(*by, "rep")
+    words_of = [f"w{k}" for k in range(4)]
+    by = ["key", "part"]
+
+    def list_keys(table):
+        def run(batches):
+            for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+                p = [np.frombuffer(x, POINT) for x in batch.column("points").to_pylist()]
+                of = np.repeat(np.arange(len(p)), [len(x) for x in p])
+                flat = np.concatenate([*p, np.zeros(0, POINT)])
+                words = np.ascontiguousarray(flat["bits"]).view(np.int64)
+                turn = np.rint(flat["angle"] / (2 * np.pi) * TURNS).astype(np.int32) % TURNS
+                arrays = [batch.column("rep").take(pa.array(of)), pa.array(table_keys(flat, table)), pa.array(turn)]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(w) for w in words.T)], names=["rep", "key", "turn", *words_of])
+
+        return run
 
     def meet(batches):
         for batch, starts in whole_runs(batches, by):
-            words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
+            words = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in words_of])
             n = batch.num_rows
             forest = Forest(n)
             length = np.diff(starts)
@@ -338,25 +335,43 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
                 step = max(1, (1 << 18) // len(p))
                 for k in range(0, len(at), step):
                     i, j = (at[k : k + step, None] + p).ravel(), (at[k : k + step, None] + q).ravel()
-                    apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1).astype(np.int64)
+                    apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
                     hit = apart <= near_bits
                     i, j, apart = i[hit], j[hit], apart[hit]
                     forest.add(i, j)
                     closest(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart]))
-            for k in np.flatnonzero(length > 64):
-                here = np.arange(starts[k], starts[k + 1])
-                for i in range(0, len(here), 512):
-                    for j in range(i, len(here), 512):
-                        a, b = here[i : i + 512], here[j : j + 512]
-                        apart = hamming(words[a], words[b])
-                        p, q = np.nonzero(apart <= near_bits)
-                        forest.add(a[p], b[q])
-                        apart[image[a][:, None] == image[b]] = near_bits + 1
-                        closer(a, b[apart.argmin(axis=1)], apart.min(axis=1))
-                        closer(b, a[apart.argmin(axis=0)], apart.min(axis=0))
+            for start, end in zip(starts[:-1][length > 64].tolist(), starts[1:][length > 64].tolist()):
+                for i in range(start, end, SIDE):
+                    a = np.arange(i, min(i + SIDE, end))
+                    for j in range(i, end, SIDE):
+                        b = np.arange(j, min(j + SIDE, end))
+                        # Rows of a bucket share its key's bits: a distance fits a byte.
+                        apart = np.bitwise_count(words[0, a, None] ^ words[0, b])
+                        for w in words[1:]:
+                            apart += np.bitwise_count(w[a, None] ^ w[b])
+                        # Rows are sorted by image.
+                        others = np.where(image[a][:, None] == image[b], np.uint8(255), apart) if image[a[-1]] >= image[b[0]] else apart
+                        at, of = others.argmin(axis=1), others.argmin(axis=0)
+                        d, e = others[np.arange(len(a)), at], others[of, np.arange(len(b))]
+                        closer(a, b[at], d)
+                        closer(b, a[of], e)
+                        own = forest.label[np.append(a, b)]
+                        if (own == own[0]).all():
+                            continue
+                        # Nearest rows join most trees; then only rows outside the largest tree can join others.
+                        d, e = d <= near_bits, e <= near_bits
+                        forest.add(np.append(a[d], b[e]), np.append(b[at[d]], a[of[e]]))
+                        trees, count = np.unique(forest.label[np.append(a, b)], return_counts=True)
+                        most = trees[count.argmax()]
+                        p, q = np.flatnonzero(forest.label[a] != most), np.flatnonzero(forest.label[b] != most)
+                        x, y = np.nonzero(apart[p] <= near_bits)
+                        forest.add(a[p[x]], b[y])
+                        x, y = np.nonzero(apart[:, q] <= near_bits)
+                        forest.add(a[x], b[q[y]])
             # Rows are sorted by image in a run, so a cluster's smallest row is its smallest image.
             met = np.concatenate([np.stack([forest.label, np.arange(n)], 1), np.sort(np.stack([nearest, np.arange(n)], 1), axis=1)])
-            met = np.unique(met[image[met[:, 0]] != image[met[:, 1]]], axis=0)
+            met = met[image[met[:, 0]] != image[met[:, 1]]]
+            met = np.stack(np.divmod(np.unique(met[:, 0] * n + met[:, 1]), n), 1)
             ids, turn = rep.to_numpy(), batch.column("turn").to_numpy()
             swap = ids[met[:, 0]] > ids[met[:, 1]]
             i, j = np.where(swap, met[:, 1], met[:, 0]), np.where(swap, met[:, 0], met[:, 1])
@@ -365,7 +380,22 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
     # Meetings by their angle, in twelve parts of the circle and in twelve shifted by half a part: five bits count each.
     part = TURNS // 12
     tally = [F.sum(F.expr(f"shiftleft(1L, 5 * (((turn + {shift}) % {TURNS}) div {part}))")) for shift in (0, part // 2)]
-    pairs = dealt.mapInArrow(meet, "a bigint, b bigint, turn int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), tally[0].alias("p"), tally[1].alias("q"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tallies = []
+    # One table at a time: what is shuffled at once is an eighth.
+    for t in range(TABLES):
+        listed = heads.mapInArrow(list_keys(t), "rep bigint, key bigint, turn int, " + ", ".join(f"{w} bigint" for w in words_of))
+        shared = listed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+        shared = cut(shared.select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).alias("blocks")))
+        dealt = listed.join(broadcast_if_small(shared), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        part = F.shiftleft(F.least("block", "other"), 32).bitwiseOR(F.greatest("block", "other"))
+        dealt = dealt.select("key", part.alias("part"), "rep", "turn", *words_of).repartition(n, *by).sortWithinPartitions(*by, "rep")
+        met = dealt.mapInArrow(meet, "a bigint, b bigint, turn int")
+        tallies.append(stored(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), tally[0].alias("p"), tally[1].alias("q"))))
+        del listed, shared, dealt, met
+        release(spark)
+    pairs = reduce(DataFrame.unionByName, tallies).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in "npq"))
     often = " OR ".join(f"(shiftrightunsigned({c}, {5 * k}) & 31) >= {votes}" for c in "pq" for k in range(12))
     pairs = pairs.where(f"n >= 32 OR (n >= {votes} AND ({often}))").select("a", "b")
     ours = heads.select("rep", "points")
