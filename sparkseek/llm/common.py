@@ -56,7 +56,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a frame that `stored` returned, once nothing will read it again."""
+    _forget(df.sparkSession, df.stored_at)
 
 
 def release(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, broadcast_if_small, components, cut, numbered, release, settle, stored, whole_runs
+from .common import Forest, broadcast_if_small, components, cut, discard, numbered, release, settle, stored, whole_runs
 
 #: Each scale's step to the next; scales go on while the picture holds a descriptor.
 STEP = 0.7
@@ -42,6 +42,10 @@ SHARE = 0.08
 PLACE = 6
 #: A bucket's rows are dealt in blocks of so many; each pair of blocks is a unit of work.
 BLOCK_ROWS = 16384
+#: The tables' meetings are summed in so many slices, one at a time.
+SLICES = 4
+#: Candidates are verified by pairs of blocks of pictures with so many bytes of points.
+BLOCK_BYTES = 32 << 20
 #: Rows of a bucket that are compared at once with as many others.
 SIDE = 256
 _rng = np.random.default_rng(20240507)
@@ -125,10 +129,11 @@ def encode_pgm(x: np.ndarray) -> bytes:
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
-    """Means over squares of side 2 r + 1, edges repeated."""
-    c = np.cumsum(np.cumsum(np.pad(x, ((r + 1, r), (r + 1, r)), mode="edge"), axis=0, dtype=np.float64), axis=1)
+    """Means over squares of side 2 r + 1 of the last two axes, edges repeated."""
+    rows, cols = (np.clip(np.arange(-r - 1, m + r), 0, m - 1) for m in x.shape[-2:])
+    c = np.cumsum(np.cumsum(x[..., rows[:, None], cols], axis=-2, dtype=np.float64), axis=-1)
     n = 2 * r + 1
-    return (c[n:, n:] - c[:-n, n:] - c[n:, :-n] + c[:-n, :-n]) / (n * n)
+    return (c[..., n:, n:] - c[..., :-n, n:] - c[..., n:, :-n] + c[..., :-n, :-n]) / (n * n)
 
 
 def _resize(x: np.ndarray, scale: float) -> np.ndarray:
@@ -158,11 +163,14 @@ def describe(image: np.ndarray, points: int = POINTS) -> np.ndarray:
 def _corners(x: np.ndarray, scale: float, most: int, edge: int) -> np.ndarray:
     """The strongest corners of one scale."""
     gy, gx = np.gradient(_box(x, 1))
-    a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    a, b, c = _box(np.stack([gx * gx, gy * gy, gx * gy]), 2)
     r = a * b - c * c - 0.05 * (a + b) ** 2
     inner = r[edge:-edge, edge:-edge]
-    view = np.lib.stride_tricks.sliding_window_view(r[edge - 2 : -edge + 2, edge - 2 : -edge + 2], (5, 5)).max(axis=(2, 3))
-    ys, xs = np.nonzero((inner >= view) & (inner > 1.0))
+    around = r[edge - 2 : -edge + 2, edge - 2 : -edge + 2]
+    h, w = inner.shape
+    around = reduce(np.maximum, [around[k : k + h] for k in range(5)])
+    around = reduce(np.maximum, [around[:, k : k + w] for k in range(5)])
+    ys, xs = np.nonzero((inner >= around) & (inner > 1.0))
     order = np.argsort(-inner[ys, xs], kind="stable")[:most]
     ys, xs = ys[order] + edge, xs[order] + edge
     if not len(ys):
@@ -221,8 +229,9 @@ def consensus(p: np.ndarray, q: np.ndarray, tolerance: float = 4.0, tight: float
         ex = b["x"][r, None] + cos[r, None] * dx - sin[r, None] * dy - b["x"][None]
         ey = b["y"][r, None] + sin[r, None] * dx + cos[r, None] * dy - b["y"][None]
         # A wrong angle of a few degrees moves far points more.
-        near = np.hypot(ex, ey) <= tolerance + 0.12 * np.hypot(dx, dy)
-        agree = near & (np.abs(np.angle(np.exp(1j * (turn[None] - turn[r, None])))) < 0.4) & (np.abs(np.log(ratio[None] / ratio[r, None])) < 0.2)
+        agree = np.hypot(ex, ey) <= tolerance + 0.12 * np.hypot(dx, dy)
+        u, v = np.nonzero(agree)
+        agree[u, v] = (np.abs(np.angle(np.exp(1j * (turn[v] - turn[k + u])))) < 0.4) & (np.abs(np.log(ratio[v] / ratio[k + u])) < 0.2)
         most = agree[int(agree.sum(axis=1).argmax())]
         if most.sum() > best.sum():
             best = most
@@ -245,7 +254,7 @@ def same_picture(p: np.ndarray, q: np.ndarray, inliers: int = INLIERS, share: fl
     return min(len(p), len(q)) >= need and consensus(p, q) >= need
 
 
-def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image", votes: int = VOTES, inliers: int = INLIERS, near_bits: int = NEAR_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image", votes: int = VOTES, inliers: int = INLIERS, near_bits: int = NEAR_BITS, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per image: (id, n_points, class_id, kept).
 
     `n_points` counts the corners of images that are compared, zero for the others.
@@ -316,11 +325,6 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
             image = np.cumsum(first)
             nearest, least = np.arange(n), np.full(n, near_bits + 1)
 
-            def closer(i, j, d):
-                """Rows i (each once) meet rows j at distance d."""
-                new = (image[i] != image[j]) & (d < least[i])
-                nearest[i[new]], least[i[new]] = j[new], d[new]
-
             def closest(i, j, d):
                 """Rows i, each any number of times, meet rows j at distance d."""
                 new = np.flatnonzero((image[i] != image[j]) & (d < least[i]))
@@ -342,32 +346,46 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
                     closest(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart]))
             for start, end in zip(starts[:-1][length > 64].tolist(), starts[1:][length > 64].tolist()):
                 for i in range(start, end, SIDE):
-                    a = np.arange(i, min(i + SIDE, end))
+                    a = slice(i, min(i + SIDE, end))
                     for j in range(i, end, SIDE):
-                        b = np.arange(j, min(j + SIDE, end))
+                        b = slice(j, min(j + SIDE, end))
                         # Rows of a bucket share its key's bits: a distance fits a byte.
                         apart = np.bitwise_count(words[0, a, None] ^ words[0, b])
                         for w in words[1:]:
                             apart += np.bitwise_count(w[a, None] ^ w[b])
+                        d = linked_a = apart.min(axis=1)
+                        e = linked_b = apart.min(axis=0)
+                        others = apart
                         # Rows are sorted by image.
-                        others = np.where(image[a][:, None] == image[b], np.uint8(255), apart) if image[a[-1]] >= image[b[0]] else apart
-                        at, of = others.argmin(axis=1), others.argmin(axis=0)
-                        d, e = others[np.arange(len(a)), at], others[of, np.arange(len(b))]
-                        closer(a, b[at], d)
-                        closer(b, a[of], e)
-                        own = forest.label[np.append(a, b)]
-                        if (own == own[0]).all():
+                        if image[a.stop - 1] >= image[j]:
+                            others = np.where(image[a, None] == image[b], np.uint8(255), apart)
+                            d, e = others.min(axis=1), others.min(axis=0)
+                        # The nearest row itself is looked up only where it is nearer than those before.
+                        new = np.flatnonzero(d < least[a])
+                        nearest[i + new], least[i + new] = j + others[new].argmin(axis=1), d[new]
+                        new = np.flatnonzero(e < least[b])
+                        nearest[j + new], least[j + new] = i + others[:, new].argmin(axis=0), e[new]
+                        # Only rows with a link can join trees.
+                        p, q = np.flatnonzero(linked_a <= near_bits), np.flatnonzero(linked_b <= near_bits)
+                        trees = forest.label[np.append(i + p, j + q)]
+                        if not len(trees) or (trees == trees[0]).all():
                             continue
                         # Nearest rows join most trees; then only rows outside the largest tree can join others.
-                        d, e = d <= near_bits, e <= near_bits
-                        forest.add(np.append(a[d], b[e]), np.append(b[at[d]], a[of[e]]))
-                        trees, count = np.unique(forest.label[np.append(a, b)], return_counts=True)
+                        x, y = p[d[p] <= near_bits], q[e[q] <= near_bits]
+                        left, right = np.append(i + x, i + others[:, y].argmin(axis=0)), np.append(j + others[x].argmin(axis=1), j + y)
+                        split = forest.label[left] != forest.label[right]
+                        if split.any():
+                            forest.add(left[split], right[split])
+                            trees = forest.label[np.append(i + p, j + q)]
+                        trees, count = np.unique(trees, return_counts=True)
                         most = trees[count.argmax()]
-                        p, q = np.flatnonzero(forest.label[a] != most), np.flatnonzero(forest.label[b] != most)
+                        p, q = p[forest.label[i + p] != most], q[forest.label[j + q] != most]
                         x, y = np.nonzero(apart[p] <= near_bits)
-                        forest.add(a[p[x]], b[y])
-                        x, y = np.nonzero(apart[:, q] <= near_bits)
-                        forest.add(a[x], b[q[y]])
+                        u, v = np.nonzero(apart[:, q] <= near_bits)
+                        left, right = np.append(i + p[x], i + u), np.append(j + y, j + q[v])
+                        split = forest.label[left] != forest.label[right]
+                        if split.any():
+                            forest.add(left[split], right[split])
             # Rows are sorted by image in a run, so a cluster's smallest row is its smallest image.
             met = np.concatenate([np.stack([forest.label, np.arange(n)], 1), np.sort(np.stack([nearest, np.arange(n)], 1), axis=1)])
             met = met[image[met[:, 0]] != image[met[:, 1]]]
@@ -395,19 +413,50 @@ def image_copies(images: DataFrame, id_col: str = "id", image_col: str = "image"
         tallies.append(stored(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), tally[0].alias("p"), tally[1].alias("q"))))
         del listed, shared, dealt, met
         release(spark)
-    pairs = reduce(DataFrame.unionByName, tallies).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in "npq"))
     often = " OR ".join(f"(shiftrightunsigned({c}, {5 * k}) & 31) >= {votes}" for c in "pq" for k in range(12))
-    pairs = pairs.where(f"n >= 32 OR (n >= {votes} AND ({often}))").select("a", "b")
+    found = []
+    # All tallies' pairs in slices, for the same reason.
+    for k in range(SLICES):
+        summed = reduce(DataFrame.unionByName, tallies).where(F.pmod(F.xxhash64("a", "b"), F.lit(SLICES)) == k)
+        summed = summed.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in "npq"))
+        found.append(cut(summed.where(f"n >= 32 OR (n >= {votes} AND ({often}))").select("a", "b")))
+        del summed
+        release(spark)
+    for frame in tallies:
+        discard(frame)
+    pairs = reduce(DataFrame.unionByName, found)
+
+    # Candidates are dealt by pairs of blocks of pictures: a picture's points go once to each
+    # pair of blocks that needs them, however many candidates it has there.
     ours = heads.select("rep", "points")
-    both = pairs.join(ours.withColumnsRenamed({"rep": "a", "points": "p"}), "a").join(ours.withColumnsRenamed({"rep": "b", "points": "q"}), "b")
+    weight = ours.agg(F.sum(F.length("points"))).first()[0] or 0
+    blocks = max(math.ceil(math.sqrt(2 * n)), math.ceil(weight / block_bytes))
+    parts = blocks * (blocks + 1) // 2
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    low, high = F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))
+    asked = pairs.select((low + F.floor(high * (high + 1) / 2)).cast("bigint").alias("part"), "a", "b")
+    sent = asked.select("part", F.explode(F.array("a", "b")).alias("rep")).distinct().join(ours, "rep")
+    sent = sent.select("part", F.col("rep").alias("a"), F.lit(None).cast("bigint").alias("b"), "points")
+    both = sent.unionByName(asked.withColumn("points", F.lit(None).cast("binary")))
+    # Points stand before the candidates of their part.
+    both = both.repartitionById(min(parts, 4 * n), F.col("part").cast("int")).sortWithinPartitions("part", F.col("b").asc_nulls_first())
 
     def verify(batches):
+        part, held = None, {}
         for batch in batches:
-            found = [same_picture(np.frombuffer(p, POINT), np.frombuffer(q, POINT), inliers) for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())]
-            at = pa.array(np.flatnonzero(found))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
-
-    area = components(both.select("a", "b", "p", "q").mapInArrow(verify, "a bigint, b bigint"))
+            left, right = [], []
+            for at, a, b, points in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "points"))):
+                if at != part:
+                    part, held = at, {}
+                if b is None:
+                    held[a] = np.frombuffer(points, POINT)
+                elif same_picture(held[a], held[b], inliers):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        settle()
+
+    area = components(both.mapInArrow(verify, "a bigint, b bigint"))
     least = nodes.select(F.col("node").alias("component"), F.col("id").alias("class_id"))
     named = nodes.join(area, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component").select("node", "d1", "d2", "class_id")
     count = ours.select(F.col("rep").alias("node"), (F.length("points") / F.lit(size)).cast("int").alias("n_points"))

@@ -1,5 +1,6 @@
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -131,3 +132,37 @@ def test_edges(spark):
     got = sorted(((r["id"], r["class_id"], r["kept"]) for r in image_copies(df).collect()), key=str)
     assert got == sorted([(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (None, None, True), (6, 6, True), (6, 6, True), (7, 6, False), (8, 8, True), (9, 9, True)], key=str)
     assert image_copies(df.where(F.lit(False))).collect() == []
+
+
+def test_candidates_share_the_points_they_need(spark):
+    """Many candidates a picture: points are shuffled once for each pair of blocks, and the tables' tallies go."""
+    raw = {i: encode_pgm(scene(i)) for i in range(100)}
+    df = spark.createDataFrame(list(raw.items()), "id bigint, image binary")
+    points = sum(len(describe(decode(x)).tobytes()) for x in raw.values())
+    gateway, folder = spark.sparkContext._gateway, Path(spark.conf.get("spark.checkpoint.dir"))
+
+    def shuffled():
+        status = spark.sparkContext._jsc.sc().statusStore()
+        found = status.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    # Small tables would be broadcast.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, kept = shuffled(), {p.name for p in folder.glob("stored-*")}
+        # Every pair that meets is a candidate.
+        got = {r["id"]: r["class_id"] for r in image_copies(df, votes=1).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {i: i for i in raw}
+    # Four partitions make three blocks; the candidates' own rows are short.
+    assert max(v for k, v in shuffled().items() if k not in before) <= 4 * points
+    # The rows and the points stay; of the eight tables' tallies nothing does.
+    assert len({p.name for p in folder.glob("stored-*")} - kept) == 2
+
+
+def test_blocks_of_candidates(spark):
+    raw = {10 * i + k: encode_pgm(scene(i) + k) for i in range(8) for k in range(10)}
+    df = spark.createDataFrame(list(raw.items()), "id bigint, image binary")
+    assert {r["id"]: r["class_id"] for r in image_copies(df, block_bytes=20000).collect()} == {i: i // 10 * 10 for i in raw}
