@@ -66,14 +66,16 @@ def path_allowed(path: Column, disallow: Column, allow: Column) -> Column:
     return some(allow) | ~some(disallow)
 
 
-def admission(fetches: DataFrame, visited: DataFrame, rules: DataFrame, agent: str, max_mb: float, enforce_paths: bool = True, domains: DataFrame | None = None, now_ms: int | None = None) -> DataFrame:
+def admission(fetches: DataFrame, visited: DataFrame, rules: DataFrame, agent: str, max_mb: float, enforce_paths: bool = True, domains: DataFrame | None = None, now_ms: int | None = None, key: str = "url") -> DataFrame:
     """(url, reject): why a URL isn't fetched, null if it is. fetches: (url, status, type, size).
 
+    A fetch was visited if `visited` has its `key`: its URL, or a column that tells apart
+    fetches of one URL.
     With `domains` (domain, last_access_ms) a URL whose domain was last asked less than its
     rule's delay before `now_ms` is rejected as `delay`; such URLs are to be enqueued again.
     """
-    rows = fetches.select("url", "status", "type", "size", urls.host(F.col("url")).alias("domain"), urls.parts(F.col("url"))["path"].alias("path"))
-    rows = rows.join(visited.select("url").distinct().withColumn("seen", F.lit(True)), "url", "left").join(rules_for(rules, agent), "domain", "left")
+    rows = fetches.select(*dict.fromkeys((key, "url", "status", "type", "size")), urls.host(F.col("url")).alias("domain"), urls.parts(F.col("url"))["path"].alias("path"))
+    rows = rows.join(visited.select(key).distinct().withColumn("seen", F.lit(True)), key, "left").join(rules_for(rules, agent), "domain", "left")
     early = F.lit(False)
     if domains is not None:
         rows = rows.join(domains.groupBy("domain").agg(F.max("last_access_ms").alias("last_ms")), "domain", "left")
