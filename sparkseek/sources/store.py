@@ -25,8 +25,12 @@ def put(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def fetch_by_url(url_map: DataFrame, files: DataFrame, segments: DataFrame, urls: DataFrame) -> DataFrame:
-    """(url, doc_id, html): url -> document -> file -> body, for the URLs that the store knows."""
-    wanted = urls.select("url").distinct().join(url_map, "url").join(files, "doc_id")
+    """(url, doc_id, html): url -> document -> file -> body, for the URLs that the store knows.
+
+    A URL has all its documents, unless `urls` (url, doc_id) names the one that is meant.
+    """
+    named = [c for c in ("url", "doc_id") if c in urls.columns]
+    wanted = urls.select(named).distinct().join(url_map, named).join(files, "doc_id")
     return wanted.join(segments, ["doc_id", "file_id"]).select("url", "doc_id", "html")
 
 
