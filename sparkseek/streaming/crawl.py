@@ -135,22 +135,23 @@ def store_stream(fetched: DataFrame, path: str, checkpoint: str):
 
     A document whose content an earlier batch or URL has stored only counts as visited. One
     that comes again with another content replaces the old one: read the tables through
-    `stored_table`. Of several documents of a batch with one URL the last by time stays.
+    `stored_table`. Of several documents of a batch with one URL the last by time stays, the
+    contents of all are known from then on.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        schema = "hash string"
         hashed = batch.withColumn("hash", F.md5("document"))
         # Of equal contents the smallest URL is stored.
-        last = hashed.groupBy("url").agg(F.max_by(F.struct("document", "type", "ts", "hash"), F.struct("ts", "hash")).alias("r")).select("url", "r.*")
-        first = last.groupBy("hash").agg(F.min("url").alias("url"))
-        new = last.join(first, ["hash", "url"], "left_semi").join(before(batch, f"{path}/checksum", number, schema), "hash", "left_anti").persist()
+        first = hashed.groupBy("hash").agg(F.min("url").alias("url")).join(before(batch, f"{path}/checksum", number, "hash string"), "hash", "left_anti").persist()
+        new = hashed.join(first, ["hash", "url"], "left_semi").groupBy("url").agg(F.max_by(F.struct("document", "type", "ts"), F.struct("ts", "hash")).alias("r")).select("url", "r.*").persist()
         try:
-            for name, rows in stored_rows(new.select("url", "document", "type", "ts")).items():
-                source = {"visited": stored_rows(batch)["visited"], "domain": stored_rows(batch)["domain"]}.get(name, rows)
-                source.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            fetched_rows = stored_rows(batch)
+            sources = {**stored_rows(new), "checksum": first.select("hash"), "visited": fetched_rows["visited"], "domain": fetched_rows["domain"]}
+            for name, rows in sources.items():
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         finally:
             new.unpersist()
+            first.unpersist()
 
     return fetched.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
