@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.index import postings, tokenised, word_positions
+from ..operators.index import document_positions, postings
 from ..session import shared_folder
 
 
@@ -106,7 +106,7 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str):
 
     def store(batch: DataFrame, number: int) -> None:
         batch.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
-        postings(word_positions(tokenised(batch))).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        postings(document_positions(batch)).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
     return docs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
